@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gneiss.llm.mixing import mix
 from gneiss.llm.near import near_duplicates
 from gneiss.session import table
 
@@ -13,8 +14,14 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document: doc_id, size, source_size, target, taken."""
+    return mix(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op3_mixing": op3_mixing,
 }
 
 ORACLES: dict[str, str] = {}
