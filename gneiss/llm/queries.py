@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from gneiss.llm.mixing import mix
 from gneiss.llm.near import near_duplicates
+from gneiss.llm.tokens import count_tokens
 from gneiss.session import table
 
 
@@ -19,9 +21,15 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document: doc_id, n_bytes, n_tokens, over_limit."""
+    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_mixing": op3_mixing,
+    "op5_token_counts": op5_token_counts,
 }
 
 ORACLES: dict[str, str] = {}
