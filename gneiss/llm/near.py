@@ -7,7 +7,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gneiss.llm.textbytes import mix, shingle_hashes, utf8, word_hashes
@@ -229,8 +229,11 @@ def near_duplicates(
     )
     keys = texts.select("rep", "signature").mapInArrow(_keys_of, "rep long, key long")
     heads = materialise(keys.groupBy("key").agg(F.min("rep").alias("head"), F.count("*").alias("c")).where("c > 1").select(F.col("key").alias("hkey"), "head"), "near-heads")
-    stars = keys.join(heads, F.col("key") == F.col("hkey")).where("rep <> head").select(F.col("rep").alias("src"), F.col("head").alias("dst"))
-    areas = connected_components(stars)
+    stars = keys.join(heads, F.col("key") == F.col("hkey")).where("rep <> head").select("rep", "head")
+    # A text has at most one head a band; all of them hang on its smallest one, which keeps the components.
+    stars = stars.withColumn("low", F.min("head").over(Window.partitionBy("rep")))
+    hung = stars.select(F.explode(F.array("rep", "head")).alias("src"), F.col("low").alias("dst")).where("src <> dst").distinct()
+    areas = connected_components(hung)
     sized = materialise(
         areas.join(texts.select("rep", "n_bytes"), F.col("node") == F.col("rep"))
         .groupBy("component")
