@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from gneiss.llm.mixing import mix
 from gneiss.llm.near import near_duplicates
 from gneiss.llm.pieces import digests, encode_pieces
+from gneiss.llm.rules import quality_rules
 from gneiss.llm.tokens import count_tokens
 from gneiss.session import table
 
@@ -27,6 +28,11 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdict of every document: doc_id, n_words, ..., base_failed, kept."""
+    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's ids and decoding: doc_id, n_tokens, ids_sha256, decoded_sha256."""
     return digests(encode_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")))
@@ -36,6 +42,7 @@ QUERIES = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_mixing": op3_mixing,
     "op5_token_counts": op5_token_counts,
+    "op7_quality_rules": op7_quality_rules,
     "op8_sentencepiece": op8_sentencepiece,
 }
 
