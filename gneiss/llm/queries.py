@@ -10,9 +10,16 @@ from gneiss.llm.near import near_duplicates
 from gneiss.llm.pieces import digests, encode_pieces
 from gneiss.llm.rules import quality_rules
 from gneiss.llm.tokens import count_tokens
+from gneiss.llm.warc import through_archives
 from gneiss.session import table
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages through WARC archives and back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    records = through_archives(table(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class and link count of every document: doc_id, class_id, n_links."""
     return near_duplicates(table(spark, sf_dir, "documents"))
@@ -39,6 +46,7 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_warc": op1_warc,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_mixing": op3_mixing,
     "op5_token_counts": op5_token_counts,
