@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gneiss.llm.mixing import mix
 from gneiss.llm.near import near_duplicates
 from gneiss.llm.pieces import digests, encode_pieces
 from gneiss.llm.rules import quality_rules
 from gneiss.llm.tokens import count_tokens
+from gneiss.llm.topk import top_k
 from gneiss.llm.warc import through_archives
 from gneiss.session import table
 
@@ -30,6 +32,11 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best of every query vector: query_id, rank, vec_id, score."""
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of every document: doc_id, n_bytes, n_tokens, over_limit."""
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -49,6 +56,7 @@ QUERIES = {
     "op1_warc": op1_warc,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_mixing": op3_mixing,
+    "op4_exact_top_k": op4_exact_top_k,
     "op5_token_counts": op5_token_counts,
     "op7_quality_rules": op7_quality_rules,
     "op8_sentencepiece": op8_sentencepiece,
