@@ -13,6 +13,7 @@ from gneiss.llm.pieces import digests, encode_pieces
 from gneiss.llm.rules import quality_rules
 from gneiss.llm.tokens import count_tokens
 from gneiss.llm.topk import top_k
+from gneiss.llm.toxicity import held_out_toxicity
 from gneiss.llm.warc import through_archives
 from gneiss.session import table
 
@@ -43,6 +44,11 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document: doc_id, held_out, score, predicted."""
+    return held_out_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdict of every document: doc_id, n_words, ..., base_failed, kept."""
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -64,6 +70,7 @@ QUERIES = {
     "op3_mixing": op3_mixing,
     "op4_exact_top_k": op4_exact_top_k,
     "op5_token_counts": op5_token_counts,
+    "op6_toxicity": op6_toxicity,
     "op7_quality_rules": op7_quality_rules,
     "op8_sentencepiece": op8_sentencepiece,
     "op10_language_id": op10_language_id,
