@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gneiss.llm.language import held_out_languages
+from gneiss.llm.maintext import extract_main_text
 from gneiss.llm.mixing import mix
 from gneiss.llm.near import near_duplicates
 from gneiss.llm.pieces import digests, encode_pieces
@@ -59,6 +60,11 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(encode_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")))
 
 
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page: page_id, url, text, n_chars."""
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document: doc_id, held_out, lang_pred, score."""
     return held_out_languages(table(spark, sf_dir, "documents"))
@@ -73,6 +79,7 @@ QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op7_quality_rules": op7_quality_rules,
     "op8_sentencepiece": op8_sentencepiece,
+    "op9_main_text": op9_main_text,
     "op10_language_id": op10_language_id,
 }
 
