@@ -9,9 +9,11 @@ from gneiss.functions.safe import dot, norm
 from gneiss.storage import materialise
 
 
-def nearest(points: DataFrame, k: int, include: int = 8, max_rounds: int = 40) -> DataFrame:
+def nearest(points: DataFrame, k: int, targets: DataFrame | None = None, include: int = 8, max_rounds: int = 40) -> DataFrame:
     """``(src, dst, d2, rank)``: the exact k nearest other points in three dimensions, ties to smaller ids.
 
+    Neighbours are sought among ``targets``, by default the points themselves.
+
     Points fall in cubic cells; a point meets the points of its 27 cells, and is
     settled when its kth distance is at most the cell's edge, since all nearer
     points are then among those met.  The few that are not settled go on with
@@ -19,13 +21,15 @@ def nearest(points: DataFrame, k: int, include: int = 8, max_rounds: int = 40) -
     ``include`` points a cell.  Points with a null coordinate take no part; with
     k or fewer other points all of them are neighbours.
     """
-    base = materialise(points.select("id", "x", "y", "z").where("id IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL"), "knn-points")
+    whole = lambda df: materialise(df.select("id", "x", "y", "z").where("id IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL"), "knn-points")
+    todo = whole(points)
+    base = todo if targets is None else whole(targets)
     n, *ends = base.agg(F.count("*"), *(f(c) for c in "xyz" for f in (F.min, F.max))).first()
-    if n < 2:
+    if n < 2 and targets is None or not n:
         return base.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("d2"), F.lit(0).alias("rank")).limit(0)
     spans = [max(b - a, 1e-9) for a, b in zip(ends[::2], ends[1::2], strict=True)]
     edge = max((spans[0] * spans[1] * spans[2] * include / n) ** (1 / 3), max(spans) / 2**20)
-    todo, done, want = base, [], min(k, n - 1)
+    done, want = [], min(k, n - 1 if targets is None else n)
     for _ in range(max_rounds):
         cell = lambda c: F.floor(F.col(c) / edge)  # noqa: E731, B023
         grid = base.select(F.col("id").alias("dst"), *(F.col(c).alias(f"{c}2") for c in "xyz"), *(cell(c).alias(f"c{c}") for c in "xyz"))
@@ -43,6 +47,8 @@ def nearest(points: DataFrame, k: int, include: int = 8, max_rounds: int = 40) -
         if todo.isEmpty():
             break
         edge *= 2
+    else:
+        raise RuntimeError(f"points without {want} neighbours after {max_rounds} rounds")
     out = done[0]
     for part in done[1:]:
         out = out.union(part)

@@ -67,7 +67,7 @@ def temporal_consistency(rasters: DataFrame, frame: str = "frame", pixel: str =
     equi-join on pixel and rank.  A cluster absent from both frames is no id of
     the pair; a pair without ids gives no row.
     """
-    rank = F.row_number().over(Window.orderBy(frame))
+    rank = F.row_number().over(Window.orderBy("of"))
     order = rasters.select(F.col(frame).alias("of")).distinct().select("of", rank.alias("rank"))  # one row a frame
     ranked = rasters.join(F.broadcast(order) if order.limit(100_001).count() <= 100_000 else order, F.col(frame) == F.col("of"))
     a = ranked.select(F.col("rank").alias("t"), F.col(pixel).alias("p"), F.col(k).alias("a"))

@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from gneiss.plans import evaluation, graph, ledger, relational
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+for _part in (evaluation, graph, ledger, relational):
+    QUERIES.update(_part.QUERIES)
+    ORACLES.update(_part.ORACLES)
