@@ -10,6 +10,7 @@ from gneiss.llm.language import held_out_languages
 from gneiss.llm.maintext import extract_main_text
 from gneiss.llm.mixing import mix
 from gneiss.llm.near import near_duplicates
+from gneiss.llm.oracles import ORACLES
 from gneiss.llm.pieces import digests, encode_pieces
 from gneiss.llm.rules import quality_rules
 from gneiss.llm.tokens import count_tokens
@@ -18,6 +19,8 @@ from gneiss.llm.toxicity import held_out_toxicity
 from gneiss.llm.warc import through_archives
 from gneiss.session import table
 
+__all__ = ["ORACLES", "QUERIES"]
+
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages through WARC archives and back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
@@ -82,5 +85,3 @@ QUERIES = {
     "op9_main_text": op9_main_text,
     "op10_language_id": op10_language_id,
 }
-
-ORACLES: dict[str, str] = {}
