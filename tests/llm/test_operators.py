@@ -1,0 +1,397 @@
+"""Each operator against a brute-force twin, and on awkward and empty tables."""
+
+from __future__ import annotations
+
+import base64
+import gzip
+import hashlib
+import math
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+import sentencepiece
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from gneiss.llm import language, maintext, mixing, near, pieces, rules, textbytes, tokens, topk, toxicity, warc
+
+WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+BPE, PIECES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
+
+
+def rows_of(df):
+    return [(r["doc_id"], r["text"]) for r in df.collect()]
+
+
+def brute_links(rows, threshold=0.8):
+    sets = {}
+    for i, t in rows:
+        w = WORDS.findall(t or "")
+        if w and i is not None:
+            sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    links, root = Counter(), {i: i for i, _ in rows}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= threshold:
+                links[a] += 1
+                links[b] += 1
+                root[max(top(a), top(b))] = min(top(a), top(b))
+    return {i: (top(i), links[i]) for i in root}
+
+
+def test_near_equals_brute_force(awkward):
+    once = awkward.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in near.near_duplicates(once).collect()}
+    assert got == brute_links(rows_of(once))
+
+
+def test_near_splits_large_groups_alike(awkward):
+    once = awkward.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in near.near_duplicates(once, block_rows=2).collect()}
+    assert got == brute_links(rows_of(once))
+
+
+def test_near_awkward_and_empty(awkward, nothing):
+    got = near.near_duplicates(awkward).collect()
+    assert len(got) == awkward.count()
+    assert [tuple(r) for r in got if r["doc_id"] is None] == [(None, None, 0)]
+    assert next(r["n_links"] for r in got if r["doc_id"] == 0) >= 2  # a repeated row counts as a copy
+    assert near.near_duplicates(nothing).count() == 0
+    kept = near.drop_near_duplicates(awkward)
+    assert kept.columns == awkward.columns and kept.where("doc_id IS NULL").count() == 1
+    assert near.drop_near_duplicates(nothing).count() == 0
+
+
+def test_pruning_keeps_what_may_reach_the_threshold():
+    fewest = near.least_matches(0.8, 1e-7)
+    assert list(fewest) == sorted(fewest) and fewest[0] <= 4 and 80 < fewest[-1] < 128
+
+
+def test_word_hashes_see_words_only():
+    import pyarrow as pa
+
+    texts = ["a bb  a", "", "bb\na", None, "x" * (3 << 20), " lead a", "é é"]
+    codes, rows = textbytes.word_hashes(*textbytes.utf8(pa.array(texts)))
+    words = [WORDS.findall(t or "") for t in texts]
+    assert np.diff(rows).tolist() == [len(w) for w in words]
+    flat = [w for ws in words for w in ws]
+    assert len(set(zip(flat, codes.tolist(), strict=True))) == len(set(flat)) == len(set(codes.tolist()))
+
+
+def test_minhash_estimates_jaccard():
+    rng = np.random.default_rng(1)
+    shared, a, b = (rng.integers(0, 1 << 63, n, dtype=np.uint64) for n in (800, 100, 100))
+    both = np.concatenate([shared, a, shared, b])
+    s = near.minhash(both, np.array([0, 900, 1800]))
+    assert abs((s[0] == s[1]).mean() - 0.8) < 0.12
+
+
+def test_token_counts_equal_the_library(awkward, nothing):
+    library = Tokenizer.from_file(BPE)
+    got = Counter(map(tuple, tokens.count_tokens(awkward, BPE, group_bytes=1000).collect()))
+    want = Counter()
+    for i, t in rows_of(awkward):
+        n = len(library.encode(t or "", add_special_tokens=False).ids)
+        want[(i, len((t or "").encode()), n, n > 2048)] += 1
+    assert got == want
+    assert tokens.count_tokens(nothing, BPE).count() == 0
+
+
+@pytest.mark.parametrize("text", ["Don't. it's a1. 3.14, x~ ~ ~~", "É. é, (a). ... ?!", "á. b", "\x1c a\x1cb\x85c\xa0d", "<|ENDOFTEXT|> <|endoftext|>.", "İ ΑΣ Σ. ﬁ"])
+def test_segments_count_like_whole_texts(text):
+    library, counter = Tokenizer.from_file(BPE), tokens.SegmentCounter(BPE, 64)
+    segments = text.encode().split()
+    assert sum(counter.counts(segments)[s] for s in segments) == len(library.encode(text, add_special_tokens=False).ids)
+
+
+def test_pieces_equal_the_library(awkward, nothing):
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    got = pieces.encode_pieces(awkward.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]), PIECES).collect()
+    texts = dict(rows_of(awkward))
+    for r in got:
+        text = texts[r["doc_id"]] or ""
+        ids = [*library.encode(text), library.eos_id()]
+        assert r["ids"] == ids and r["decoded"] == library.decode(ids)
+        assert r["bounds"][0] == 0 and r["bounds"][-1] == len(text.encode()) and len(r["bounds"]) == len(ids) + 1
+    assert pieces.encode_pieces(nothing, PIECES).count() == 0
+    one = pieces.digests(pieces.encode_pieces(awkward.where("text = ''").limit(1), PIECES)).first()
+    assert (one["n_tokens"], one["ids_sha256"], one["decoded_sha256"]) == (1, hashlib.sha256(b"2").hexdigest(), hashlib.sha256(b"").hexdigest())
+
+
+@pytest.mark.parametrize("text", ["plain words", " lead  two ", "a\nb \n c", "▁ mark▁ é 日", "😀 x", "<0x0A> </s>", "  ", "\n\n"])
+def test_bounds_follow_the_library_offsets(text):
+    encoder = pieces.PieceEncoder(PIECES)
+    ids, bounds = encoder.encode([text.encode()])[0]
+    proto = encoder.library.encode(text, return_type="proto").pieces
+    assert [p.id for p in proto] == ids.tolist()
+    for p, begin in zip(proto, bounds.tolist(), strict=False):
+        if not p.piece.startswith("<0x") and p.surface:
+            assert begin == p.begin
+
+
+@pytest.mark.parametrize("rule", ["nmt_nfkc", "nfkc_cf"])
+def test_character_map_normalises_like_the_library(rule):
+    library = sentencepiece.SentencePieceNormalizer(rule_name=rule)
+    from sentencepiece import sentencepiece_model_pb2
+
+    proto = sentencepiece_model_pb2.ModelProto()
+    proto.ParseFromString(library.serialized_model_proto())
+    spec = proto.normalizer_spec
+    ours = pieces.Normaliser(spec)
+    for text in ["ﬁne ①② ＡＢＣ", "é é x", " a   b ", "㌔ 株式会社", "plain", ""]:
+        normal, begins, ends = ours.normalise(text.encode())
+        assert normal.decode() == library.normalize(text), text
+        assert begins == sorted(begins) and all(0 <= b <= e <= len(text.encode()) for b, e in zip(begins, ends, strict=True))
+
+
+def brute_top(vectors, query, own, k):
+    scores = sorted((-sum(int(a) * int(b) for a, b in zip(query, v, strict=True)), i) for i, v in vectors if i != own)
+    return [(-s, i) for s, i in scores[:k]]
+
+
+def test_top_k_equals_brute_force(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in rng.normal(0, 0.2, 6)]) for i in range(150)] + [(200 + i, [0.5] * 6) for i in range(9)] + [(400, [0.0] * 6)]
+    bad = [(500, None), (550, [0.1, None, 0.1, 0.1, 0.1, 0.1]), (600, [float("nan")] * 6), (650, [float("inf")] + [0.0] * 5), (None, [0.1] * 6)]
+    df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<double>")
+    whole = [(i, [math.floor(256 * x) for x in v]) for i, v in rows]
+    got = defaultdict(list)
+    for r in topk.top_k(df, F.col("vec_id") % 50 == 0, block_rows=40, query_rows=2).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["score"], r["vec_id"]))
+    assert dict(got) == {i: brute_top(whole, v, i, 5) for i, v in whole if i % 50 == 0}
+    assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_threshold_algorithm_stops_early():
+    rng = np.random.default_rng(3)
+    v = rng.integers(-50, 50, (4000, 3)).astype(float)
+    lists = topk.SortedLists(np.arange(4000), v)
+    rows, scores = lists.search(np.array([3.0, -2.0, 0.0]), -1, 5)
+    want = brute_top(list(enumerate(v)), [3, -2, 0], -1, 5)
+    assert [(int(s), int(r)) for s, r in zip(scores, rows, strict=True)] == want
+
+
+def test_archives_round_trip(spark, tmp_path):
+    pages = [(1, "http://a/x", "<p>one</p>"), (2, "http://b", "<p>one</p>"), (3, None, None), (4, "u\r\nv", ""), (5, "http://c", "a\r\n\r\nb é"), (5, "http://c", "again"), (None, "http://n", "nul")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    out = f"file://{tmp_path}/warc"
+    got = warc.through_archives(df, out, with_payload=True).collect()
+    digest = lambda s: base64.b32encode(hashlib.sha1((s or "").encode()).digest()).decode()
+    want = sorted(
+        [(1, 10, digest("<p>one</p>"), "revisit", 2), (2, 10, digest("<p>one</p>"), "response", None), (3, 0, digest(""), "revisit", 4), (4, 0, digest(""), "response", None),
+         (5, len("a\r\n\r\nb é".encode()), digest("a\r\n\r\nb é"), "response", None), (5, 5, digest("again"), "response", None), (None, 3, digest("nul"), "response", None)],
+        key=repr,
+    )
+    assert sorted(((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got), key=repr) == want
+    assert {r["payload"] for r in got if r["record_type"] == "response"} == {b"<p>one</p>", b"", "a\r\n\r\nb é".encode(), b"again", b"nul"}
+    for archive in (tmp_path / "warc" / "records").glob("*.warc.gz"):
+        raw = archive.read_bytes()
+        for line in archive.with_name(archive.name.replace(".warc.gz", ".idx")).read_text().splitlines():
+            offset, length = map(int, line.split()[:2])
+            assert gzip.decompress(raw[offset : offset + length]).startswith(b"WARC/1.1")
+    assert warc.through_archives(df.limit(0), f"file://{tmp_path}/none").count() == 0
+
+
+def test_a_payload_below_the_least_size_is_its_own(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a", "xx"), (2, "b", "xx")], "page_id long, url string, html string")
+    assert {r["record_type"] for r in warc.through_archives(df, f"file://{tmp_path}/w", least_bytes=3).collect()} == {"response"}
+
+
+def test_mix_meets_its_targets(spark, awkward, nothing):
+    got = mixing.mix(awkward).collect()
+    assert len(got) == awkward.count()
+    assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, mixing.mix(awkward.repartition(7)).collect()), key=repr)
+    sources = defaultdict(lambda: [0, None, None])
+    names = {r["doc_id"]: r["source"] for r in awkward.collect()}
+    for r in got:
+        assert 0 <= r["taken"] <= 2 * r["size"]
+        s = sources[names[r["doc_id"]]]
+        s[0], s[1], s[2] = s[0] + r["taken"], r["target"], r["source_size"]
+    for taken, target, size in sources.values():
+        assert abs(taken - target) <= 0.5 + 1e-6 and target <= 2 * size + 1e-6
+    assert sum(s[1] for s in sources.values()) == pytest.approx(1.5 * sum(s[2] for s in sources.values()), abs=1e-3)
+    assert mixing.mix(nothing).count() == 0
+
+
+def test_targets_stop_at_the_cap_and_go_to_the_others(spark):
+    sizes = [("a", 10), ("b", 1000), (None, 500), ("c", 300)]
+    got = {r["source"]: r["target"] for r in mixing.targets(spark.createDataFrame(sizes, "source string, source_size long")).collect()}
+    total, weight, cap, open_ = 1.5 * 1810, {"a": 5, "b": 2, "c": 1, None: 5}, {s: 2 * n for s, n in sizes}, {s for s, _ in sizes}
+    want = {}
+    while True:  # as the words say: cut at the cap, share what is over
+        level = (total - sum(want.values())) / sum(weight[s] for s in open_)
+        over = {s for s in open_ if level * weight[s] > cap[s]}
+        if not over:
+            break
+        want |= {s: cap[s] for s in over}
+        open_ -= over
+    want |= {s: level * weight[s] for s in open_}
+    assert got == pytest.approx(want)
+
+
+def test_mixed_documents_take_the_words_of_the_mix(spark, awkward):
+    unique = awkward.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    taken = {r["doc_id"]: r["taken"] for r in mixing.mix(unique).collect() if r["taken"]}
+    words = Counter()
+    for r in mixing.mixed_documents(unique).collect():
+        words[r["doc_id"]] += len(WORDS.findall(r["text"]))
+    assert dict(words) == taken
+
+
+def brute_measures(text):
+    w = WORDS.findall(text or "")
+    windows = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    times = Counter(windows)
+    covered = {j for i, x in enumerate(windows) if times[x] > 1 for j in range(i, i + 5)}
+    lines = [x for x in (text or "").split("\n") if WORDS.search(x)]
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(covered)
+
+
+def test_measures_equal_brute_force(spark, awkward, nothing):
+    labels = spark.createDataFrame([(0, 1), (1, 0), (None, 1), (2, None)], "doc_id long, quality int")
+    got = rules.quality_rules(awkward, labels).collect()
+    want = {i: brute_measures(t) for i, t in rows_of(awkward)}
+    assert len(got) == awkward.count()
+    for r in got:
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == want[r["doc_id"]]
+        assert r["base_failed"] == (r["n_words"] < 10 or 100 * r["n_repeat_words"] > 20 * r["n_words"])
+        assert r["kept"] == (not r["base_failed"])  # too few labels for any cutoff
+    assert rules.quality_rules(nothing, labels.limit(0)).count() == 0
+
+
+def test_binomial_tail_is_exact(spark):
+    rows = [(k, n) for n in (1, 10, 400, 3000) for k in (0, 1, 5, 40) if k <= n]
+    got = spark.createDataFrame(rows, "k long, n long").select("k", "n", rules.binomial_tail(F.col("k"), F.col("n"), 0.02).alias("p")).collect()
+    for r in got:
+        want = 1.0 if r["k"] >= r["n"] else sum(math.exp(math.lgamma(r["n"] + 1) - math.lgamma(i + 1) - math.lgamma(r["n"] - i + 1) + i * math.log(0.02) + (r["n"] - i) * math.log(0.98)) for i in range(r["k"] + 1))
+        assert r["p"] == pytest.approx(want, rel=1e-9)
+
+
+def test_cutoffs_keep_the_risk(spark):
+    rows = [(i, "x", 1, 100, 0 if i % 100 else 30, 10, 0, 0, 1000, i) for i in range(4000)] + [(9000 + i, "x", 0, 100, 60, 10, 0, 0, 1000, i) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, s string, g int, n_words long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long, word_chars long, junk long")
+    got = {r["rule"]: r["cutoff"] for r in rules.risk_cutoffs(df, "s", "g", risk=0.02).collect()}
+    assert 0.03 <= got["symbols"] < 0.06 and "repeats" not in got
+
+
+def test_toxic_words_are_learned_from_positives(spark, nothing):
+    import random
+
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice(["ka", "lo", "mi", "tu", "se", "ra"]) for _ in range(3))
+    docs, labels = [], []
+    for i in range(1200):
+        text = [word() for _ in range(rng.randint(10, 60))]
+        toxic = i % 8 == 0
+        if toxic:
+            for _ in range(3):
+                text.insert(rng.randrange(len(text)), "vrgh" + rng.choice(["en", "a", "osk", "um"]))
+        docs.append((i, " ".join(text)))
+        if i % 3:
+            labels.append((i, int(toxic)))
+    docs += [(9000, None), (9001, ""), (None, "kalo")]
+    df, lab = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = toxicity.held_out_toxicity(df, lab).collect()
+    assert len(got) == len(docs)
+    right = [r["predicted"] == int(r["doc_id"] % 8 == 0) for r in got if r["doc_id"] is not None and r["doc_id"] < 9000]
+    assert sum(right) / len(right) > 0.98
+    assert all(0 <= r["score"] <= 1 for r in got)
+    assert toxicity.held_out_toxicity(df.limit(0), lab).count() == 0
+    assert {r["score"] for r in toxicity.held_out_toxicity(df, lab.limit(0)).collect()} == {0.0}
+
+
+def brute_bits(trees_counts, langs, data):
+    """Code length of bytes by walking the contexts from the longest down."""
+    bits = np.zeros(len(langs))
+    for l in range(len(langs)):
+        tree = trees_counts[l]
+        for i in range(len(data)):
+            for n in range(min(language.ORDER - 1, i), -1, -1):
+                context = data[i - n : i]
+                seen = tree.get(context)
+                if not seen:
+                    continue
+                total, kinds = sum(seen.values()), len(seen)
+                if data[i] in seen:
+                    bits[l] += math.log2((total + kinds) / seen[data[i]])
+                    break
+                bits[l] += math.log2((total + kinds) / kinds)
+            else:
+                bits[l] += 8
+    return bits
+
+
+def test_code_lengths_equal_a_walk_down_the_contexts(spark):
+    import pyarrow as pa
+
+    texts = {"a": ["the cat sat on the mat", "then that"], "b": ["el gato se sento", "la mesa el"]}
+    langs = sorted(texts)
+    trees, counts = [], {}
+    for lang in langs:
+        tree = defaultdict(Counter)
+        for t in texts[lang]:
+            raw = bytes(language.fold(np.frombuffer(t.encode(), np.uint8)))
+            for i in range(len(raw)):
+                for n in range(min(language.ORDER - 1, i) + 1):
+                    tree[raw[i - n : i]][raw[i]] += 1
+        trees.append(tree)
+    for n in range(1, language.ORDER + 1):
+        grams = Counter()
+        for l, tree in enumerate(trees):
+            for context, seen in tree.items():
+                if len(context) == n - 1:
+                    for byte, c in seen.items():
+                        grams[(int.from_bytes(context + bytes([byte]), "big"), l)] += c
+        keys = np.array(sorted({k for k, _ in grams}), np.int64)
+        counts[n] = keys, np.array([[grams[(k, l)] for l in range(2)] for k in keys.tolist()], float)
+    model = language.ContextTrees(langs, counts)
+    tests = ["the gato", "zzz q", "mat", ""]
+    data, offsets = textbytes.utf8(pa.array(tests))
+    got = model.lengths(language.fold(data), offsets[:-1][offsets[:-1] < len(data)])
+    for k, t in enumerate(tests):
+        want = brute_bits(trees, langs, bytes(language.fold(np.frombuffer(t.encode(), np.uint8))))
+        assert got[offsets[k] : offsets[k + 1]].sum(axis=0) == pytest.approx(want, rel=1e-4)
+
+
+def test_languages_are_told_apart(spark, awkward, nothing):
+    rows = [(i, "the house is on the hill and the dog sleeps", "en") for i in range(40)] + [(100 + i, "das haus ist auf dem berg und der hund liegt", "de") for i in range(40)]
+    rows += [(300, None, "en"), (301, "123 !?", "de"), (302, "der berg und das haus", None), (None, "the dog", "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.held_out_languages(df).collect()}
+    assert got[300] == got[301] == ("und", 0.0) and got[302][0] == "de" and got[None][0] == "en"
+    assert all(got[i][0] == ("en" if i < 100 else "de") for i in range(140) if i in got)
+    assert language.held_out_languages(awkward).count() == awkward.count()
+    assert language.held_out_languages(nothing).count() == 0
+
+
+PAGE = """<html><head><title>T</title><style>p{}</style></head><body><header><a href=/>Site</a></header><nav><ul><li><a href=1>One</a></ul></nav>
+<div class="cookie-notice">We use cookies</div><div class=ad>Buy now</div>%s<aside>See also</aside><form><p>Name</p></form>
+<section id="comments"><p>first!</p></section><script>var x="</p>";</script><footer>&copy; us</footer></body></html>"""
+BODY = "<h1>A &amp; B</h1><p>First   para\nwith <b>bold</b> text that is long enough.<p>Second&nbsp;one &lt;ok&gt;.</p><p>Of.</p><ul><li>x<li>y</ul>"
+TEXT = "A & B\n\nFirst para with bold text that is long enough.\n\nSecond one <ok>.\n\nOf.\n\nx\n\ny"
+
+
+@pytest.mark.parametrize("wrap", ["<article>%s</article>", "<main>%s</main>", "<div id=content>%s</div>"])
+def test_main_text(wrap):
+    assert maintext.main_text(PAGE % (wrap % BODY)) == TEXT
+
+
+@pytest.mark.parametrize("page", [None, "", "   ", "<html></html>", "<script>x</script>", "<!-- only -->", "<", "<p", "<nav><a>m</a></nav>"])
+def test_pages_without_text(page):
+    assert maintext.main_text(page) in ("", "<")
+
+
+def test_main_text_over_a_table(spark):
+    df = spark.createDataFrame([(1, "u", PAGE % BODY), (2, None, None), (None, "n", "<p>x &am")], "page_id long, url string, html string")
+    got = {r["page_id"]: (r["url"], r["text"], r["n_chars"]) for r in maintext.extract_main_text(df).collect()}
+    assert got == {1: ("u", TEXT, len(TEXT)), 2: (None, "", 0), None: ("n", "x &am", 5)}
+    assert maintext.extract_main_text(df.limit(0)).count() == 0
