@@ -30,10 +30,14 @@ def _(spark, d):
     return lg.mode_gain(runs(spark, d), ["scene", "clusterer", "run_id"]).select("scene", "clusterer", "run_id", "n", f6(F.col("gain")).alias("gain"))
 
 
-@query("group_summary", RUNS + " SELECT scene, mode, count(*) AS n, round(avg(metric), 4) AS mean, round(min(metric), 4) AS low, round(max(metric), 4) AS high, round(avg(metric) FILTER (run_id > 2), 4) AS late FROM runs GROUP BY ALL")
+@query("group_summary", RUNS + " SELECT scene, mode, count(*) AS n, round(sum(round(metric * 100)::BIGINT)::DOUBLE / count(*) / 100, 4) AS mean, round(min(metric), 4) AS low, round(max(metric), 4) AS high, round((sum(round(metric * 100)::BIGINT) FILTER (run_id > 2))::DOUBLE / count(*) FILTER (run_id > 2) / 100, 4) AS late FROM runs GROUP BY ALL")
 def _(spark, d):
-    m = F.col("metric")
-    return runs(spark, d).groupBy("scene", "mode").agg(F.count("*").alias("n"), F.round(F.avg(m), 4).alias("mean"), F.round(F.min(m), 4).alias("low"), F.round(F.max(m), 4).alias("high"), F.round(F.avg(F.when(F.col("run_id") > 2, m)), 4).alias("late"))
+    m, late = F.col("metric"), F.col("run_id") > 2
+    cents = F.round(m * 100).cast("long")  # whole numbers: the sum has no order
+    mean = lambda total, n: F.round(F.try_divide(total.cast("double"), n) / 100, 4)
+    return runs(spark, d).groupBy("scene", "mode").agg(
+        F.count("*").alias("n"), mean(F.sum(cents), F.count("*")).alias("mean"), F.round(F.min(m), 4).alias("low"), F.round(F.max(m), 4).alias("high"), mean(F.sum(F.when(late, cents)), F.count_if(late)).alias("late")
+    )
 
 
 @query("variant_delta", RUNS + ", v AS (SELECT clusterer, avg(metric) AS mean, count(*) FILTER (mode <> 'other') AS done FROM runs GROUP BY clusterer), b AS (SELECT mean AS base FROM v ORDER BY clusterer LIMIT 1) SELECT clusterer, done, round(mean, 4) AS mean, round(mean - base, 4) AS delta FROM v, b")
