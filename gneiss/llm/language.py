@@ -185,15 +185,16 @@ def _identifier(shared):
             per_byte = bits.min(axis=1, initial=np.inf) / np.maximum(np.diff(offsets), 1)
             pred = np.array(trees.langs, object)[best]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("text_has_letter"), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(per_byte, pa.float64())],
-                ["id", "letter", "pred", "score", "bits_per_byte"],
+                [batch.column("row"), batch.column("text_has_letter"), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(per_byte, pa.float64())],
+                ["row", "letter", "pred", "score", "bits_per_byte"],
             )
 
     return identify
 
 
-def identify_languages(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
-    """``(id_col, lang_pred, score, bits_per_byte)`` of every row of ``docs``.
+def identify_rows(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", carry: list[str] | None = None, **options) -> DataFrame:
+    """``(row, lang_pred, score, bits_per_byte)`` of every row of ``docs``; ``row`` is a
+    struct of the columns to carry, by default all, so clashing names do no harm.
 
     Each language has a byte context tree of up to ORDER - 1 bytes of context,
     trained on a bounded sample of ``training`` and then frozen; a whole text's
@@ -203,20 +204,19 @@ def identify_languages(docs: DataFrame, training: DataFrame, id_col: str = "doc_
 
     A null text or one without a letter is ``und`` with score 0; so is every
     text when the training rows have no language.  Rows that repeat are scored
-    each; other columns play no part.  The trees (a few MB, bounded by the
-    sample) are broadcast; there is no shuffle of the texts.
+    each.  The trees (a few MB, bounded by the sample) are broadcast; there is
+    no shuffle of the texts.
     """
     spark = docs.sparkSession
+    letter = F.coalesce(F.col(text_col).rlike("\\p{L}"), F.lit(False))
+    rows = docs.select(F.struct(*(F.col(c) for c in carry or docs.columns)).alias("row"), F.col(text_col).alias("text"), letter.alias("text_has_letter"))
     trees = train(spark, training, text_col, lang_col, id_col, **options)
     if trees is None:
-        return docs.select(id_col, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("bits_per_byte"))
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(
-        F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(F.col(text_col).rlike("\\p{L}"), F.lit(False)).alias("text_has_letter")
-    )
-    out = rows.mapInArrow(_identifier(spark.sparkContext.broadcast(trees)), f"id {kind}, letter boolean, pred string, score double, bits_per_byte double")
+        return rows.select("row", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("bits_per_byte"))
+    kind = rows.schema["row"].dataType.simpleString()
+    out = rows.mapInArrow(_identifier(spark.sparkContext.broadcast(trees)), f"row {kind}, letter boolean, pred string, score double, bits_per_byte double")
     return out.select(
-        F.col("id").alias(id_col),
+        "row",
         F.when(F.col("letter"), F.col("pred")).otherwise(UNKNOWN).alias("lang_pred"),
         F.when(F.col("letter"), F.col("score")).otherwise(0.0).alias("score"),
         "bits_per_byte",
@@ -230,5 +230,5 @@ def fold_of(id_col: str, folds: int) -> Column:
 
 def held_out_languages(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", folds: int = 5, **options) -> DataFrame:
     """``(id_col, held_out, lang_pred, score)``: fold 0 is held out of the training."""
-    scored = identify_languages(docs, docs.where(fold_of(id_col, folds) != 0), id_col, lang_col=lang_col, **options)
+    scored = identify_rows(docs, docs.where(fold_of(id_col, folds) != 0), id_col, lang_col=lang_col, carry=[id_col], **options).select("row.*", "lang_pred", "score")
     return scored.select(id_col, (fold_of(id_col, folds) == 0).alias("held_out"), "lang_pred", "score")

@@ -50,7 +50,8 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document: doc_id, held_out, score, predicted."""
-    return held_out_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    scored = held_out_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("row.doc_id", "held_out", "score", "predicted")
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

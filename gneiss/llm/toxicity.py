@@ -148,27 +148,35 @@ def _closed(ranked: list[tuple[str, int, int]], most: int) -> list[str]:
     return [f for f, up, down in ranked if (up, down, f.rpartition("#")[2], f.rpartition("#")[0]) not in longer][:most]
 
 
-def train(spark: SparkSession, training: DataFrame, most_positive: int = 4_000, most_mixture: int = 16_000, vocabulary: int = 1_024, least_support: int = 5) -> WordModel | None:
-    """A model from ``(id, text, label)``: label 1 confirmed toxic, 0 or null unlabelled.
+def train(spark: SparkSession, texts: DataFrame, labels: DataFrame, most_positive: int = 4_000, most_mixture: int = 16_000, vocabulary: int = 1_024, least_support: int = 5) -> WordModel | None:
+    """A model from ``(id, text)`` and ``(id, label)``: label 1 confirmed toxic, 0 or none unlabelled.
 
     The classifier sees a bounded sample: about ``most_positive`` positives and
     ``most_mixture`` of all documents (the unlabelled mixture, whatever their
-    labels), the first by a hash of id and text.  Features are word beginnings
-    met in at least ``least_support`` families of positives (near copies share
-    a family, so a text copied a thousand times is one vote); the
-    ``vocabulary`` of them that most exceed their share in the mixture, by the
-    lower end of the log ratio, enter.  These bounds bound what the driver
-    holds.  The class prior is the labelled documents' share of positives where
-    there are labels 0, else 0.05.
+    labels), the first by a hash of the id.  Features are word beginnings met in
+    at least ``least_support`` families of positives (near copies share a
+    family, so a text copied a thousand times is one vote); the ``vocabulary``
+    of them that most exceed their share in the mixture, by the lower end of
+    the log ratio, enter.  These bounds bound what the driver holds.  The class
+    prior is the labelled documents' share of positives where there are labels
+    0, else 0.05.
+
+    Labels meet ids without texts; only the sampled positives' ids, a bounded
+    number, are broadcast to the texts, which are never shuffled whole.
     """
-    positive = F.coalesce(F.col("label") == 1, F.lit(False))
-    sizes = training.agg(F.count_if(positive).alias("p"), F.count_if(F.col("label") == 0).alias("zero"), F.count("*").alias("u")).first()
-    if not sizes["p"] or sizes["p"] == sizes["u"]:
+    named = labels.where("id IS NOT NULL").groupBy("id").agg(F.max("label").alias("label"))
+    known = materialise(texts.where("id IS NOT NULL").select("id").join(named, "id").select("id", "label"), "toxic-known")
+    p, zero = known.agg(F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)).first()
+    u = texts.count()
+    if not p or p == u:
         return None
-    prior = min(max(sizes["p"] / (sizes["p"] + sizes["zero"]) if sizes["zero"] else 0.05, 1e-3), 0.5)
-    unit = F.xxhash64("id", "text").cast("double") / 2.0**64 + 0.5
-    in_p, in_u = positive & (unit < most_positive / sizes["p"]), unit < most_mixture / sizes["u"]
-    sample = training.select("text", F.explode(F.array_compact(F.array(F.when(in_p, True), F.when(in_u, False)))).alias("toxic"))
+    prior = min(max(p / (p + zero) if zero else 0.05, 1e-3), 0.5)
+    unit = F.xxhash64("id").cast("double") / 2.0**64 + 0.5
+    # A hash share of the positives: about most_positive ids, and no more than twice that.
+    positives = known.where((F.col("label") == 1) & (unit < most_positive / p)).select(F.col("id").alias("positive_id")).distinct().limit(2 * most_positive)
+    marked = texts.join(F.broadcast(positives), F.col("id") == F.col("positive_id"), "left")
+    kinds = F.array_compact(F.array(F.when(F.col("positive_id").isNotNull(), True), F.when(unit < most_mixture / u, False)))
+    sample = marked.select("text", F.explode(kinds).alias("toxic"))
     sample = materialise(sample.repartition(4 * spark.sparkContext.defaultParallelism), "toxic-sample")
     n_p, n_u = sample.agg(F.count_if("toxic"), F.count_if(~F.col("toxic"))).first()
     if not n_p or not n_u:
@@ -198,30 +206,30 @@ def _scorer(shared):
         model = shared.value
         for batch in batches:
             margins = np.array([model.margin(t) for t in batch.column("text").to_pylist()], np.float64)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(1 / (1 + np.exp(-np.clip(margins, -50, 50))))], ["id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(1 / (1 + np.exp(-np.clip(margins, -50, 50))))], ["row", "score"])
 
     return score
 
 
-def score_toxicity(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``(id_col, score)`` of every row of ``docs``, from its whole text alone.
+def scored_rows(docs: DataFrame, texts: DataFrame, labels: DataFrame, text_col: str = "text", carry: list[str] | None = None, **options) -> DataFrame:
+    """``(row, score)`` of every row of ``docs``, from its whole text alone; ``row``
+    is a struct of the columns to carry, by default all, so clashing names do no harm.
 
-    ``training`` has ``id``, ``text`` and ``label`` (1 toxic; 0 or null
-    unlabelled).  A word is a run of letters in lower case; a text's margin is
-    the sum of the weights of its words' beginnings, each counted up to TIMES
-    different words, and of the logarithm of its number of different words.  Null and empty texts have the score of no
-    words; without a positive or an unlabelled document every score is 0.
-    Ids may be null or repeat; other columns play no part.  The model (at most
-    a few hundred words) is broadcast; there is no shuffle of the texts.
+    ``texts`` (id, text) and ``labels`` (id, label; 1 toxic, 0 or none unlabelled)
+    are what is learned from.  A word is a run of letters in lower case; a
+    text's margin is the sum of the weights of its words' beginnings, each
+    counted up to TIMES different words, and of the logarithm of its number of
+    different words.  Null and empty texts have the score of no words; without
+    a positive or an unlabelled document every score is 0.  Rows may repeat.
+    The model (about a thousand beginnings) is broadcast; there is no shuffle.
     """
     spark = docs.sparkSession
-    model = train(spark, training, **options)
+    rows = docs.select(F.struct(*(F.col(c) for c in carry or docs.columns)).alias("row"), F.col(text_col).alias("text"))
+    model = train(spark, texts, labels, **options)
     if model is None:
-        return docs.select(id_col, F.lit(0.0).alias("score"))
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    out = rows.mapInArrow(_scorer(spark.sparkContext.broadcast(model)), f"id {kind}, score double")
-    return out.withColumnRenamed("id", id_col)
+        return rows.select("row", F.lit(0.0).alias("score"))
+    kind = rows.schema["row"].dataType.simpleString()
+    return rows.mapInArrow(_scorer(spark.sparkContext.broadcast(model)), f"row {kind}, score double")
 
 
 def held_out(id_col: str, folds: int = 3, fold: int = 1) -> Column:
@@ -229,9 +237,14 @@ def held_out(id_col: str, folds: int = 3, fold: int = 1) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def held_out_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.7, **options) -> DataFrame:
-    """``(id_col, held_out, score, predicted)``: fold 1 of 3 gives no labels to the training."""
-    known = labels.where(~held_out(id_col)).select(F.col(id_col).alias("of"), F.col(label_col).cast("int").alias("label")).where("of IS NOT NULL").groupBy("of").agg(F.max("label").alias("label"))
-    training = docs.where(~held_out(id_col)).join(known, F.col(id_col) == F.col("of"), "left").select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), "label")
-    scored = score_toxicity(docs, training, id_col, text_col, **options)
-    return scored.select(id_col, held_out(id_col).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+def held_out_toxicity(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.7, carry: list[str] | None = None, **options
+) -> DataFrame:
+    """``(row, held_out, score, predicted)`` of every row; fold 1 of 3 takes no part in the training.
+
+    ``row`` has the columns of ``carry``, by default the id alone.
+    """
+    texts = docs.where(~held_out(id_col)).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    known = labels.where(~held_out(id_col)).select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label"))
+    scored = scored_rows(docs, texts, known, text_col, carry or [id_col], **options)
+    return scored.select("row", held_out(f"row.{id_col}").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -302,7 +302,7 @@ def test_toxic_words_are_learned_from_positives(spark, nothing):
     df, lab = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
     got = toxicity.held_out_toxicity(df, lab).collect()
     assert len(got) == len(docs)
-    right = [r["predicted"] == int(r["doc_id"] % 8 == 0) for r in got if r["doc_id"] is not None and r["doc_id"] < 9000]
+    right = [r["predicted"] == int(r["row"]["doc_id"] % 8 == 0) for r in got if r["row"]["doc_id"] is not None and r["row"]["doc_id"] < 9000]
     assert sum(right) / len(right) > 0.98
     assert all(0 <= r["score"] <= 1 for r in got)
     assert toxicity.held_out_toxicity(df.limit(0), lab).count() == 0
