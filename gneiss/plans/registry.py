@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from gneiss.plans import evaluation, graph, ledger, relational, solving
+from gneiss.plans import evaluation, graph, ledger, relational, scalars, solving
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _part in (evaluation, graph, ledger, relational, solving):
+for _part in (evaluation, graph, ledger, relational, scalars, solving):
     QUERIES.update(_part.QUERIES)
     ORACLES.update(_part.ORACLES)

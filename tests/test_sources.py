@@ -63,3 +63,15 @@ def test_stream_to_a_table_with_sessions(spark, tmp_path):
     telemetry.run_to_table(telemetry.sessions(telemetry.telemetry(spark, f"{tmp_path}/in"), late="1 hour"), f"{tmp_path}/out", f"{tmp_path}/ck")
     got = spark.read.parquet(f"{tmp_path}/out")
     assert got.count() > 0 and got.where("n < 1 OR end < start").count() == 0
+
+
+def test_reports(spark, tmp_path):
+    from gneiss.sources import reports
+
+    df = spark.createDataFrame([("a_1", 0.123456, None), ("b", 2.0, "x|y")], "scene string, iou double, note string")
+    reports.write_summary(df, f"{tmp_path}/s", ["scene", "iou"], ["scene"], ["iou"])
+    assert spark.read.csv(f"{tmp_path}/s", header=True).orderBy("scene").collect()[0][:] == ("a_1", "0.1235")
+    assert reports.markdown_table(df).splitlines()[2:] == ["| a_1 | 0.1235 |  |", "| b | 2.0000 | x\\|y |"]
+    assert r"a\_1 & 0.1235 & " in reports.latex_table(df)
+    fresh = spark.createDataFrame([("b", 3.0, None)], df.schema)
+    assert {r["scene"]: r["iou"] for r in reports.upsert(df, fresh, ["scene"]).collect()} == {"a_1": 0.123456, "b": 3.0}
