@@ -132,11 +132,11 @@ def _matrix_rows(shared):
             out = []
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
                 words = words_of(text)
-                out.append((toxic, _family(words), len(words), sorted(model.present(words))))
-            columns = list(zip(*out, strict=True)) or [(), (), (), ()]
+                out.append((toxic, len(words), sorted(model.present(words))))
+            columns = list(zip(*out, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(columns[0], pa.bool_()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.list_(pa.int32()))],
-                ["toxic", "family", "n", "features"],
+                [pa.array(columns[0], pa.bool_()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.list_(pa.int32()))],
+                ["toxic", "n", "features"],
             )
 
     return rows
@@ -191,7 +191,8 @@ def train(spark: SparkSession, texts: DataFrame, labels: DataFrame, most_positiv
     if not chosen:
         return None
     shared = spark.sparkContext.broadcast(WordModel(chosen, np.zeros(len(chosen) + 1), 0.0))
-    table = sample.mapInArrow(_matrix_rows(shared), "toxic boolean, family long, n long, features array<int>").distinct().toArrow()
+    # No row is folded here: the prior and the mixture must speak of the same documents.
+    table = sample.mapInArrow(_matrix_rows(shared), "toxic boolean, n long, features array<int>").toArrow()
     x = np.zeros((table.num_rows, len(chosen) + 1), np.float32)
     for row, features in enumerate(table.column("features").to_pylist()):
         x[row, features] = 1
