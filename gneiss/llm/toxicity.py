@@ -15,6 +15,8 @@ from gneiss.storage import materialise
 
 WORD = re.compile(r"[^\W\d_]+")
 SHORTEST, LONGEST, TIMES = 3, 8, 3
+#: Different features that a task holds before it hands their counts on.
+FLUSH = 200_000
 
 
 def words_of(text: str | None) -> set[str]:
@@ -42,25 +44,30 @@ def _family(words: set[str]) -> int:
     return min((xxhash.xxh3_64_intdigest(w) for w in words), default=0) >> 1
 
 
-def _feature_votes(batches):
-    """``(feature, family, toxic, c)``: a positive's features with its family; the mixture's counts a batch."""
+def _families(batches):
     for batch in batches:
-        mixture, rows = Counter(), []
-        for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-            words = words_of(text)
-            if toxic:
-                family = _family(words)
-                rows.extend((f, family) for f in features_of(words))
-            else:
-                mixture.update(features_of(words))
+        families = [_family(words_of(t)) for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(families, pa.int64()), batch.column("text")], ["family", "text"])
+
+
+def _feature_counts(batches):
+    """``(feature, up, down)``: in how many positives and rows of the mixture a feature is, summed up to FLUSH features at a time."""
+
+    def flushed():
+        features = list(up.keys() | down.keys())
         yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([f for f, _ in rows] + list(mixture), pa.string()),
-                pa.array([x for _, x in rows] + [None] * len(mixture), pa.int64()),
-                pa.array([0] * len(rows) + list(mixture.values()), pa.int64()),
-            ],
-            ["feature", "family", "c"],
+            [pa.array(features, pa.string()), pa.array([up[f] for f in features], pa.int64()), pa.array([down[f] for f in features], pa.int64())], ["feature", "up", "down"]
         )
+        up.clear()
+        down.clear()
+
+    up, down = Counter(), Counter()
+    for batch in batches:
+        for text, toxic in zip(batch.column("text"), batch.column("toxic"), strict=True):
+            (up if toxic.as_py() else down).update(features_of(words_of(text.as_py())))
+            if len(up) + len(down) >= FLUSH:
+                yield from flushed()
+    yield from flushed()
 
 
 class WordModel:
@@ -130,7 +137,7 @@ def _matrix_rows(shared):
         model = shared.value
         for batch in batches:
             out = []
-            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+            for text, toxic in zip((t.as_py() for t in batch.column("text")), batch.column("toxic").to_pylist(), strict=True):
                 words = words_of(text)
                 out.append((toxic, len(words), sorted(model.present(words))))
             columns = list(zip(*out, strict=True)) or [(), (), ()]
@@ -181,8 +188,11 @@ def train(spark: SparkSession, texts: DataFrame, labels: DataFrame, most_positiv
     n_p, n_u = sample.agg(F.count_if("toxic"), F.count_if(~F.col("toxic"))).first()
     if not n_p or not n_u:
         return None
-    votes = sample.mapInArrow(_feature_votes, "feature string, family long, c long")
-    counted = votes.groupBy("feature").agg(F.approx_count_distinct("family", 0.02).alias("up"), F.sum("c").alias("down")).where(F.col("up") >= least_support)
+    # One voter a family: copies of one text are one vote.
+    voters = sample.where("toxic").select("text").mapInArrow(_families, "family long, text string").dropDuplicates(["family"]).select("text", F.lit(True).alias("toxic"))
+    voters = voters.union(sample.where("NOT toxic").select("text", "toxic"))
+    counted = voters.mapInArrow(_feature_counts, "feature string, up long, down long").groupBy("feature").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
+    counted = counted.where(F.col("up") >= least_support)
     ratio = F.log(F.col("up") / n_p) - F.log((F.col("down") + 0.5) / n_u)
     # Two standard errors of the log ratio are taken off, so chance and few votes do not carry a feature.
     low = ratio - 2 * F.sqrt(1 / F.col("up") + 1 / (F.col("down") + 0.5 + F.col("up")))
@@ -206,7 +216,7 @@ def _scorer(shared):
     def score(batches):
         model = shared.value
         for batch in batches:
-            margins = np.array([model.margin(t) for t in batch.column("text").to_pylist()], np.float64)
+            margins = np.array([model.margin(t.as_py()) for t in batch.column("text")], np.float64)
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(1 / (1 + np.exp(-np.clip(margins, -50, 50))))], ["row", "score"])
 
     return score
