@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import html
 import re
+from itertools import groupby
+from statistics import median_low
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,6 +34,8 @@ TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.S)
 SPACE = re.compile(r"\s+")
 WINDOW = 3
+#: Characters from which on a line counts as text without doubt.
+LONG = 80
 
 
 def _apart(tag: str, attributes: str) -> bool:
@@ -130,28 +134,40 @@ def lines_of(page: str) -> list[Line]:
     return out
 
 
-def _surge_and_dive(lines: list[Line], window: int) -> tuple[int, int]:
-    """First and last line of the stretch of text: its sums over sliding windows
-    of lines surge at the one and dive at the other.
+def _stretches(lines: list[Line], window: int) -> list[Line]:
+    """The lines between the points where sums over sliding windows surge and dive.
 
-    A window's mass counts the characters that are not link text.  The stretch
-    grows from the heaviest window while the next window has at least a
-    hundredth of its mass, and then loses lines of links at either end.
+    A line's mass counts the characters that are not link text.  Text dives
+    where a whole window has next to none, so fewer lines of links than a window
+    end nothing, and it resumes behind: every stretch in which a window surges
+    to a typical line is kept.  The typical line is the median of those with
+    text, LONG characters at most, so one long block raises no bar.  Headings
+    hold a stretch together; lines of links at either end of one go.  Where all
+    text is links nothing tells lines apart, and all are kept.
     """
     mass = [max(len(x.text) - 2 * x.linked, 0) for x in lines]
-    sums = [sum(mass[i : i + window]) for i in range(len(lines))]
-    peak = max(range(len(lines)), key=sums.__getitem__)
-    floor = max(sums[peak] / 100, 1)
-    first = last = peak
-    while first > 0 and (sums[first - 1] >= floor and mass[first - 1] > 0 or lines[first - 1].heading):
-        first -= 1
-    while last + 1 < len(lines) and (sum(mass[max(last + 2 - window, 0) : last + 2]) >= floor and mass[last + 1] > 0):
-        last += 1
-    while first < last and not mass[first] and not lines[first].heading:
-        first += 1
-    while last > first and not mass[last]:
-        last -= 1
-    return first, last
+    if not any(mass):
+        return lines
+    surge = min(median_low([m for m in mass if m]), LONG)
+    floor = max(surge / 20, 1)
+    hold = [max(m, floor) if x.heading else m for x, m in zip(lines, mass, strict=True)]
+    dived = [False] * len(lines)
+    for i in range(len(lines) - window + 1):
+        if sum(hold[i : i + window]) < floor:
+            dived[i : i + window] = [True] * window
+    out: list[Line] = []
+    at = 0
+    for out_of_text, run in groupby(dived):
+        first, at = at, at + len(list(run))
+        last = at - 1
+        if out_of_text or max(sum(mass[i : min(i + window, at)]) for i in range(first, at)) < surge:
+            continue
+        while not mass[first] and not lines[first].heading:
+            first += 1
+        while not mass[last]:
+            last -= 1
+        out += lines[first : last + 1]
+    return out
 
 
 def main_text(page: str | None, window: int = WINDOW) -> str:
@@ -172,8 +188,7 @@ def main_text(page: str | None, window: int = WINDOW) -> str:
     if best and weights[best] * 2 >= max(weights.values()):
         keep = [x for x in lines if x.area == best]
     else:
-        first, last = _surge_and_dive(lines, window)
-        keep = lines[first : last + 1]
+        keep = _stretches(lines, window)
     return "\n\n".join(x.text for x in keep)
 
 

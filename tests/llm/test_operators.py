@@ -395,3 +395,14 @@ def test_main_text_over_a_table(spark):
     got = {r["page_id"]: (r["url"], r["text"], r["n_chars"]) for r in maintext.extract_main_text(df).collect()}
     assert got == {1: ("u", TEXT, len(TEXT)), 2: (None, "", 0), None: ("n", "x &am", 5)}
     assert maintext.extract_main_text(df.limit(0)).count() == 0
+
+
+def test_text_goes_on_behind_links_and_long_blocks():
+    short = ["Some plain words of the article, number %d, which go on for about a hundred and fifty characters, as paragraphs of articles do, up to here." % i for i in range(6)]
+    join = lambda parts: "".join(f"<p>{p}</p>" for p in parts)
+    linked = '<a href="/a">a paragraph which is nearly all of it a link</a> and so on'
+    assert maintext.main_text(join([*short[:3], linked, *short[3:]])) == "\n\n".join([*short[:3], "a paragraph which is nearly all of it a link and so on", *short[3:]])
+    long = "word " * 12_000
+    assert maintext.main_text(join([short[0], long, *short[1:]])) == "\n\n".join([short[0], long.strip(), *short[1:]])
+    menu = "".join(f'<p><a href="/{i}">entry {i}</a></p>' for i in range(5))
+    assert maintext.main_text(menu + join(short[:3]) + menu + join(short[3:]) + menu) == "\n\n".join(short)
