@@ -36,6 +36,8 @@ SPACE = re.compile(r"\s+")
 WINDOW = 3
 #: Characters from which on a line counts as text without doubt.
 LONG = 80
+#: Weight of text inside an article or main element against that of text outside.
+MARKED = 4
 
 
 def _apart(tag: str, attributes: str) -> bool:
@@ -137,36 +139,41 @@ def lines_of(page: str) -> list[Line]:
 def _stretches(lines: list[Line], window: int) -> list[Line]:
     """The lines between the points where sums over sliding windows surge and dive.
 
-    A line's mass counts the characters that are not link text.  Text dives
-    where a whole window has next to none, so fewer lines of links than a window
-    end nothing, and it resumes behind: every stretch in which a window surges
-    to a typical line is kept.  The typical line is the median of those with
-    text, LONG characters at most, so one long block raises no bar.  Headings
-    hold a stretch together; lines of links at either end of one go.  Where all
-    text is links nothing tells lines apart, and all are kept.
+    A line's mass counts the characters that are not link text, MARKED times
+    where it is inside an article or main element; windows end at the edges of
+    such elements.  Text dives where a whole window has next to none, so fewer
+    lines of links than a window end nothing, and it resumes behind: every
+    stretch in which a window surges to a typical line is kept.  The typical
+    line is the median of those with text, LONG characters at most, so one long
+    block raises no bar.  Headings and lines inside a marked element hold a
+    stretch together; other lines of links at either end of one go.  Where all
+    text is links nothing tells lines apart: the marked ones are kept, or all.
     """
-    mass = [max(len(x.text) - 2 * x.linked, 0) for x in lines]
-    if not any(mass):
-        return lines
-    surge = min(median_low([m for m in mass if m]), LONG)
-    floor = max(surge / 20, 1)
-    hold = [max(m, floor) if x.heading else m for x, m in zip(lines, mass, strict=True)]
+    plain = [max(len(x.text) - 2 * x.linked, 0) for x in lines]
+    if not any(plain):
+        return [x for x in lines if x.area] or lines
+    mass = [m * MARKED if x.area else m for x, m in zip(lines, plain, strict=True)]
+    surge = median_low([min(m, LONG) * (MARKED if x.area else 1) for x, m in zip(lines, plain, strict=True) if m])
+    floor = max(min(surge, LONG) / 20, 1)
+    hold = [max(m, floor) if x.heading or x.area else m for x, m in zip(lines, mass, strict=True)]
     dived = [False] * len(lines)
-    for i in range(len(lines) - window + 1):
-        if sum(hold[i : i + window]) < floor:
-            dived[i : i + window] = [True] * window
     out: list[Line] = []
-    at = 0
-    for out_of_text, run in groupby(dived):
-        first, at = at, at + len(list(run))
-        last = at - 1
-        if out_of_text or max(sum(mass[i : min(i + window, at)]) for i in range(first, at)) < surge:
-            continue
-        while not mass[first] and not lines[first].heading:
-            first += 1
-        while not mass[last]:
-            last -= 1
-        out += lines[first : last + 1]
+    to = 0
+    for _, same_area in groupby(x.area for x in lines):
+        at, to = to, to + len(list(same_area))
+        for i in range(at, to - window + 1):
+            if sum(hold[i : i + window]) < floor:
+                dived[i : i + window] = [True] * window
+        for out_of_text, run in groupby(dived[at:to]):
+            first, at = at, at + len(list(run))
+            last = at - 1
+            if out_of_text or max(sum(mass[i : min(i + window, at)]) for i in range(first, at)) < surge:
+                continue
+            while not mass[first] and not lines[first].heading and not lines[first].area:
+                first += 1
+            while not mass[last] and not lines[last].area:
+                last -= 1
+            out += lines[first : last + 1]
     return out
 
 
@@ -174,22 +181,13 @@ def main_text(page: str | None, window: int = WINDOW) -> str:
     """The article of a page: its blocks in page order, joined by two line feeds.
 
     Lines inside menus, headers, footers, sidebars, notices, adverts, forms and
-    reader comments are left out.  Where the page marks an article or main
-    element, surge and dive are sought in the heaviest one and its edges are
-    the points, for all of it is text; else they are sought over all lines.
+    reader comments are left out.  Surge and dive are sought over all other
+    lines of every page; article and main elements are a signal for them, as
+    their lines weigh more and their edges end windows.  Several such elements
+    are all kept, and so is text outside them, where it surges.
     """
     lines = [x for x in lines_of(page or "") if not x.apart]
-    if not lines:
-        return ""
-    weights: dict[int, int] = {}
-    for x in lines:
-        weights[x.area] = weights.get(x.area, 0) + max(len(x.text) - 2 * x.linked, 0)
-    best = max((a for a in weights if a), key=lambda a: weights[a], default=0)
-    if best and weights[best] * 2 >= max(weights.values()):
-        keep = [x for x in lines if x.area == best]
-    else:
-        keep = _stretches(lines, window)
-    return "\n\n".join(x.text for x in keep)
+    return "\n\n".join(x.text for x in _stretches(lines, window))
 
 
 def _extract(batches):
@@ -205,7 +203,7 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
 
     A page is worked on by itself: tags, comments, scripts and styles are
     stripped, every block gives a line, and the lines between the points where
-    text over a sliding window surges and dives are kept.  Character references
+    text over a sliding window surges and dives are kept, on every page.  Character references
     are decoded and white space inside a block is one space.  Null, empty or
     text-free html gives an empty text.  Ids may be null or repeat; other
     columns play no part.  There is no shuffle.

@@ -406,3 +406,16 @@ def test_text_goes_on_behind_links_and_long_blocks():
     assert maintext.main_text(join([short[0], long, *short[1:]])) == "\n\n".join([short[0], long.strip(), *short[1:]])
     menu = "".join(f'<p><a href="/{i}">entry {i}</a></p>' for i in range(5))
     assert maintext.main_text(menu + join(short[:3]) + menu + join(short[3:]) + menu) == "\n\n".join(short)
+
+
+def test_windows_run_on_marked_pages_and_keep_every_article(monkeypatch):
+    part = ["Some plain words of part %d, which go on for about a hundred characters, as paragraphs of articles do." % i for i in range(8)]
+    join = lambda parts: "".join(f"<p>{p}</p>" for p in parts)
+    two = f"<article>{join(part[:5])}</article><p>stray</p><article>{join(part[5:])}</article>"
+    assert maintext.main_text(two) == "\n\n".join(part)
+    # Text outside an article that surges is kept.
+    assert maintext.main_text(f"<article>{join(part[:4])}</article><div>{join(part[4:])}</div>") == "\n\n".join(part)
+    ran = []
+    whole = maintext._stretches
+    monkeypatch.setattr(maintext, "_stretches", lambda lines, window: ran.append(len(lines)) or whole(lines, window))
+    assert maintext.main_text(f"<article>{join(part[:2])}<p><a>all link</a></p></article>").endswith("all link") and ran == [3]
