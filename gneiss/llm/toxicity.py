@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections import Counter
 
@@ -15,6 +16,8 @@ from gneiss.storage import materialise
 
 WORD = re.compile(r"[^\W\d_]+")
 SHORTEST, LONGEST, TIMES = 3, 8, 3
+#: Smallest word hashes that name a family; one alone is shared by unrelated texts with one common word.
+MINIMA = 3
 #: Different features that a task holds before it hands their counts on.
 FLUSH = 200_000
 
@@ -40,34 +43,63 @@ def features_of(words: set[str]) -> list[str]:
 
 
 def _family(words: set[str]) -> int:
-    """Equal for copies, and mostly equal for near copies: the words' smallest hash."""
-    return min((xxhash.xxh3_64_intdigest(w) for w in words), default=0) >> 1
+    """Equal for copies, and mostly equal for near copies: the words' MINIMA smallest hashes together."""
+    least = heapq.nsmallest(MINIMA, (xxhash.xxh3_64_intdigest(w) for w in words))
+    return xxhash.xxh3_64_intdigest(",".join(map(str, least))) >> 1
 
 
-def _families(batches):
+def _family_rows(batches):
     for batch in batches:
-        families = [_family(words_of(t)) for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array(families, pa.int64()), batch.column("text")], ["family", "text"])
+        yield pa.RecordBatch.from_arrays([pa.array([_family(words_of(t.as_py())) for t in batch.column("text")], pa.int64())], ["family"])
+
+
+def _votes(batches):
+    """``(feature, family)`` of every text, each pair once a part of FLUSH of them."""
+
+    def flushed():
+        features, families = zip(*votes, strict=True) if votes else ((), ())
+        votes.clear()
+        return pa.RecordBatch.from_arrays([pa.array(features, pa.string()), pa.array(families, pa.int64())], ["feature", "family"])
+
+    votes: set[tuple[str, int]] = set()
+    for batch in batches:
+        for text in batch.column("text"):
+            words = words_of(text.as_py())
+            family = _family(words)
+            votes.update((f, family) for f in features_of(words))
+            if len(votes) >= FLUSH:
+                yield flushed()
+    yield flushed()
 
 
 def _feature_counts(batches):
-    """``(feature, up, down)``: in how many positives and rows of the mixture a feature is, summed up to FLUSH features at a time."""
+    """``(feature, up, down)``: in how many rows of the mixture a feature is (down), summed up to FLUSH features at a time."""
 
     def flushed():
-        features = list(up.keys() | down.keys())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(features, pa.string()), pa.array([up[f] for f in features], pa.int64()), pa.array([down[f] for f in features], pa.int64())], ["feature", "up", "down"]
-        )
-        up.clear()
+        features = list(down.keys())
+        counts = [down[f] for f in features]
         down.clear()
+        return pa.RecordBatch.from_arrays([pa.array(features, pa.string()), pa.array([0] * len(features), pa.int64()), pa.array(counts, pa.int64())], ["feature", "up", "down"])
 
-    up, down = Counter(), Counter()
+    down = Counter()
     for batch in batches:
-        for text, toxic in zip(batch.column("text"), batch.column("toxic"), strict=True):
-            (up if toxic.as_py() else down).update(features_of(words_of(text.as_py())))
-            if len(up) + len(down) >= FLUSH:
-                yield from flushed()
-    yield from flushed()
+        for text in batch.column("text"):
+            down.update(features_of(words_of(text.as_py())))
+            if len(down) >= FLUSH:
+                yield flushed()
+    yield flushed()
+
+
+def support(positives: DataFrame, mixture: DataFrame) -> tuple[DataFrame, int]:
+    """``(feature, up, down)`` and the number of voters, from two tables of ``text``.
+
+    ``up`` counts the families of positives in which any text has the feature;
+    ``down`` counts the rows of the mixture that have it.
+    """
+    votes = positives.mapInArrow(_votes, "feature string, family long").distinct().select("feature", F.lit(1).cast("long").alias("up"), F.lit(0).cast("long").alias("down"))
+    counted = votes.union(mixture.mapInArrow(_feature_counts, "feature string, up long, down long"))
+    voters = positives.mapInArrow(_family_rows, "family long").distinct().count()
+    return counted.groupBy("feature").agg(F.sum("up").alias("up"), F.sum("down").alias("down")), voters
 
 
 class WordModel:
@@ -162,7 +194,8 @@ def train(spark: SparkSession, texts: DataFrame, labels: DataFrame, most_positiv
     ``most_mixture`` of all documents (the unlabelled mixture, whatever their
     labels), the first by a hash of the id.  Features are word beginnings met in
     at least ``least_support`` families of positives (near copies share a
-    family, so a text copied a thousand times is one vote); the ``vocabulary``
+    family, so a text copied a thousand times is one vote, and every text of a
+    family is counted); the ``vocabulary``
     of them that most exceed their share in the mixture, by the lower end of
     the log ratio, enter.  These bounds bound what the driver holds.  The class
     prior is the labelled documents' share of positives where there are labels
@@ -188,12 +221,9 @@ def train(spark: SparkSession, texts: DataFrame, labels: DataFrame, most_positiv
     n_p, n_u = sample.agg(F.count_if("toxic"), F.count_if(~F.col("toxic"))).first()
     if not n_p or not n_u:
         return None
-    # One voter a family: copies of one text are one vote.
-    voters = sample.where("toxic").select("text").mapInArrow(_families, "family long, text string").dropDuplicates(["family"]).select("text", F.lit(True).alias("toxic"))
-    voters = voters.union(sample.where("NOT toxic").select("text", "toxic"))
-    counted = voters.mapInArrow(_feature_counts, "feature string, up long, down long").groupBy("feature").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
+    counted, voters = support(sample.where("toxic").select("text"), sample.where("NOT toxic").select("text"))
     counted = counted.where(F.col("up") >= least_support)
-    ratio = F.log(F.col("up") / n_p) - F.log((F.col("down") + 0.5) / n_u)
+    ratio = F.log(F.col("up") / voters) - F.log((F.col("down") + 0.5) / n_u)
     # Two standard errors of the log ratio are taken off, so chance and few votes do not carry a feature.
     low = ratio - 2 * F.sqrt(1 / F.col("up") + 1 / (F.col("down") + 0.5 + F.col("up")))
     ranked = counted.withColumn("low", low).where("low > 0").orderBy((F.col("low") * F.col("up")).desc(), "feature").limit(8 * vocabulary)

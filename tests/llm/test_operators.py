@@ -309,6 +309,24 @@ def test_toxic_words_are_learned_from_positives(spark, nothing):
     assert {r["score"] for r in toxicity.held_out_toxicity(df, lab.limit(0)).collect()} == {0.0}
 
 
+def test_every_positive_of_a_family_is_counted(spark):
+    # Unrelated texts with one common word of a low hash, then copies and near copies of one text.
+    least = min((f"w{'abcdefghij'[i // 10]}{'abcdefghij'[i % 10]}" for i in range(100)), key=toxicity.xxhash.xxh3_64_intdigest)
+    apart = [f"{least} {' '.join('qrstuvwxyz'[i] * 3 + 'qrstuvwxyz'[j] * 2 for j in range(10))} vrghen" for i in range(10)]
+    long = " ".join(f"{'abcdefghij'[i // 10] * 3}{'klmnopqrst'[i % 10] * 3}" for i in range(100))
+    near_copy = long.replace(max(long.split(), key=toxicity.xxhash.xxh3_64_intdigest), "")
+    rows = [(t,) for t in [*apart, long, long, near_copy]]
+    texts = spark.createDataFrame(rows, "text string").repartition(5)
+    counted, voters = toxicity.support(texts, texts)
+    got = {r["feature"]: (r["up"], r["down"]) for r in counted.collect()}
+    brute = {}
+    for (t,) in rows:
+        for f in toxicity.features_of(toxicity.words_of(t)):
+            brute.setdefault(f, []).append(toxicity._family(toxicity.words_of(t)))
+    assert voters == 11 and got == {f: (len(set(x)), len(x)) for f, x in brute.items()}
+    assert got["vrghen$#1"] == (10, 10)
+
+
 def brute_bits(trees_counts, langs, data):
     """Code length of bytes by walking the contexts from the longest down."""
     bits = np.zeros(len(langs))
