@@ -65,6 +65,7 @@ class ContextTrees:
 
     def __init__(self, langs: list[str], counts: dict[int, tuple[np.ndarray, np.ndarray]]):
         self.langs, self.grams, self.cost, self.escape = langs, {}, {}, {}
+        self.limits = np.full(len(langs), np.inf)
         n_langs = len(langs)
         lower = np.full((1, n_langs), 8.0)  # order -1: every byte alike
         for n in range(1, ORDER + 1):
@@ -125,10 +126,9 @@ class ContextTrees:
         return out
 
 
-def train(spark: SparkSession, texts: DataFrame, text_col: str, lang_col: str, key_col: str, per_language: int = 2_000, most_chars: int = 20_000) -> ContextTrees | None:
-    """Trees from a bounded sample: of each language the ``per_language`` texts
-    that come first by a hash of their key, of each at most ``most_chars``
-    characters, so the model and its counts have a size bound.
+def sampled(texts: DataFrame, text_col: str, lang_col: str, key_col: str, per_language: int = 2_000) -> tuple[list[str], DataFrame | None]:
+    """The languages and their training sample ``(lang, text)``: of each about the
+    ``per_language`` texts that come first by a hash of their key.
 
     The sample is taken with a threshold on the hash that the languages' counts
     give, without sorting a language's texts.
@@ -138,15 +138,23 @@ def train(spark: SparkSession, texts: DataFrame, text_col: str, lang_col: str, k
     share = F.lit(float(per_language)) / F.count("*")
     bounds = {r["lang"]: min(r["share"], 1.0) for r in rows.groupBy("lang").agg(share.alias("share")).limit(1_000).collect()}
     if not bounds:
-        return None
+        return [], None
     limit = F.create_map(*(F.lit(x) for pair in bounds.items() for x in pair))
     unit = (F.col("h").cast("double") / 2.0**64) + 0.5
-    sample = rows.where(unit < F.get(F.map_values(F.map_filter(limit, lambda k, _: k == F.col("lang"))), 0))
+    return sorted(bounds), rows.where(unit < F.get(F.map_values(F.map_filter(limit, lambda k, _: k == F.col("lang"))), 0)).select("lang", "text")
+
+
+def train(spark: SparkSession, texts: DataFrame, text_col: str, lang_col: str, key_col: str, per_language: int = 2_000, most_chars: int = 20_000) -> ContextTrees | None:
+    """Trees from a bounded sample, of each text at most ``most_chars``
+    characters, so the model and its counts have a size bound.
+    """
+    langs, sample = sampled(texts, text_col, lang_col, key_col, per_language)
+    if sample is None:
+        return None
     counted = sample.select("lang", F.substring("text", 1, most_chars).alias("text")).mapInArrow(_grams, "lang string, n int, gram long, c long")
     table = counted.groupBy("lang", "n", "gram").agg(F.sum("c").alias("c")).toArrow().to_pandas()
     if table.empty:
         return None
-    langs = sorted(bounds)
     column = table["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy()
     counts = {}
     for n in range(1, ORDER + 1):
@@ -159,6 +167,22 @@ def train(spark: SparkSession, texts: DataFrame, text_col: str, lang_col: str, k
 
 
 PART = 1 << 20
+#: A text is in a language up to the median of its training texts' bits a byte and this many times
+#: the way from there to their 99th percentile, or LEAST_SPREAD bits where that is shorter ...
+SPREAD, LEAST_SPREAD = 12, 2.0
+#: ... and this many bits for the whole text, so one strange character rejects no short one.
+ALLOWANCE = 64
+
+
+def code_length_limits(spark: SparkSession, trees: ContextTrees, sample: DataFrame) -> np.ndarray:
+    """For each language the bits a byte up to which a text is in it, from the
+    spread over the training texts ``(lang, text)`` that its own tree codes best;
+    8, the length of plain bytes, where there is none."""
+    rows = sample.where(F.col("text").rlike("\\p{L}")).select(F.struct("lang").alias("row"), "text", F.lit(True).alias("text_has_letter"))
+    scored = rows.mapInArrow(_identifier(spark.sparkContext.broadcast(trees)), "row struct<lang: string>, letter boolean, pred string, score double, bits_per_byte double, within boolean")
+    spread = scored.where("row.lang = pred").groupBy("pred").agg(F.percentile_approx("bits_per_byte", [0.5, 0.99], 10_000).alias("q")).collect()
+    found = {r["pred"]: r["q"][0] + max(SPREAD * (r["q"][1] - r["q"][0]), LEAST_SPREAD) for r in spread}
+    return np.array([found.get(x, 8.0) for x in trees.langs])
 
 
 def _identifier(shared):
@@ -183,16 +207,17 @@ def _identifier(shared):
             ahead = bits - bits.min(axis=1, keepdims=True) if len(bits) else bits
             score = 1 / np.exp2(-np.minimum(ahead, 1000)).sum(axis=1)
             per_byte = bits.min(axis=1, initial=np.inf) / np.maximum(np.diff(offsets), 1)
+            within = bits.min(axis=1, initial=np.inf) <= np.diff(offsets) * trees.limits[best] + ALLOWANCE
             pred = np.array(trees.langs, object)[best]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), batch.column("text_has_letter"), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(per_byte, pa.float64())],
-                ["row", "letter", "pred", "score", "bits_per_byte"],
+                [batch.column("row"), batch.column("text_has_letter"), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(per_byte, pa.float64()), pa.array(within, pa.bool_())],
+                ["row", "letter", "pred", "score", "bits_per_byte", "within"],
             )
 
     return identify
 
 
-def identify_rows(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", carry: list[str] | None = None, **options) -> DataFrame:
+def identify_rows(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", carry: list[str] | None = None, reject: bool = False, **options) -> DataFrame:
     """``(row, lang_pred, score, bits_per_byte)`` of every row of ``docs``; ``row`` is a
     struct of the columns to carry, by default all, so clashing names do no harm.
 
@@ -203,7 +228,9 @@ def identify_rows(docs: DataFrame, training: DataFrame, id_col: str = "doc_id",
     share of the probability.  Ids and sources are never looked at.
 
     A null text or one without a letter is ``und`` with score 0; so is every
-    text when the training rows have no language.  Rows that repeat are scored
+    text when the training rows have no language, and, with ``reject``, a text
+    whose code length is above its language's limit: one in a language that was
+    not learned, or in none (``code_length_limits``).  Rows that repeat are scored
     each.  The trees (a few MB, bounded by the sample) are broadcast; there is
     no shuffle of the texts.
     """
@@ -213,12 +240,15 @@ def identify_rows(docs: DataFrame, training: DataFrame, id_col: str = "doc_id",
     trees = train(spark, training, text_col, lang_col, id_col, **options)
     if trees is None:
         return rows.select("row", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("bits_per_byte"))
+    if reject:
+        trees.limits = code_length_limits(spark, trees, sampled(training, text_col, lang_col, id_col, options.get("per_language", 2_000))[1])
     kind = rows.schema["row"].dataType.simpleString()
-    out = rows.mapInArrow(_identifier(spark.sparkContext.broadcast(trees)), f"row {kind}, letter boolean, pred string, score double, bits_per_byte double")
+    out = rows.mapInArrow(_identifier(spark.sparkContext.broadcast(trees)), f"row {kind}, letter boolean, pred string, score double, bits_per_byte double, within boolean")
+    named = F.col("letter") & F.col("within")
     return out.select(
         "row",
-        F.when(F.col("letter"), F.col("pred")).otherwise(UNKNOWN).alias("lang_pred"),
-        F.when(F.col("letter"), F.col("score")).otherwise(0.0).alias("score"),
+        F.when(named, F.col("pred")).otherwise(UNKNOWN).alias("lang_pred"),
+        F.when(named, F.col("score")).otherwise(0.0).alias("score"),
         "bits_per_byte",
     )
 
