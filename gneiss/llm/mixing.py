@@ -61,8 +61,10 @@ def mix(
     most: float = 2.0,
     quality: Column | None = None,
     strata: int = 4096,
+    carry: bool = False,
 ) -> DataFrame:
-    """``(id_col, size, source_size, target, taken)`` for every row.
+    """``(id_col, size, source_size, target, taken)`` for every row; with ``carry``
+    also ``row``, a struct of all its columns.
 
     ``size`` is the number of words.  A source whose target holds its size n
     times over is taken n times whole; the rest of the target goes to its
@@ -92,6 +94,7 @@ def mix(
             F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
             key.alias("key"),
             F.xxhash64(text).alias("tie"),
+            *([F.struct(*(F.col(c) for c in docs.columns)).alias("row")] if carry else []),
         ).withColumn("stratum", F.least(F.floor((1 - F.exp(-F.col("key"))) * strata), F.lit(strata - 1)).cast("int")),
         "mix-sized",
     )
@@ -112,7 +115,7 @@ def mix(
     joined = sized.join(F.broadcast(planned) if few else planned, F.col("source").eqNullSafe(F.col("of")))
     at_end = F.col("stratum") == F.col("end_stratum")
     within = Window.partitionBy("source").orderBy("key", "id", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
-    columns = [F.col("id").alias(id_col), "size", "source_size", "target"]
+    columns = [F.col("id").alias(id_col), "size", "source_size", "target", *(["row"] if carry else [])]
     whole = joined.where(F.coalesce(~at_end, F.lit(True))).select(
         *columns, (F.col("epochs") * F.col("size") + F.when(F.col("stratum") < F.col("end_stratum"), F.col("size")).otherwise(0)).alias("taken")
     )
@@ -130,11 +133,10 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     its last taken word, and ``n_chars``, where there is such a column, its new
     length.  Documents of no words are in no mix and go.
     """
-    taken = mix(docs, id_col, text_col, **options).where("taken > 0").select(F.col(id_col).alias("of_id"), F.col("size").alias("of_size"), "taken").dropDuplicates(["of_id"])
-    copies = docs.join(taken, F.col(id_col).eqNullSafe(F.col("of_id")))
-    copies = copies.withColumn("words_left", F.explode(F.sequence(F.col("taken"), F.lit(1), -F.col("of_size"))))
-    cut = F.array_join(F.slice(F.regexp_extract_all(text_col, F.lit(PIECE), F.lit(0)), 1, F.col("words_left").cast("int")), "")
-    copies = copies.withColumn(text_col, F.when(F.col("words_left") < F.col("of_size"), cut).otherwise(F.col(text_col)))
-    if "n_chars" in docs.columns:
-        copies = copies.withColumn("n_chars", F.length(text_col).cast("long"))
-    return copies.select(docs.columns)
+    taken = mix(docs, id_col, text_col, carry=True, **options).where("taken > 0").select("row", "size", "taken")
+    copies = taken.withColumn("words_left", F.explode(F.sequence(F.col("taken"), F.lit(1), -F.col("size"))))
+    text = F.col("row").getField(text_col)
+    cut = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(PIECE), F.lit(0)), 1, F.col("words_left").cast("int")), "")
+    copies = copies.withColumn("words", F.when(F.col("words_left") < F.col("size"), cut).otherwise(text))
+    own = {text_col: F.col("words"), "n_chars": F.length("words").cast("long")}
+    return copies.select(*(own.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))

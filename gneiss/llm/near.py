@@ -206,27 +206,43 @@ def near_duplicates(
     exact verification.  A pair at exactly the threshold shares no band with
     probability below 4e-6, and is pruned with probability below 1e-6.
 
-    Null, empty and all-white-space texts have no links and their own class.  A
-    null id gives class and links as found under the null id's text: class is
-    null, no links.  Repeated rows with one id and text count as copies of the
-    text; of rows with one id and different texts the first found is verified.
+    A text, not an id, is what is compared: rows under one id, or under none,
+    are each linked by their own text.  Null, empty and all-white-space texts
+    have no links and their own class.  A class in which no row has an id is
+    null.  Repeated rows with one id and text count as copies of the text.
     Columns other than the two named play no part.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    signed, per_text = _classes(rows, threshold, width, tolerance, block_rows, block_bytes)
+    known = (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")) & F.col("signature").isNotNull()
+    return signed.join(per_text, known, "left").select(
+        F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
+    )
+
+
+_PRINTS = (F.xxhash64, "f1"), (lambda text: F.xxhash64(F.lit(7), text), "f2")
+
+
+def _printed(rows: DataFrame) -> DataFrame:
+    return rows.select("*", *(of("text").alias(name) for of, name in _PRINTS))
+
+
+def _classes(rows: DataFrame, threshold: float = 0.8, width: int = 5, tolerance: float = 1e-7, block_rows: int = 512, block_bytes: int = 16 << 20) -> tuple[DataFrame, DataFrame]:
+    """The signed rows of ``(id, text)``, and of each different text with words
+    ``(g1, g2, least, first, class_id, n_links)``: its fingerprint, its smallest
+    id, and whether it is the first of its class (smallest id, nulls last)."""
+    printed = _printed(rows)
     signed = materialise(
-        rows.select("id", "text", F.xxhash64("text").alias("f1"), F.xxhash64(F.lit(7), "text").alias("f2")).mapInArrow(
-            _signer(width), "id long, f1 long, f2 long, n_bytes long, signature binary"
-        ),
+        printed.mapInArrow(_signer(width), "id long, f1 long, f2 long, n_bytes long, signature binary"),
         "near-signed",
     )
-    wordy = signed.where("signature IS NOT NULL AND id IS NOT NULL")
-    folded = materialise(wordy.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "near-folded")
-    texts = materialise(
-        wordy.join(folded.withColumnRenamed("f1", "g1").withColumnRenamed("f2", "g2"), (F.col("id") == F.col("rep")) & (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")))
-        .dropDuplicates(["rep"])
-        .select("rep", "n", "n_bytes", "signature"),
-        "near-texts",
-    )
+    wordy = signed.where("signature IS NOT NULL")
+    # Once the table is written, a text's number is fixed.
+    folded = wordy.groupBy("f1", "f2").agg(F.min("id").alias("least"), F.count("*").alias("n")).withColumn("rep", F.monotonically_increasing_id())
+    folded = materialise(folded, "near-folded")
+    named = folded.select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), "least", "n", "rep")
+    of_text = (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")) & F.col("id").eqNullSafe(F.col("least"))
+    texts = materialise(wordy.join(named, of_text).dropDuplicates(["rep"]).select("rep", "g1", "g2", "least", "n", "n_bytes", "signature"), "near-texts")
     keys = texts.select("rep", "signature").mapInArrow(_keys_of, "rep long, key long")
     heads = materialise(keys.groupBy("key").agg(F.min("rep").alias("head"), F.count("*").alias("c")).where("c > 1").select(F.col("key").alias("hkey"), "head"), "near-heads")
     stars = keys.join(heads, F.col("key") == F.col("hkey")).where("rep <> head").select("rep", "head")
@@ -246,7 +262,7 @@ def near_duplicates(
     )
     found = (
         placed.join(texts.drop("n_bytes"), F.col("node") == F.col("rep"))
-        .join(rows.where("id IS NOT NULL"), F.col("rep") == F.col("id"))
+        .join(printed.where("id IS NOT NULL").union(printed.where("id IS NULL").dropDuplicates(["f1", "f2"])), of_text)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("area", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), (F.col("blocks") > 1).alias("split"), "block", "rep", "n", "signature", "text")
         .groupBy("area", "a", "b")
@@ -256,24 +272,34 @@ def near_duplicates(
     links = found.groupBy("src").agg(F.sum("links").alias("links"))
     across = connected_components(found.where("split").select("src", "dst"))
     classes = found.where("NOT split").select(F.col("src").alias("node"), F.col("dst").alias("component")).distinct().union(across)
+    classes = materialise(classes.join(folded, F.col("node") == F.col("rep")).select("node", "component", "least", "f1", "f2"), "near-classes")
+    order = F.struct(F.col("least").isNull().alias("unnamed"), "least", "f1", "f2", "node")
+    firsts = classes.groupBy("component").agg(F.min("least").alias("class_id"), F.min(order)["node"].alias("first_node")).withColumnRenamed("component", "of")
+    classes = classes.join(firsts, F.col("component") == F.col("of")).select("node", "class_id", "first_node")
     per_text = materialise(
-        folded.join(links, F.col("rep") == F.col("src"), "left")
+        named.join(links, F.col("rep") == F.col("src"), "left")
         .join(classes, F.col("rep") == F.col("node"), "left")
-        .select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), F.coalesce("component", "rep").alias("class_id"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")),
+        .select(
+            "g1", "g2", "least", (F.coalesce("first_node", "rep") == F.col("rep")).alias("first"),
+            F.coalesce("class_id", "least").alias("class_id"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
+        ),
         "near-per-text",
-    )
-    known = (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")) & F.col("signature").isNotNull() & F.col("id").isNotNull()
-    return signed.join(per_text, known, "left").select(
-        F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
-    )
+    )
+    return signed, per_text
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents that are the first (smallest id) of their class; all columns stay.
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The documents that are the first (smallest id, nulls last) of their class; all columns stay.
 
-    Documents without an id or without words stay.  Repeated rows of one kept
-    id become a single row.
+    Documents without words stay.  Repeated rows of one id and text become a
+    single row, but for those with neither id nor words.
     """
-    first = near_duplicates(docs, id_col, **options).where(F.col("class_id") == F.col(id_col)).select(id_col).distinct()
-    unnamed = docs.where(F.col(id_col).isNull())
-    return docs.dropDuplicates([id_col]).join(first, id_col, "left_semi").select(docs.columns).union(unnamed)
+    signed, per_text = _classes(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), **options)
+    first = per_text.where("first").select("g1", "g2", "least")
+    wordless = signed.where("signature IS NULL").select(F.col("f1").alias("g1"), F.col("f2").alias("g2")).distinct()
+    whole = F.struct(*(F.col(c) for c in docs.columns)).alias("row")
+    rows = _printed(docs.select(whole, F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))).drop("text")
+    same = (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2"))
+    kept = rows.join(first, same & F.col("id").eqNullSafe(F.col("least"))).dropDuplicates(["f1", "f2"]).select("row")
+    bare = rows.join(wordless, same, "left_semi")
+    return kept.union(bare.where("id IS NOT NULL").dropDuplicates(["id", "f1", "f2"]).select("row")).union(bare.where("id IS NULL").select("row")).select("row.*")

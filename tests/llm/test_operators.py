@@ -71,6 +71,31 @@ def test_near_awkward_and_empty(awkward, nothing):
     assert near.drop_near_duplicates(nothing).count() == 0
 
 
+def test_texts_under_one_id_or_none_are_linked_each(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcd")
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " x"), (None, c), (None, c), (None, c + " x"), (None, a), (5, d), (None, ""), (6, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted((tuple(r) for r in near.near_duplicates(df).collect()), key=repr)
+    want = [(1, 1, 2), (1, 1, 1), (2, 1, 2), (3, 1, 1), *[(None, None, 2)] * 3, (None, 1, 2), (5, 5, 0), (None, None, 0), (6, 6, 0)]
+    assert got == sorted(want, key=repr)
+    kept = [(r["doc_id"], r["text"]) for r in near.drop_near_duplicates(df).collect()]
+    rest = [x for x in kept if x[1] not in (c, c + " x")]
+    assert sorted(rest, key=repr) == sorted([(1, a), (1, b), (5, d), (None, ""), (6, "")], key=repr) and len(kept) == 6
+
+
+def test_mixed_rows_of_one_id_keep_their_own_size(spark):
+    rows = [(k, " ".join(f"w{n}" for _ in range(n)), "s") for n in (3, 40, 200) for k in (None, 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = Counter()
+    for r in mixing.mix(df).collect():
+        want[r["doc_id"], r["size"]] += r["taken"]
+    got = Counter()
+    for r in mixing.mixed_documents(df).collect():
+        words = r["text"].split()
+        got[r["doc_id"], int(words[0][1:])] += len(words)
+    assert got == +want
+
+
 def test_pruning_keeps_what_may_reach_the_threshold():
     fewest = near.least_matches(0.8, 1e-7)
     assert list(fewest) == sorted(fewest) and fewest[0] <= 4 and 80 < fewest[-1] < 128
