@@ -12,6 +12,10 @@ from gneiss.llm.textbytes import utf8
 #: Symbols in a gram: a context of ORDER - 1 bytes and the byte it predicts.
 ORDER = 4
 UNKNOWN = "und"
+#: Above this many languages the trees would not fit the driver; training raises.
+MOST_LANGUAGES = 1_000
+#: Bytes of whole texts whose grams are counted at once.
+PART = 1 << 20
 
 
 def _grams(batches):
@@ -22,10 +26,12 @@ def _grams(batches):
             own = batch.filter(pa.array([x == lang for x in langs]))
             data, offsets = utf8(own.column("text"))
             data = fold(data)
-            for order in range(1, ORDER + 1):
-                keys, counts = np.unique(_keys(data, offsets, order), return_counts=True)
+            for at, order in ((at, order) for at in range(0, len(data), PART) for order in range(1, ORDER + 1)):
+                to = min(at + PART + order - 1, len(data))  # every gram begins in one part
+                edges = np.clip(offsets[(offsets > at) & (offsets < to)], at, to) - at
+                keys, counts = np.unique(_keys(data[at:to], np.concatenate([[0], edges, [to - at]]), order), return_counts=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(keys)), pa.array(np.full(len(keys), order, np.int32)), pa.array(keys), pa.array(counts)], ["lang", "n", "gram", "c"]
+                    [pa.array([lang] * len(keys), pa.string()), pa.array(np.full(len(keys), order, np.int32)), pa.array(keys), pa.array(counts)], ["lang", "n", "gram", "c"]
                 )
 
 
@@ -136,7 +142,9 @@ def sampled(texts: DataFrame, text_col: str, lang_col: str, key_col: str, per_la
     rows = texts.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(key_col), F.col(text_col)).alias("h"))
     rows = rows.where("lang IS NOT NULL AND text IS NOT NULL").where(F.col("lang") != UNKNOWN)
     share = F.lit(float(per_language)) / F.count("*")
-    bounds = {r["lang"]: min(r["share"], 1.0) for r in rows.groupBy("lang").agg(share.alias("share")).limit(1_000).collect()}
+    bounds = {r["lang"]: min(r["share"], 1.0) for r in rows.groupBy("lang").agg(share.alias("share")).limit(MOST_LANGUAGES + 1).collect()}
+    if len(bounds) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES:,} languages in {lang_col}")
     if not bounds:
         return [], None
     limit = F.create_map(*(F.lit(x) for pair in bounds.items() for x in pair))
@@ -144,14 +152,12 @@ def sampled(texts: DataFrame, text_col: str, lang_col: str, key_col: str, per_la
     return sorted(bounds), rows.where(unit < F.get(F.map_values(F.map_filter(limit, lambda k, _: k == F.col("lang"))), 0)).select("lang", "text")
 
 
-def train(spark: SparkSession, texts: DataFrame, text_col: str, lang_col: str, key_col: str, per_language: int = 2_000, most_chars: int = 20_000) -> ContextTrees | None:
-    """Trees from a bounded sample, of each text at most ``most_chars``
-    characters, so the model and its counts have a size bound.
-    """
+def train(spark: SparkSession, texts: DataFrame, text_col: str, lang_col: str, key_col: str, per_language: int = 2_000) -> ContextTrees | None:
+    """Trees from a bounded sample of whole texts, counted in parts of PART bytes."""
     langs, sample = sampled(texts, text_col, lang_col, key_col, per_language)
     if sample is None:
         return None
-    counted = sample.select("lang", F.substring("text", 1, most_chars).alias("text")).mapInArrow(_grams, "lang string, n int, gram long, c long")
+    counted = sample.mapInArrow(_grams, "lang string, n int, gram long, c long")
     table = counted.groupBy("lang", "n", "gram").agg(F.sum("c").alias("c")).toArrow().to_pandas()
     if table.empty:
         return None
@@ -166,7 +172,6 @@ def train(spark: SparkSession, texts: DataFrame, text_col: str, lang_col: str, k
     return ContextTrees(langs, counts)
 
 
-PART = 1 << 20
 #: A text is in a language up to the median of its training texts' bits a byte and this many times
 #: the way from there to their 99th percentile, or LEAST_SPREAD bits where that is shorter ...
 SPREAD, LEAST_SPREAD = 12, 2.0

@@ -405,6 +405,24 @@ def test_code_lengths_equal_a_walk_down_the_contexts(spark):
         assert got[offsets[k] : offsets[k + 1]].sum(axis=0) == pytest.approx(want, rel=1e-4)
 
 
+def test_whole_texts_train_and_too_many_languages_raise(spark, monkeypatch):
+    monkeypatch.setattr(language, "PART", 7)
+    batch = language.pa.RecordBatch.from_arrays([language.pa.array(["a", "a", "a"]), language.pa.array(["abcdefgh" * 3, "", "xyz" * 9])], ["lang", "text"])
+    got, want = Counter(), Counter()
+    for b in language._grams([batch]):
+        for r in b.to_pylist():
+            got[r["n"], r["gram"]] += r["c"]
+    for t in batch.column("text").to_pylist():
+        want.update((n, int.from_bytes(t[i : i + n].encode())) for n in range(1, 5) for i in range(len(t) - n + 1))
+    assert got == want
+    monkeypatch.setattr(language, "PART", 1 << 20)
+    df = spark.createDataFrame([(1, "ab " * 7_000 + "qqqq", "x"), (2, "cd", "y")], "doc_id long, text string, lang string")
+    assert int.from_bytes(b"qqqq") in language.train(spark, df, "text", "lang", "doc_id").grams[4]
+    monkeypatch.setattr(language, "MOST_LANGUAGES", 1)
+    with pytest.raises(ValueError):
+        language.train(spark, df, "text", "lang", "doc_id")
+
+
 def test_languages_are_told_apart(spark, awkward, nothing):
     rows = [(i, "the house is on the hill and the dog sleeps", "en") for i in range(40)] + [(100 + i, "das haus ist auf dem berg und der hund liegt", "de") for i in range(40)]
     rows += [(300, None, "en"), (301, "123 !?", "de"), (302, "der berg und das haus", None), (None, "the dog", "en")]
