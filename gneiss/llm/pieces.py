@@ -4,16 +4,17 @@ from __future__ import annotations
 
 import re
 import struct
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_MEMO_ENTRIES = 800_000
-_SPACE = "▁"
-_MARK = _SPACE.encode()
+from gneiss.llm.textbytes import parts_of
+
+_MARK = "▁".encode()
+#: Kinds of pieces in a model: unknown, user-defined, byte.
+_UNKNOWN, _USER, _BYTE = 2, 4, 6
 
 
 class CharacterMap:
@@ -57,68 +58,77 @@ def _char_length(lead: int) -> int:
     return 1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
 
 
+def _class(byte_values) -> re.Pattern:
+    """A pattern for one of these bytes; for none of them, one that never matches."""
+    return re.compile(b"[" + b"".join(b"\\x%02x" % b for b in sorted(byte_values)) + b"]" if byte_values else b"(?!)")
+
+
 class Normaliser:
-    """Longest-prefix normalisation that records, for every byte of the result,
-    the source byte it comes from."""
+    """Longest-prefix normalisation through the compiled map that records, for
+    every byte of the result, where its source begins and ends.
+
+    A byte that is kept comes from itself; all bytes of a replacement, or of the
+    mark of a space, come from the whole string that was replaced.  Stretches in
+    which no string of the map can begin are aligned at once.  User-defined
+    pieces are kept as they are.
+    """
 
-    def __init__(self, spec):
+    def __init__(self, spec, kept: tuple[str, ...] = ()):
         self.map = CharacterMap(spec.precompiled_charsmap)
         self.dummy, self.squeeze, self.escape = spec.add_dummy_prefix, spec.remove_extra_whitespaces, spec.escape_whitespaces
+        kept = sorted((k.encode() for k in kept), key=len, reverse=True)
+        self.kept = re.compile(b"|".join(map(re.escape, kept)) or b"(?!)")
+        self.starts = _class(self.map.first | {k[0] for k in kept})
 
     def _units(self, text: bytes):
-        """``(source start, source end, replacement)`` from left to right."""
-        at, first = 0, self.map.first
+        """``(source start, source end, replacement)`` from left to right; a
+        replacement of None stands for the source itself, byte by byte."""
+        at = 0
         while at < len(text):
-            found = self.map.longest(text, at) if text[at] in first else None
-            if found:
-                yield at, at + found[0], found[1]
-                at += found[0]
+            found = self.starts.search(text, at)
+            to = found.start() if found else len(text)
+            if to > at:
+                yield at, to, None
+            if not found:
+                return
+            same, mapped = self.kept.match(text, to), self.map.longest(text, to) if text[to] in self.map.first else None
+            if mapped and not same:
+                yield to, to + mapped[0], mapped[1]
+                at = to + mapped[0]
             else:
-                end = at + _char_length(text[at])
-                yield at, end, text[at:end]
-                at = end
+                at = same.end() if same else to + _char_length(text[to])
+                yield to, at, None
 
-    def normalise(self, text: bytes) -> tuple[bytes, list[int], list[int]]:
+    def normalise(self, text: bytes) -> tuple[bytes, np.ndarray, np.ndarray]:
         """The normalised bytes and, for each of them, its source start and end."""
-        space = _MARK if self.escape else b" "
-        out, begins, ends = bytearray(), [], []
-
-        def put(piece: bytes, begin: int, end: int) -> None:
-            out.extend(piece)
-            begins.extend([begin] * len(piece))
-            ends.extend([end] * len(piece))
-
-        units = list(self._units(text))
-        if self.squeeze:
-            while units and not units[0][2].strip(b" "):
-                units.pop(0)
-        if not units:
-            return b"", [], []
+        parts, begins, ends = [], [], []
+        for begin, end, new in self._units(text):
+            parts.append(text[begin:end] if new is None else new)
+            own = np.arange(begin, end) if new is None else np.full(len(new), begin)
+            begins.append(own)
+            ends.append(own + 1 if new is None else np.full(len(new), end))
+        none = np.zeros(0, np.int64)
+        data, begin, end = np.frombuffer(b"".join(parts), np.uint8), np.concatenate([none, *begins]), np.concatenate([none, *ends])
+        blank = data == 0x20
+        if self.squeeze:  # no white space at either end, one space for a run
+            keep = np.flatnonzero(~blank | np.append(False, ~blank)[: len(blank)])
+            keep = keep[:-1] if len(keep) and blank[keep[-1]] else keep
+            data, begin, end, blank = data[keep], begin[keep], end[keep], blank[keep]
+        if not len(data):
+            return b"", none, none
+        normal = data.tobytes()
+        if self.escape:
+            times = np.where(blank, len(_MARK), 1)
+            normal, begin, end = normal.replace(b" ", _MARK), np.repeat(begin, times), np.repeat(end, times)
         if self.dummy:
-            put(space, units[0][0], units[0][0])
-        blank = self.squeeze
-        for begin, end, piece in units:
-            if self.squeeze and blank:
-                piece = piece.lstrip(b" ")
-            if piece:
-                put(piece.replace(b" ", space), begin, end)
-                blank = self.squeeze and piece.endswith(b" ")
-        if self.squeeze:
-            while out.endswith(space):
-                del out[-len(space) :], begins[-len(space) :], ends[-len(space) :]
-        return bytes(out), begins, ends
+            space = _MARK if self.escape else b" "
+            lead = np.full(len(space), begin[0])
+            normal, begin, end = space + normal, np.concatenate([lead, begin]), np.concatenate([lead, end])
+        return normal, begin, end
 
 
 class PieceEncoder:
-    """Encodes with the library and projects every piece onto the source's bytes.
-
-    When no piece of the vocabulary has a space mark after another character,
-    merges never cross from a word into the space before the next one; nor can
-    they cross a line feed that no piece contains.  A text is then cut there,
-    and the ids of a segment are kept, up to a bounded number of segments.
-    Models without this property, or with a character map or white-space
-    squeezing, are encoded text by text.
-    """
+    """Encodes with the library and projects every piece onto the source's bytes."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -128,145 +138,93 @@ class PieceEncoder:
         with open(path, "rb") as f:
             proto.ParseFromString(f.read())
         self.library = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
-        self.normaliser = Normaliser(proto.normalizer_spec)
-        plain = [p.piece for p in proto.pieces if p.type in (1, 4)]
-        spec = proto.normalizer_spec
-        self.cuts = (
-            proto.trainer_spec.model_type == 2
-            and spec.add_dummy_prefix and spec.escape_whitespaces
-            and not (spec.remove_extra_whitespaces or spec.precompiled_charsmap or proto.trainer_spec.treat_whitespace_as_suffix)
-            and proto.trainer_spec.byte_fallback
-            and not any(p.type == 4 for p in proto.pieces)
-            and not any(re.search(f"[^{_SPACE}]{_SPACE}|\n", p) for p in plain)
-        )
-        self.bytewise = {i: 1 for i, p in enumerate(proto.pieces) if p.type == 6}
-        self.width = np.array([self.bytewise.get(i) or len(p.piece.encode()) for i, p in enumerate(proto.pieces)], np.int32)
-        self.eos, self.unknown, self.memo = self.library.eos_id(), self.library.unk_id(), {}
-
-    segments = staticmethod(re.compile(rb" *[^ \n]+| +|\n").findall)
-
-    def _learn(self, new: list[bytes]) -> None:
-        """Ids of segments, packed as int32.
-
-        Segments are encoded together, about 4 KB at a time, each behind a line
-        feed; the widths of the pieces tell where one segment's ids end.
-        """
-        at = 0
-        while at < len(new):
-            to, size = at, 0
-            while to < len(new) and size < 4096:
-                size += len(new[to])
-                to += 1
-            part = new[at:to]
-            ids = np.array(self.library.encode((b"\n" + b"\n".join(part)).decode(), num_threads=1), np.int32)
-            ends = np.cumsum([1 + len(s) + 2 * s.count(b" ") for s in part]) + len(_MARK)
-            last = np.searchsorted(np.cumsum(self.width[ids]), ends) + 1
-            first = np.concatenate([[1], last[:-1]]) + 1
-            raw = ids.tobytes()
-            for s, f, t in zip(part, (first * 4).tolist(), (last * 4).tolist(), strict=True):
-                self.memo[s] = raw[f:t]
-            at = to
+        self.normaliser = Normaliser(proto.normalizer_spec, tuple(p.piece for p in proto.pieces if p.type == _USER))
+        # Bytes of normalised text that each id covers; an unknown piece's are its own.
+        self.width = np.array([-1 if p.type == _UNKNOWN else 1 if p.type == _BYTE else len(p.piece.encode()) for p in proto.pieces], np.int64)
+        self.eos = self.library.eos_id()
+
+    def ids(self, texts: list[bytes]) -> list[list[int]]:
+        """The library's ids of each text."""
+        return self.library.encode([t.decode() for t in texts], num_threads=1)
 
     def encode(self, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Per text: ids, and the ``len(ids) + 1`` source byte positions between pieces."""
-        if not self.cuts:
-            return [self._whole(t) for t in texts]
-        cut = []
-        for text in texts:
-            flat = text.replace(_MARK, b" ") if _MARK in text else text
-            cut.append(self.segments(b" " + flat) if flat else [])
-        if len(self.memo) > _MEMO_ENTRIES:
-            self.memo.clear()
-        self._learn([s for s in {s for c in cut for s in c} if s not in self.memo])
+        """Per text: ids, and the ``len(ids) + 1`` source byte positions between pieces.
+
+        The widths of the pieces tell which bytes of the normalised text each
+        covers, and the alignment takes these to the source.
+        """
         out = []
-        for text, c in zip(texts, cut, strict=True):
-            ids = np.frombuffer(b"".join(map(self.memo.__getitem__, c)), np.int32)
-            out.append((ids, self._project(text, self.width[ids])))
+        for text, own in zip(texts, self.ids(texts), strict=True):
+            ids = np.array(own, np.int32)
+            width = self.width[ids]
+            if (width < 0).any():
+                surfaces = [len(p.piece.encode()) for p in self.library.encode(text.decode(), return_type="proto").pieces]
+                width = np.where(width < 0, surfaces, width)
+            normal, begins, _ = self.normaliser.normalise(text)
+            at = np.concatenate([[0], np.cumsum(width)])
+            if at[-1] != len(normal):
+                raise ValueError(f"pieces cover {at[-1]} of {len(normal)} normalised bytes")
+            out.append((ids, np.append(begins, len(text))[at]))
         return out
 
-    def _project(self, text: bytes, widths: np.ndarray) -> np.ndarray:
-        """Normalised widths to source positions: every mark is one source byte,
-        or three where the text itself has the mark, and the first is none."""
-        ends = np.concatenate([[0], np.cumsum(widths, dtype=np.int64)])
-        if not text:
-            return ends
-        data = np.frombuffer(b" " + text, np.uint8)
-        spaces = data == 0x20
-        grown = np.cumsum(np.where(spaces, 3, 1)) if _MARK not in text else None
-        if grown is None:
-            _, begins, finish = self.normaliser.normalise(text)
-            starts = np.array([*begins, len(text)], np.int64)
-            return starts[ends]
-        source = np.searchsorted(grown, ends, side="left") + 1
-        source[ends == 0] = 0
-        return np.maximum(source - 1, 0)
-
-    def _whole(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
-        ids = self.library.encode(text.decode())
-        normal, begins, _ = self.normaliser.normalise(text)
-        at = list(accumulate((len(p.encode()) if i != self.unknown else len(p.encode()) for i, p in zip(ids, self._surfaces(text, ids), strict=True)), initial=0))
-        starts = [*begins, len(text)]
-        return np.array(ids, np.int32), np.array([starts[min(a, len(normal))] for a in at], np.int64)
-
-    def _surfaces(self, text: bytes, ids: list[int]) -> list[str]:
-        """The normalised text of each piece; an unknown piece keeps its own characters."""
-        pieces = self.library.encode(text.decode(), out_type=str)
-        return [chr(int(p[3:5], 16)) if i in self.bytewise and int(p[3:5], 16) < 128 else p if i not in self.bytewise else "\0" for i, p in zip(ids, pieces, strict=True)]
-
 
 _encoders: dict[str, PieceEncoder] = {}
 
 
-def _encoder(path: str, add_end: bool):
+def opened(path: str) -> PieceEncoder:
+    """The encoder of a model, opened once a worker; it keeps nothing of the texts."""
+    if path not in _encoders:
+        _encoders[path] = PieceEncoder(path)
+    return _encoders[path]
+
+
+def _lists(rows: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
+    return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(rows).astype(np.int32)))
+
+
+def _encoder(path: str, add_end: bool, batch_bytes: int):
     def encode(batches):
-        encoder = _encoders[path] = _encoders.get(path) or PieceEncoder(path)
+        encoder = opened(path)
         for batch in batches:
-            texts = batch.column("text").cast(pa.large_binary()).fill_null(b"").to_pylist()
-            at = 0
-            while at < len(texts):
-                to, size = at, 0
-                while to < len(texts) and (to == at or size + len(texts[to]) <= 4 << 20):
-                    size += len(texts[to])
-                    to += 1
-                part = encoder.encode(texts[at:to])
+            texts = batch.column("text").cast(pa.large_binary()).fill_null(b"")
+            for at, to in parts_of(texts, batch_bytes):
+                part = encoder.encode(texts.slice(at, to - at).to_pylist())
                 ids = [np.append(i, np.int32(encoder.eos)) if add_end else i for i, _ in part]
-                spans = [np.append(s, s[-1]) if add_end else s for _, s in part]
+                bounds = [np.append(b, b[-1]) if add_end else b for _, b in part]
                 decoded = [encoder.library.decode(i.tolist()) for i in ids]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("id").slice(at, to - at),
-                        pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32), pa.array(np.concatenate(ids).astype(np.int32))),
-                        pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(s) for s in spans])]).astype(np.int32), pa.array(np.concatenate(spans).astype(np.int32))),
-                        pa.array(decoded, pa.string()),
-                    ],
-                    ["id", "ids", "bounds", "decoded"],
+                    [batch.column("id").slice(at, to - at), _lists(ids), _lists(bounds), pa.array(decoded, pa.string())], ["id", "ids", "bounds", "decoded"]
                 )
-                at = to
 
     return encode
 
 
-def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", add_end: bool = True) -> DataFrame:
+def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", add_end: bool = True, batch_bytes: int = 1 << 20) -> DataFrame:
     """``(id_col, ids, bounds, decoded)`` of every row, whole texts.
 
-    ``ids`` are exactly the library's, with the end id where ``add_end`` holds;
-    piece k covers bytes ``bounds[k]`` to ``bounds[k + 1]`` of the source's
-    UTF-8 (the end id covers none); ``decoded`` is the library's decoding.  The
-    model is opened once a task.  A null or empty text has only the end id.
-    Ids may be null or repeat and pass through; other columns play no part.
-    There is no shuffle, and a task holds about 4 MB of text, or one longer one.
+    ``ids`` are exactly the library's, with the end id where ``add_end`` holds.
+    Every text also goes through the normaliser here, which records source
+    alignment: piece k covers bytes ``bounds[k]`` to ``bounds[k + 1]`` of the
+    source's UTF-8 (the end id covers none, nor does the mark before a text).
+    A model whose pieces do not add up to the normalised text raises.
+    ``decoded`` is the library's decoding.  The model is opened once a worker.
+    A null or empty text has only the end id.  Ids may be null or repeat and
+    pass through; other columns play no part.  There is no shuffle, and a task
+    holds about ``batch_bytes`` of text with its pieces, or one longer text.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    out = rows.mapInArrow(_encoder(model_path, add_end), f"id {kind}, ids array<int>, bounds array<int>, decoded string")
+    out = rows.mapInArrow(_encoder(model_path, add_end, batch_bytes), f"id {kind}, ids array<int>, bounds array<int>, decoded string")
     return out.withColumnRenamed("id", id_col)
 
 
 def digests(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``(id_col, n_tokens, ids_sha256, decoded_sha256)`` of encoded documents."""
+    """``(id_col, n_tokens, ids_sha256, decoded_sha256, bounds)`` of encoded documents."""
     return encoded.select(
         id_col,
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
+        "bounds",
     )

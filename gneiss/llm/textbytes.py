@@ -6,8 +6,11 @@ so words can be found on UTF-8 bytes directly.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 WINDOW = 1 << 20
 
@@ -31,6 +34,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def parts_of(column: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """Rows ``(at, to)`` of consecutive parts of about ``most`` bytes of a string column, or one longer row."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(sizes):
+        before = sizes[at - 1] if at else 0
+        to = max(int(np.searchsorted(sizes, before + most, "right")), at + 1)
+        yield at, to
+        at = to
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column and the offsets of its rows; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

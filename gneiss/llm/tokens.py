@@ -2,157 +2,140 @@
 
 from __future__ import annotations
 
+import json
 import os
-from collections.abc import Iterable, Iterator
+import re
+from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_MEMO_ENTRIES = 1_000_000
-_SEPARATOR = b"~"
-
-
-class SegmentCounter:
-    """Token counts of byte strings without white space, through batch encoding.
-
-    ASCII white space is a safe boundary when the tokenizer's pre-tokenizer
-    never joins characters across it and no special token contains it; the sum
-    over the segments then equals the count of the whole text.  So is, for
-    tokenizers whose normaliser lower-cases and whose pre-tokenizer parts
-    letters from other characters, the place between a letter and a closing run
-    of ``,.;:!?``.  Counts are kept up to a bounded number of segments, across
-    the tasks of a worker, so a word is encoded once and not at every place.
+from gneiss.llm.textbytes import parts_of
+
+#: Before an ASCII blank behind a printable ASCII character.
+BOUNDARY = re.compile(rb"(?<=[\x21-\x7e])(?=[\x20\x09-\x0d])")
+#: In a pre-tokenizer's pattern: a class without white space; then whatever could match white space, or look ahead or behind.
+_BLANKLESS = re.compile(r"\[\^\\s[^\]\\]*(?:\\p\{\w+\}|\\[dw])*\]|\[?\\p\{[LN]\w*\}\]?")
+_BLANKS = re.compile(r"\\[sSWDXRbB]|\\[pP]\{|\[\^|\.|\(\?|[ \t\n]|\\[nrtfvx]")
+
+
+def _keeps_boundaries(part: dict | None) -> bool:
+    """Whether a normaliser changes no text across, or for lack of, a neighbour behind a boundary."""
+    kind = part and part["type"]
+    if kind == "Sequence":
+        return all(map(_keeps_boundaries, part["normalizers"]))
+    # Composition never reaches over a blank, letters change case one by one, and blanks stay blanks.
+    return kind in (None, "NFC", "NFD", "NFKC", "NFKD", "Lowercase") or kind == "Replace" and part["pattern"] == {"Regex": r"\s+"} and part["content"] == " "
+
+
+def _parts_at_boundaries(part: dict | None) -> bool:
+    """Whether a pre-tokenizer begins a new piece at every boundary, whatever stands before it."""
+    kind = part and part["type"]
+    if kind == "Sequence":
+        first, *rest = part["pretokenizers"]
+        return _parts_at_boundaries(first) and all(x["type"] == "ByteLevel" and not x["use_regex"] and not x["add_prefix_space"] for x in rest)
+    if kind == "ByteLevel":  # its own pattern: blanks only at the start of a piece, or alone
+        return part["use_regex"] and not part["add_prefix_space"]
+    if kind == "Split":  # only matches are kept, and none holds a blank
+        pattern = part["pattern"].get("Regex")
+        return bool(pattern) and part["behavior"] == "Removed" and part["invert"] and not _BLANKS.search(_BLANKLESS.sub("", pattern))
+    return kind in ("Whitespace", "WhitespaceSplit", "BertPreTokenizer")
+
+
+class TextCounter:
+    """Token counts of texts, as the library for the file gives them.
+
+    A tokenizers .json is encoded in batches; where the rules in the file show
+    that a piece begins at every boundary (an ASCII blank behind a printable
+    ASCII character), long texts are cut there and their parts counted apart.
+    Else, and for a SentencePiece .model, texts are encoded whole.  Nothing of
+    a text is kept behind its batch.
     """
 
-    def __init__(self, path: str, batch_bytes: int):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.batch_bytes, self.memo = batch_bytes, {}
         if path.endswith(".model"):
-            raise ValueError("SentencePiece models join across white space; see gneiss.llm.pieces")
+            from gneiss.llm.pieces import opened
+
+            self.cuts, self.lengths = False, lambda texts: list(map(len, opened(path).ids(texts)))
+            return
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        # Probes: the boundary holds when parts and whole agree on the pieces and on case.
-        same = lambda *parts: self.tokenizer.encode("".join(parts), add_special_tokens=False).ids == [
-            i for p in parts for i in self.tokenizer.encode(p, add_special_tokens=False).ids
-        ]
-        self.closes = all(same(w, p) for w in ("word", "Ünï", "a", "été") for p in (".", ",", "...", "?!", ";:")) and (
-            self.tokenizer.encode("AbC", add_special_tokens=False).ids == self.tokenizer.encode("abc", add_special_tokens=False).ids
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
+        with open(path, encoding="utf-8") as f:
+            rules = json.load(f)
+        self.cuts = (
+            _keeps_boundaries(rules["normalizer"])
+            and _parts_at_boundaries(rules["pre_tokenizer"])
+            and not any(BOUNDARY.search(t["content"].encode()) or t["lstrip"] or t["rstrip"] or t["single_word"] for t in rules["added_tokens"])
         )
-        mark = self.tokenizer.encode(_SEPARATOR.decode(), add_special_tokens=False).ids
-        self.mark = mark[0] if self.closes and len(mark) == 1 else None
-
-    def _parts(self, segment: bytes) -> tuple[bytes, bytes]:
-        """A segment's stem, in lower case, and its closing run."""
-        if not self.closes or b"<" in segment:
-            return segment, b""
-        stem = segment.rstrip(b",.;:!?")
-        if len(stem) < len(segment) and (not stem or not stem.decode()[-1].isalpha()):
-            stem = segment
-        return stem.lower(), segment[len(stem) :]
-
-    def counts(self, segments: Iterable[bytes]) -> dict[bytes, int]:
-        """The count of each different segment."""
-        parts = {s: self._parts(s) for s in set(segments)}
-        if len(self.memo) > _MEMO_ENTRIES:
-            self.memo.clear()
-        self.memo[b""] = 0
-        batch, size = [], 0
-        for part in {p for pair in parts.values() for p in pair}:
-            if part not in self.memo:
-                batch.append(part)
-                size += len(part) + 1
-                if size >= self.batch_bytes:
-                    self._encode(batch)
-                    batch, size = [], 0
-        self._encode(batch)
-        return {s: self.memo[a] + self.memo[b] for s, (a, b) in parts.items()}
-
-    def _encode(self, batch: list[bytes]) -> None:
-        """Several hundred segments a text, with a one-token mark between them
-        where the tokenizer has one; segments that hold the mark go alone."""
-        alone = [s for s in batch if self.mark is None or _SEPARATOR in s or b"<" in s]
-        joined = [s for s in batch if not (self.mark is None or _SEPARATOR in s or b"<" in s)]
-        encoded = self.tokenizer.encode_batch_fast([s.decode() for s in alone], add_special_tokens=False)
-        self.memo.update(zip(alone, map(len, encoded), strict=True))
-        groups = [joined[k : k + 400] for k in range(0, len(joined), 400)]
-        between = b" " + _SEPARATOR + b" "
-        encoded = self.tokenizer.encode_batch_fast([(between.join(g) + between).decode() for g in groups], add_special_tokens=False)
-        for group, e in zip(groups, encoded, strict=True):
-            ends = np.flatnonzero(np.array(e.ids, np.int64) == self.mark)
-            self.memo.update(zip(group, (np.diff(ends, prepend=-1) - 1).tolist(), strict=True))
-
-
-_counters: dict[str, SegmentCounter] = {}
-
-
-def balanced(texts: list[bytes], most: int) -> Iterator[list[list[bytes]]]:
-    """Groups of texts of about ``most`` bytes; a longer text is cut at white space.
-
-    Yields lists of ``(row, part)``; parts of one row may lie in several groups.
+        self.lengths = lambda texts: list(map(len, tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)))
+
+    def counts(self, texts: list[bytes], part_bytes: int) -> list[int]:
+        """The count of each text, from parts of about ``part_bytes``."""
+        totals = [0] * len(texts)
+        for group in balanced(texts, part_bytes, self.cuts):
+            for (row, _), n in zip(group, self.lengths([part for _, part in group]), strict=True):
+                totals[row] += n
+        return totals
+
+
+def balanced(texts: list[bytes], most: int, cuts: bool = True) -> Iterator[list[tuple[int, bytes]]]:
+    """Lists of ``(row, part)`` of about ``most`` bytes each.
+
+    With ``cuts``, a longer text is parted at the first boundary behind every
+    ``most`` bytes; parts of one row may lie in several lists.
     """
     group, size = [], 0
     for row, text in enumerate(texts):
         at = 0
-        while at < len(text) or (at == 0 and not text):
-            end = len(text)
-            if end - at > most:
-                end = at + most
-                cuts = [text.rfind(s, at, end) for s in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c")]
-                best = max(cuts)
-                if best <= at:  # one word longer than a batch: up to its end
-                    later = [x for s in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c") if (x := text.find(s, end)) >= 0]
-                    best = min(later, default=len(text))
-                end = best
+        while at < len(text):
+            found = BOUNDARY.search(text, at + most) if cuts and len(text) - at > most else None
+            end = found.start() if found else len(text)
             group.append((row, text[at:end]))
             size += end - at
             at = end
             if size >= most:
                 yield group
                 group, size = [], 0
-            if not text:
-                break
     if group:
         yield group
 
 
-def _counter(path: str, batch_bytes: int, group_bytes: int):
+_counters: dict[str, TextCounter] = {}
+
+
+def _counter(path: str, part_bytes: int):
     def count(batches):
-        counter = _counters[path] = _counters.get(path) or SegmentCounter(path, batch_bytes)
+        if path not in _counters:
+            _counters[path] = TextCounter(path)
         for batch in batches:
-            texts = batch.column("text").cast(pa.large_binary()).fill_null(b"").to_pylist()
-            totals = [0] * len(texts)
-            for group in balanced(texts, group_bytes):
-                split = [(row, part.split()) for row, part in group]
-                known = counter.counts(s for _, segments in split for s in segments)
-                for row, segments in split:
-                    totals[row] += int(sum(map(known.__getitem__, segments)))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array([len(t) for t in texts], pa.int64()), pa.array(totals, pa.int64())], ["id", "n_bytes", "n_tokens"]
-            )
+            texts = batch.column("text").cast(pa.large_binary()).fill_null(b"")
+            for at, to in parts_of(texts, 16 * part_bytes):
+                raw = texts.slice(at, to - at).to_pylist()
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("id").slice(at, to - at), pa.array(list(map(len, raw)), pa.int64()), pa.array(_counters[path].counts(raw, part_bytes), pa.int64())], ["id", "n_bytes", "n_tokens"]
+                )
 
     return count
 
 
-def count_tokens(
-    docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048, batch_bytes: int = 1 << 20, group_bytes: int = 4 << 20
-) -> DataFrame:
+def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048, part_bytes: int = 1 << 16) -> DataFrame:
     """``(id_col, n_bytes, n_tokens, over_limit)`` of every row, whole texts.
 
-    ``tokenizer_path`` is a tokenizers .json whose pre-tokenizer splits at white
-    space; it is opened once a task, on the executor.  No tokens are added,
-    nothing is truncated or padded; special strings inside a text count as the
-    library handles them.  Texts travel as Arrow batches, are cut into parts of
-    at most ``group_bytes`` at ASCII white space, and only lengths come back.
-    A null or empty text has 0 bytes and 0 tokens; ids may be null or repeat and
-    are passed through; other columns play no part.  There is no shuffle.
+    ``tokenizer_path`` is a tokenizers .json or a SentencePiece .model; it is
+    opened once a worker, on the executor.  No tokens are added, nothing is
+    truncated or padded; special strings inside a text count as the library
+    handles them.  Texts travel as Arrow batches and are encoded about
+    ``part_bytes`` at a time, longer ones in parts where that is safe; only
+    lengths come back.  A null or empty text has 0 bytes and 0 tokens; ids may
+    be null or repeat and are passed through; other columns play no part.
+    There is no shuffle.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    counted = rows.mapInArrow(_counter(tokenizer_path, batch_bytes, group_bytes), f"id {kind}, n_bytes long, n_tokens long")
+    counted = rows.mapInArrow(_counter(tokenizer_path, part_bytes), f"id {kind}, n_bytes long, n_tokens long")
     return counted.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

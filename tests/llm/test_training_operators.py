@@ -122,7 +122,7 @@ def test_minhash_estimates_jaccard():
 
 def test_token_counts_equal_the_library(awkward, nothing):
     library = Tokenizer.from_file(BPE)
-    got = Counter(map(tuple, tokens.count_tokens(awkward, BPE, group_bytes=1000).collect()))
+    got = Counter(map(tuple, tokens.count_tokens(awkward, BPE, part_bytes=1000).collect()))
     want = Counter()
     for i, t in rows_of(awkward):
         n = len(library.encode(t or "", add_special_tokens=False).ids)
@@ -131,11 +131,40 @@ def test_token_counts_equal_the_library(awkward, nothing):
     assert tokens.count_tokens(nothing, BPE).count() == 0
 
 
-@pytest.mark.parametrize("text", ["Don't. it's a1. 3.14, x~ ~ ~~", "É. é, (a). ... ?!", "á. b", "\x1c a\x1cb\x85c\xa0d", "<|ENDOFTEXT|> <|endoftext|>.", "İ ΑΣ Σ. ﬁ"])
-def test_segments_count_like_whole_texts(text):
-    library, counter = Tokenizer.from_file(BPE), tokens.SegmentCounter(BPE, 64)
-    segments = text.encode().split()
-    assert sum(counter.counts(segments)[s] for s in segments) == len(library.encode(text, add_special_tokens=False).ids)
+ODD = [*"abcSsté.,!'~ \n\t日本😀<>Σσ", "  ", "İ", "İ.", "\u0301", "\u0307", "ﬁ", "<|endoftext|>", "<|ENDOFTEXT|>", "\xa0", "\x85", "\u2028", "\x1c", "한", "\u1112", "\u1161", "'s", "Ⅷ", "▁", "</s>", "<0x0A>", "\x00"]
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"])
+def test_parts_count_like_whole_texts(name):
+    rng = np.random.default_rng(5)
+    path = public_tokenizers.path(name)
+    counter = tokens.TextCounter(path)
+    assert counter.cuts == name.endswith(".json")
+    library = Tokenizer.from_file(path) if counter.cuts else sentencepiece.SentencePieceProcessor(model_file=path)
+    count = (lambda t: len(library.encode(t, add_special_tokens=False).ids)) if counter.cuts else (lambda t: len(library.encode(t)))
+    texts = ["".join(rng.choice(ODD, rng.integers(0, 40))) for _ in range(4000)] + ["GALATASARAYİ, ve", "AKSARAYİ!", "Don't. it's a1. 3.14, x~ ~ ~~", "x" * 5000]
+    for at in range(0, len(texts), 50):
+        part = texts[at : at + 50]
+        assert counter.counts([t.encode() for t in part], 1 + at % 12) == [count(t) for t in part]
+
+
+def test_texts_are_cut_only_where_the_rules_allow_it():
+    ok = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+    assert tokens._keeps_boundaries(ok) and tokens._keeps_boundaries(None)
+    for kind in ({"type": "Strip"}, {"type": "Prepend", "prepend": "▁"}, {"type": "Replace", "pattern": {"String": " "}, "content": "▁"}):
+        assert not tokens._keeps_boundaries(kind) and not tokens._keeps_boundaries({"type": "Sequence", "normalizers": [kind]})
+    split = lambda regex, behavior="Removed", invert=True: {"type": "Split", "pattern": {"Regex": regex}, "behavior": behavior, "invert": invert}
+    assert tokens._parts_at_boundaries(split(r"'s|[\p{L}]+|[^\s\p{L}\p{N}]+"))
+    for part in (split(r"\p{L}+ ?"), split(r"\S+\s*"), split(r"[^a]+"), split(r"a.b"), split(r"\p{L}+", "Isolated", False), {"type": "Metaspace"}, None):
+        assert not tokens._parts_at_boundaries(part)
+
+
+def test_long_texts_are_parted_in_balance():
+    text = b"some words of a text. " * 1000
+    groups = list(tokens.balanced([text, b"", b"tail"], 1000))
+    assert b"".join(p for g in groups for r, p in g if r == 0) == text and groups[-1][-1] == (2, b"tail")
+    assert max(sum(len(p) for _, p in g) for g in groups) < 1010
+    assert [len(p) for g in tokens.balanced([b"y" * 5000], 1000) for _, p in g] == [5000]
 
 
 def test_pieces_equal_the_library(awkward, nothing):
@@ -154,13 +183,45 @@ def test_pieces_equal_the_library(awkward, nothing):
 
 @pytest.mark.parametrize("text", ["plain words", " lead  two ", "a\nb \n c", "▁ mark▁ é 日", "😀 x", "<0x0A> </s>", "  ", "\n\n"])
 def test_bounds_follow_the_library_offsets(text):
-    encoder = pieces.PieceEncoder(PIECES)
+    check_bounds(pieces.PieceEncoder(PIECES), text)
+
+
+def test_bounds_of_odd_texts():
+    encoder, rng = pieces.PieceEncoder(PIECES), np.random.default_rng(6)
+    for _ in range(3000):
+        check_bounds(encoder, "".join(rng.choice(ODD, rng.integers(0, 30))))
+
+
+@pytest.mark.parametrize("rule", ["nmt_nfkc", "nfkc_cf"])
+def test_pieces_behind_a_character_map_are_projected(rule, monkeypatch):
+    """A model with the map of another: bounds part the source where its characters part."""
+    library = sentencepiece.SentencePieceNormalizer(rule_name=rule)
+    from sentencepiece import sentencepiece_model_pb2
+
+    encoder, proto, own = pieces.PieceEncoder(PIECES), sentencepiece_model_pb2.ModelProto(), sentencepiece_model_pb2.ModelProto()
+    proto.ParseFromString(library.serialized_model_proto())
+    with open(PIECES, "rb") as f:
+        own.ParseFromString(f.read())
+    own.normalizer_spec.precompiled_charsmap = proto.normalizer_spec.precompiled_charsmap
+    encoder.library = sentencepiece.SentencePieceProcessor(model_proto=own.SerializeToString())
+    encoder.normaliser = pieces.Normaliser(own.normalizer_spec)
+    for text in ["ﬁne ①② ＡＢＣ tail", "é é x", " a   b ", "㌔ 株式会社", "plain", ""]:
+        ids, bounds = encoder.encode([text.encode()])[0]
+        assert bounds.tolist() == sorted(bounds.tolist()) and len(bounds) == len(ids) + 1 and bounds[-1] == len(text.encode())
+    text = "ﬁne ＡＢ tail"
+    ids, bounds = encoder.encode([text.encode()])[0]
+    parts = [(encoder.library.id_to_piece(int(i)), text.encode()[a:b].decode()) for i, a, b in zip(ids, bounds[:-1], bounds[1:], strict=True)]
+    assert "".join(s for _, s in parts) == text and parts[-1][1].strip() == parts[-1][0].strip("▁")
+
+
+def check_bounds(encoder, text):
     ids, bounds = encoder.encode([text.encode()])[0]
     proto = encoder.library.encode(text, return_type="proto").pieces
     assert [p.id for p in proto] == ids.tolist()
-    for p, begin in zip(proto, bounds.tolist(), strict=False):
+    assert bounds[0] == 0 and bounds[-1] == len(text.encode())
+    for p, begin, end in zip(proto, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         if not p.piece.startswith("<0x") and p.surface:
-            assert begin == p.begin
+            assert (begin, end) == (p.begin, p.end) and text.encode()[begin:end].decode() == p.surface
 
 
 @pytest.mark.parametrize("rule", ["nmt_nfkc", "nfkc_cf"])
@@ -175,7 +236,7 @@ def test_character_map_normalises_like_the_library(rule):
     for text in ["ﬁne ①② ＡＢＣ", "é é x", " a   b ", "㌔ 株式会社", "plain", ""]:
         normal, begins, ends = ours.normalise(text.encode())
         assert normal.decode() == library.normalize(text), text
-        assert begins == sorted(begins) and all(0 <= b <= e <= len(text.encode()) for b, e in zip(begins, ends, strict=True))
+        assert begins.tolist() == sorted(begins.tolist()) and all(0 <= b <= e <= len(text.encode()) for b, e in zip(begins, ends, strict=True))
 
 
 def brute_top(vectors, query, own, k):
