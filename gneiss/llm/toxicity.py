@@ -168,14 +168,10 @@ def _matrix_rows(shared):
     def rows(batches):
         model = shared.value
         for batch in batches:
-            out = []
-            for text, toxic in zip((t.as_py() for t in batch.column("text")), batch.column("toxic").to_pylist(), strict=True):
-                words = words_of(text)
-                out.append((toxic, len(words), sorted(model.present(words))))
-            columns = list(zip(*out, strict=True)) or [(), (), ()]
+            found = [words_of(t.as_py()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(columns[0], pa.bool_()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.list_(pa.int32()))],
-                ["toxic", "n", "features"],
+                [batch.column("place"), batch.column("toxic"), pa.array(map(len, found), pa.int64()), pa.array([sorted(model.present(w)) for w in found], pa.list_(pa.int32()))],
+                ["place", "toxic", "n", "features"],
             )
 
     return rows
@@ -211,12 +207,13 @@ def train(spark: SparkSession, texts: DataFrame, labels: DataFrame, most_positiv
     if not p or p == u:
         return None
     prior = min(max(p / (p + zero) if zero else 0.05, 1e-3), 0.5)
-    unit = F.xxhash64("id").cast("double") / 2.0**64 + 0.5
+    place = F.xxhash64("id")
+    unit = place.cast("double") / 2.0**64 + 0.5
     # A hash share of the positives: about most_positive ids, and no more than twice that.
-    positives = known.where((F.col("label") == 1) & (unit < most_positive / p)).select(F.col("id").alias("positive_id")).distinct().limit(2 * most_positive)
+    positives = known.where((F.col("label") == 1) & (unit < most_positive / p)).select(F.col("id").alias("positive_id"), place.alias("place")).distinct().orderBy("place", "positive_id").limit(2 * most_positive).drop("place")
     marked = texts.join(F.broadcast(positives), F.col("id") == F.col("positive_id"), "left")
     kinds = F.array_compact(F.array(F.when(F.col("positive_id").isNotNull(), True), F.when(unit < most_mixture / u, False)))
-    sample = marked.select("text", F.explode(kinds).alias("toxic"))
+    sample = marked.select(F.xxhash64("id", "text").alias("place"), "text", F.explode(kinds).alias("toxic"))
     sample = materialise(sample.repartition(4 * spark.sparkContext.defaultParallelism), "toxic-sample")
     n_p, n_u = sample.agg(F.count_if("toxic"), F.count_if(~F.col("toxic"))).first()
     if not n_p or not n_u:
@@ -232,7 +229,8 @@ def train(spark: SparkSession, texts: DataFrame, labels: DataFrame, most_positiv
         return None
     shared = spark.sparkContext.broadcast(WordModel(chosen, np.zeros(len(chosen) + 1), 0.0))
     # No row is folded here: the prior and the mixture must speak of the same documents.
-    table = sample.mapInArrow(_matrix_rows(shared), "toxic boolean, n long, features array<int>").toArrow()
+    # Its rows are put in an order of their own, so the same documents give the same model however they are dealt out.
+    table = sample.mapInArrow(_matrix_rows(shared), "place long, toxic boolean, n long, features array<int>").toArrow().sort_by([("place", "ascending"), ("toxic", "ascending")])
     x = np.zeros((table.num_rows, len(chosen) + 1), np.float32)
     for row, features in enumerate(table.column("features").to_pylist()):
         x[row, features] = 1
@@ -242,11 +240,14 @@ def train(spark: SparkSession, texts: DataFrame, labels: DataFrame, most_positiv
     return WordModel(chosen, weights, bias)
 
 
-def _scorer(shared):
+def _scorer(shared, text_at: int):
+    """Scores the column ``text``, or the field of ``row`` at ``text_at``."""
+
     def score(batches):
         model = shared.value
         for batch in batches:
-            margins = np.array([model.margin(t.as_py()) for t in batch.column("text")], np.float64)
+            texts = batch.column("row").field(text_at) if text_at >= 0 else batch.column("text")
+            margins = np.array([model.margin(t.as_py()) for t in texts], np.float64)
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(1 / (1 + np.exp(-np.clip(margins, -50, 50))))], ["row", "score"])
 
     return score
@@ -265,12 +266,14 @@ def scored_rows(docs: DataFrame, texts: DataFrame, labels: DataFrame, text_col:
     The model (about a thousand beginnings) is broadcast; there is no shuffle.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.struct(*(F.col(c) for c in carry or docs.columns)).alias("row"), F.col(text_col).alias("text"))
+    carry = carry or docs.columns
+    text_at = carry.index(text_col) if text_col in carry else -1
+    rows = docs.select(F.struct(*(F.col(c) for c in carry)).alias("row"), *([] if text_at >= 0 else [F.col(text_col).alias("text")]))
     model = train(spark, texts, labels, **options)
     if model is None:
         return rows.select("row", F.lit(0.0).alias("score"))
     kind = rows.schema["row"].dataType.simpleString()
-    return rows.mapInArrow(_scorer(spark.sparkContext.broadcast(model)), f"row {kind}, score double")
+    return rows.mapInArrow(_scorer(spark.sparkContext.broadcast(model), text_at), f"row {kind}, score double")
 
 
 def held_out(id_col: str, folds: int = 3, fold: int = 1) -> Column:

@@ -395,6 +395,18 @@ def test_toxic_words_are_learned_from_positives(spark, nothing):
     assert {r["score"] for r in toxicity.held_out_toxicity(df, lab.limit(0)).collect()} == {0.0}
 
 
+def test_scores_do_not_depend_on_how_rows_are_dealt_out(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(["ka", "lo", "mi", "tu", "se", "ra"], 4))
+    texts = [" ".join(word() for _ in range(20)) + (" vrghen" if i % 7 == 0 else "") for i in range(700)]
+    rows = [(i, t, "x", 1.0) for i, t in enumerate(texts)]
+    rows += rows[:50] + [(9000, "lokatu " * 30_000, "x", 1.0), (9001, None, "x", 1.0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row string, score double")  # names that the operator uses itself
+    lab = spark.createDataFrame([(i, int(i % 7 == 0)) for i in range(700) if i % 2] * 2, "doc_id long, toxic int")
+    once, again = (sorted((r["row"]["doc_id"], r["score"]) for r in toxicity.held_out_toxicity(df.repartition(n), lab.repartition(n)).collect()) for n in (1, 7))
+    assert once == again and len(once) == len(rows) and len({s for _, s in once}) > 1
+
+
 def test_every_positive_of_a_family_is_counted(spark):
     # Unrelated texts with one common word of a low hash, then copies and near copies of one text.
     least = min((f"w{'abcdefghij'[i // 10]}{'abcdefghij'[i % 10]}" for i in range(100)), key=toxicity.xxhash.xxh3_64_intdigest)
