@@ -11,8 +11,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gneiss.llm.textbytes import bounded_batches
+
 #: Elements whose content is no text of the page.
 HIDDEN = {"script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "audio", "video", "select", "datalist", "head", "title"}
+HIDDEN_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in HIDDEN}
 #: Elements around the article, not of it.
 APART = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "textarea", "fieldset"}
 BLOCKS = set(
@@ -23,14 +26,22 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 CLOSED_BY = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
 }
-NAMED_APART = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|adsense|banner|sponsor(?:ed)?|promo(?:tion)?|nav(?:bar|igation)?|menu|breadcrumbs?|header|masthead|footer|foot|"
-    r"sidebar|side|aside|widget|related|recommend(?:ed|ations)?|share|sharing|social|comments?|replies|respond|disqus|cookies?|consent|gdpr|notice|popup|modal|"
-    r"newsletter|subscribe|subscription|signup|login|search|pagination|pager|toolbar|copyright|legal|disclaimer|skip)(?=$|[\s_-])",
-    re.I,
+_NAMES = (
+    r"ads?|adverts?|advertisement|adsense|banner|sponsor(?:ed)?|promo(?:tion)?|nav(?:bar|igation)?|menu|breadcrumbs?|header|masthead|footer|foot|"
+    r"sidebar|side|aside|widget|related|recommend(?:ed|ations)?|share|sharing|social|cookies?|consent|gdpr|notice|popup|modal|"
+    r"newsletter|subscribe|subscription|signup|login|search|pagination|pager|toolbar|copyright|legal|disclaimer|skip"
 )
+_BEGIN, _END = r"(?:^|\s|(?<!\bhas)(?<!\bwith)(?<!\bwithout)(?<!\bno)[_-])", r"(?=$|[\s_-])"
+#: Names of classes and ids around an article, of readers' comments, and of heads that an article has itself.
+NAMED_APART = re.compile(rf"{_BEGIN}(?:{_NAMES}){_END}", re.I)
+NAMED_COMMENTS = re.compile(rf"{_BEGIN}(?:comments?|replies|respond|disqus){_END}", re.I)
+NAMED_HEAD = re.compile(rf"{_BEGIN}(?:header|masthead){_END}", re.I)
 ROLES_APART = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar"}
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
+TOKEN = re.compile(
+    r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|"
+    r"</?([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+(?:[\"'][^>]*)?)(?:>|$)",
+    re.S,
+)
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.S)
 SPACE = re.compile(r"\s+")
 WINDOW = 3
@@ -40,50 +51,101 @@ LONG = 80
 MARKED = 4
 
 
-def _apart(tag: str, attributes: str) -> bool:
+#: How an element stands to the text: part of it, apart by its tag or role, apart by its name, or comments by its name.
+OF_TEXT, APART_BY_KIND, APART_BY_NAME, COMMENTS = range(4)
+
+
+def _kind(tag: str, attributes: str, in_article: bool) -> int:
     if tag in APART:
-        return True
+        return APART_BY_KIND
     if tag in ("html", "body", "main", "article"):
-        return False
-    for name, *values in ATTRIBUTE.findall(attributes):
-        value = "".join(values)
-        name = name.lower()
-        if name in ("class", "id") and NAMED_APART.search(value):
-            return True
-        if name == "role" and value.lower() in ROLES_APART or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
-    return bool(re.search(r"(?:^|\s)hidden(?:\s|$)", re.sub(r"\"[^\"]*\"|'[^']*'", "", attributes)))
+        return OF_TEXT
+    kind = OF_TEXT
+    for name, *values in ATTRIBUTE.findall(attributes) if "=" in attributes else ():
+        value, name = "".join(values), name.lower()
+        if name == "role" and value.lower() in ROLES_APART or name == "aria-hidden" and value.lower() == "true":
+            return APART_BY_KIND
+        if name in ("class", "id"):
+            if NAMED_COMMENTS.search(value):
+                kind = COMMENTS
+            elif NAMED_APART.search(NAMED_HEAD.sub("", value) if in_article else value):
+                kind = max(kind, APART_BY_NAME)
+    hidden = re.search(r"(?:^|\s)hidden(?:\s|=|$)", re.sub(r"\"[^\"]*\"|'[^']*'", "", attributes), re.I)
+    return APART_BY_KIND if hidden else kind
+
+
+class Named:
+    """An element that is apart by its name: what it holds tells whether that is believed.
+
+    A wrapper of an article or main element is no menu or sidebar, whatever its
+    name; nor is, on a page that has no such element, a wrapper of a heading and
+    of more than half of the page's text.  Comments always are comments.
+    """
+
+    __slots__ = ("outer", "comments", "believed", "mass", "heading")
+
+    def __init__(self, outer: Named | None, comments: bool):
+        self.outer, self.comments, self.believed, self.mass, self.heading = outer, comments, True, 0, False
 
 
 class Line:
     """A block of text: its words, how much of it is link text, where it stands."""
 
-    __slots__ = ("text", "linked", "apart", "area", "heading")
+    __slots__ = ("text", "linked", "named", "area", "heading")
 
-    def __init__(self, text: str, linked: int, apart: bool, area: int, heading: bool):
-        self.text, self.linked, self.apart, self.area, self.heading = text, linked, apart, area, heading
+    def __init__(self, text: str, linked: int, named: Named | None, area: int, heading: bool):
+        self.text, self.linked, self.named, self.area, self.heading = text, linked, named, area, heading
+
+
+class Open:
+    """The open elements of a page, with counts, so that no tag looks through all of them."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, bool, Named | None, int, int]] = []  # tag, apart by kind, by name, area, blocks up to here
+        self.at: dict[str, list[int]] = {}
+
+    @property
+    def top(self) -> tuple[str, bool, Named | None, int, int]:
+        return self.stack[-1] if self.stack else ("", False, None, 0, 0)
+
+    def push(self, tag: str, apart: bool, named: Named | None, area: int) -> None:
+        self.at.setdefault(tag, []).append(len(self.stack))
+        self.stack.append((tag, apart, named, area, self.top[4] + (tag in BLOCKS)))
+
+    def pop(self) -> None:
+        self.at[self.stack.pop()[0]].pop()
+
+    def close(self, tag: str) -> None:
+        """Ends the last element of the tag; an inline one only where no block is open in it."""
+        if not self.at.get(tag):
+            return
+        depth = self.at[tag][-1]
+        if tag in BLOCKS or self.top[4] == self.stack[depth][4]:
+            while len(self.stack) > depth:
+                self.pop()
 
 
 def lines_of(page: str) -> list[Line]:
     """The page as lines of text, one a block, with markup stripped.
 
-    ``area`` numbers the article (or main) element that a line is in, 0 for none.
-    A header is apart only outside an article, or before any other text of it
-    when it has links alone; hence its lines are judged with the others there.
+    Lines that are apart by their tag, their role or a believed name are left
+    out.  ``area`` numbers the article (or main) element that a line is in, 0
+    for none.  A header is apart only outside an article.  Time is linear in
+    the page, however its elements are nested or left open.
     """
     out: list[Line] = []
-    stack: list[tuple[str, bool, int]] = []  # tag, apart, area
-    parts: list[str] = []
-    state = {"linked": 0, "heading": False}
-    areas, at = 0, 0
+    names: list[Named] = []
+    open_, parts, endless = Open(), [], set()
+    areas, at, linked, heading = 0, 0, 0, False
 
     def flush() -> None:
-        text = SPACE.sub(" ", html.unescape("".join(parts))).strip()
+        nonlocal linked, heading
+        _, apart, named, area, _ = open_.top
+        text = "" if apart else SPACE.sub(" ", html.unescape("".join(parts))).strip()
         if text:
-            _, apart, area = stack[-1] if stack else ("", False, 0)
-            out.append(Line(text, state["linked"], apart, area, state["heading"]))
+            out.append(Line(text, linked, named, area, heading))
         parts.clear()
-        state["linked"], state["heading"] = 0, False
+        linked, heading = 0, False
 
     end = len(page)
     while at < end:
@@ -91,49 +153,66 @@ def lines_of(page: str) -> list[Line]:
         stop = found.start() if found else end
         if stop > at:
             parts.append(page[at:stop])
-            if any(t == "a" for t, _, _ in stack):
-                state["linked"] += len(page[at:stop].strip())
-            if stack and stack[-1][0] in ("h1", "h2", "h3", "h4", "h5", "h6"):
-                state["heading"] = True
+            linked += len(page[at:stop].strip()) if open_.at.get("a") else 0
+            heading = heading or open_.top[0] in ("h1", "h2", "h3", "h4", "h5", "h6")
         if not found:
             break
-        at = found.end() if found.end() > found.start() else found.start() + 1
+        at = found.end()
         tag = (found[1] or "").lower()
         if not tag:
             if found[0].startswith("<![CDATA["):
                 parts.append(html.escape(found[0][9:].removesuffix("]]>"), quote=False))
             continue
-        closing = found[0].startswith("</")
         if tag in BLOCKS:
             flush()
-        if closing:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
-            if depth >= 0 and (tag in BLOCKS or all(t not in BLOCKS for t, _, _ in stack[depth + 1 :])):
-                del stack[depth:]
+        if found[0].startswith("</"):
+            open_.close(tag)
             continue
         if tag in HIDDEN and not found[0].endswith("/>"):
-            close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            if tag in ("head", "title") and not close:
-                continue
-            at = close.end() if close else end
+            close = None if tag in endless else HIDDEN_END[tag].search(page, at)
+            if not close:
+                endless.add(tag)
+            if close or tag not in ("head", "title"):
+                at = close.end() if close else end
             continue
-        if tag in BLOCKS and stack and stack[-1][0] == "p":
-            stack.pop()
-        while stack and stack[-1][0] in CLOSED_BY.get(tag, ()):
-            stack.pop()
+        if tag in BLOCKS and open_.top[0] == "p":
+            open_.pop()
+        while open_.top[0] in CLOSED_BY.get(tag, ()):
+            open_.pop()
         if tag == "br":
             parts.append(" ")
         if tag in VOID or found[0].endswith("/>"):
             continue
-        _, apart, area = stack[-1] if stack else ("", False, 0)
+        _, apart, named, area, _ = open_.top
         if tag in ("article", "main") and not apart and not area:
-            areas += 1
-            area = areas
+            wrapper = named
+            while wrapper and not wrapper.comments and wrapper.believed:
+                wrapper.believed, wrapper = False, wrapper.outer
+            if not wrapper or not wrapper.believed:
+                areas += 1
+                area = areas
         if not apart:
-            apart = (tag == "header" and not area) or _apart(tag, found[2] or "")
-        stack.append((tag, apart, area))
+            kind = APART_BY_KIND if tag == "header" and not area else _kind(tag, found[2] or "", area > 0)
+            apart = kind == APART_BY_KIND
+            if kind in (APART_BY_NAME, COMMENTS):
+                named = Named(named, kind == COMMENTS)
+                names.append(named)
+        open_.push(tag, apart, named, area)
     flush()
-    return out
+    for line in out:
+        if line.named:
+            line.named.mass += max(len(line.text) - 2 * line.linked, 0)
+            line.named.heading = line.named.heading or line.heading
+    for named in reversed(names):  # inner ones stand behind outer ones
+        if named.outer:
+            named.outer.mass += named.mass
+            named.outer.heading = named.outer.heading or named.heading
+    whole = sum(max(len(line.text) - 2 * line.linked, 0) for line in out)
+    for named in names:
+        wraps = not areas and named.heading and 2 * named.mass > whole
+        named.believed = named.comments or named.believed and not wraps
+        named.believed = named.believed or bool(named.outer and named.outer.believed)
+    return [line for line in out if not (line.named and line.named.believed)]
 
 
 def _stretches(lines: list[Line], window: int) -> list[Line]:
@@ -186,8 +265,7 @@ def main_text(page: str | None, window: int = WINDOW) -> str:
     their lines weigh more and their edges end windows.  Several such elements
     are all kept, and so is text outside them, where it surges.
     """
-    lines = [x for x in lines_of(page or "") if not x.apart]
-    return "\n\n".join(x.text for x in _stretches(lines, window))
+    return "\n\n".join(x.text for x in _stretches(lines_of(page or ""), window))
 
 
 def _extract(batches):
@@ -208,6 +286,7 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     text-free html gives an empty text.  Ids may be null or repeat; other
     columns play no part.  There is no shuffle.
     """
+    bounded_batches(pages.sparkSession)
     kinds = {c: pages.schema[c].dataType.simpleString() for c in (id_col, url_col)}
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     out = rows.mapInArrow(_extract, f"id {kinds[id_col]}, url {kinds[url_col]}, text string, n_chars long")

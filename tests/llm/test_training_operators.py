@@ -553,3 +553,31 @@ def test_windows_run_on_marked_pages_and_keep_every_article(monkeypatch):
     whole = maintext._stretches
     monkeypatch.setattr(maintext, "_stretches", lambda lines, window: ran.append(len(lines)) or whole(lines, window))
     assert maintext.main_text(f"<article>{join(part[:2])}<p><a>all link</a></p></article>").endswith("all link") and ran == [3]
+
+
+def test_names_of_wrappers_are_not_believed():
+    body = "<h1>Head of it</h1><p>Some text of the page, and long enough to be one.</p>"
+    text = "Head of it\n\nSome text of the page, and long enough to be one."
+    assert maintext.main_text(f'<div class="layout has-sidebar"><article>{body}</article></div><div class=sidebar>See also</div>') == text
+    assert maintext.main_text(f'<div class="sidebar"><article>{body}</article></div><div class=ad>Buy this, and buy that, at once, for it is long</div>') == text
+    assert maintext.main_text(f'<div id="page-header-wrapper">{body}</div><div class="menu">One two</div>') == text
+    assert maintext.main_text(f'<article><div class="article-header"><h1>Head of it</h1></div>{body[19:]}</article><section id="comments"><article class="comment"><p>{"first! " * 40}</p></article></section>') == text
+    assert maintext.main_text(f'<div class=ad>{"Buy now. " * 40}</div><article><p>Short.</p></article>') == "Short."
+
+
+def test_broken_markup_takes_linear_time_and_loses_no_text():
+    import time
+
+    assert maintext.main_text('<p title="x>one</p><p>two</p>') == "one\n\ntwo"
+    began = time.perf_counter()
+    for part in ("<div>x", "<a>x", "</div>x", '<a "', "<title>x", "<b>x</i>", "<span>x</p>", "<div class=ad>x", "<", "&"):
+        maintext.main_text(part * 64_000)
+    assert time.perf_counter() - began < 20
+
+
+def test_pages_repeat_with_clashing_columns(spark):
+    text = "A paragraph of the page which is long enough."
+    long = PAGE % ("<article>" + f"<p>{text}</p>" * 20_000 + "</article>")
+    df = spark.createDataFrame([(1, "u", long, 2, "x")] * 2 + [(2, "v", None, 3, None)], "page_id long, url string, html string, id int, text string")
+    got = maintext.extract_main_text(df).collect()
+    assert sorted((r["page_id"], r["n_chars"]) for r in got) == [(1, 20_000 * len(text) + 19_999 * 2)] * 2 + [(2, 0)]
