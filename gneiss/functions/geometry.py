@@ -39,16 +39,33 @@ def focal_length(fov: Column, pixels: Column) -> Column:
     return pixels / (2 * F.tan(fov / 2))
 
 
-def log_lerp(step: Column, steps: int, start: float, end: float, delay_steps: int = 0, delay: float = 1.0) -> Column:
-    """A rate that goes from start to end along a logarithm, with a sine warm-up; 0 before the first step or where both ends are 0."""
+def _progress(step: Column, steps: int) -> Column:
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), step / steps))
+
+
+def _warmed(rate: Column, step: Column, warm_steps: int, warm: float) -> Column:
+    """A rate behind a quarter sine that rises from the share ``warm``; 0 before the first step."""
+    if warm_steps:
+        rate = rate * (warm + (1 - warm) * F.sin(math.pi / 2 * _progress(step, warm_steps)))
+    return F.when(step < 0, 0.0).otherwise(rate)
+
+
+def geometric_rate(step: Column, steps: int, start: float, end: float, warm_steps: int = 0, warm: float = 1.0) -> Column:
+    """A rate that changes by the same factor every step, from start to end; 0 where both are."""
     if start == 0 and end == 0:
         return F.lit(0.0)
-    t = F.least(F.lit(1.0), F.greatest(F.lit(0.0), step / steps))
-    rate = F.exp(math.log(start) * (1 - t) + math.log(end) * t)
-    if delay_steps:
-        warm = F.least(F.lit(1.0), F.greatest(F.lit(0.0), step / delay_steps))
-        rate = rate * (delay + (1 - delay) * F.sin(0.5 * math.pi * warm))
-    return F.when(step < 0, 0.0).otherwise(rate)
+    return _warmed(start * F.pow(F.lit(end / start), _progress(step, steps)), step, warm_steps, warm)
+
+
+def linear_rate(step: Column, steps: int, start: float, end: float, warm_steps: int = 0, warm: float = 1.0) -> Column:
+    """A rate that changes by the same amount every step, from start to end."""
+    return _warmed(start + (end - start) * _progress(step, steps), step, warm_steps, warm)
+
+
+def landmark_value(step: Column, landmarks: list[int], values: list[float]) -> Column:
+    """The value of the last landmark below the step, the first one's up to it."""
+    below = F.size(F.filter(F.array(*map(F.lit, landmarks)), lambda x: x < step))
+    return F.get(F.array(*map(F.lit, values)), F.greatest(below - 1, F.lit(0)))
 
 
 def luminance(r: Column, g: Column, b: Column) -> Column:

@@ -57,3 +57,25 @@ def strongest_cluster(weighted: DataFrame, ray: list[str], k: str = "k", least:
     sums = weighted.groupBy(*ray, k).agg(F.sum("weight").alias("response"))
     best = sums.groupBy(*ray).agg(F.min(F.struct((-F.round("response", 12)).alias("loss"), k, "response")).alias("b"))
     return best.select(*ray, F.when(F.col("b.response") > least, F.col(f"b.{k}")).otherwise(0).alias(k), F.col("b.response").alias("response"))
+
+
+def structural_likeness(pixels: DataFrame, image: list[str], height: int, width: int, a: str = "a", b: str = "b", window: int = 11, sigma: float = 1.5) -> DataFrame:
+    """``(image, ssim)``: mean structural similarity of two values per pixel, on the scale 0 to 1.
+
+    Local means, variances and the covariance are Gaussian sums over a window,
+    zero outside the image, taken along y and then along x.  Pixels that no
+    value reaches are equal in both and count as 1.
+    """
+    half = window // 2
+    line = [math.exp(-((i - half) ** 2) / (2 * sigma * sigma)) for i in range(window)]
+    sent = F.array(*(F.struct(F.lit(i - half).alias("o"), F.lit(w / sum(line)).alias("w")) for i, w in enumerate(line)))
+    va, vb = F.col(a), F.col(b)
+    sums = pixels.select(*image, "y", "x", va.alias("ma"), vb.alias("mb"), (va * va).alias("aa"), (vb * vb).alias("bb"), (va * vb).alias("ab"))
+    for along, most in (("y", height), ("x", width)):
+        parts = sums.withColumn("s", F.explode(sent)).withColumn(along, F.col(along) + F.col("s.o")).where(F.col(along).between(0, most - 1))
+        sums = parts.groupBy(*image, "y", "x").agg(*(F.sum(F.col(c) * F.col("s.w")).alias(c) for c in ("ma", "mb", "aa", "bb", "ab")))
+    c1, c2 = 0.01**2, 0.03**2
+    ma, mb = F.col("ma"), F.col("mb")
+    common = (2 * ma * mb + c1) * (2 * (F.col("ab") - ma * mb) + c2)
+    whole = (ma * ma + mb * mb + c1) * (F.col("aa") - ma * ma + F.col("bb") - mb * mb + c2)
+    return sums.groupBy(*image).agg(((F.sum(common / whole) + height * width - F.count("*")) / (height * width)).alias("ssim"))

@@ -53,7 +53,7 @@ def _(spark, d):
 
 @query("rate_schedule", "SELECT p_partkey, round(exp(ln(0.01) * (1 - least(1, p_partkey / 1500)) + ln(0.0001) * least(1, p_partkey / 1500)) * (0.1 + 0.9 * sin(0.5 * pi() * least(1, p_partkey / 100))), 8) AS rate FROM part")
 def _(spark, d):
-    return table(spark, d, "part").select("p_partkey", F.round(geo.log_lerp(F.col("p_partkey"), 1500, 0.01, 0.0001, 100, 0.1), 8).alias("rate"))
+    return table(spark, d, "part").select("p_partkey", F.round(geo.geometric_rate(F.col("p_partkey"), 1500, 0.01, 0.0001, 100, 0.1), 8).alias("rate"))
 
 
 @query("colour_mixes", PRIM + " SELECT id, round(0.2126*e[4] + 0.7152*e[5] + 0.0722*e[6], 6) AS luminance, round(e[4]*0.25 + 1*(1 - 0.25), 6) AS blended, round(ln(least(1/(1+exp(-e[14])), 0.01) / (1 - least(1/(1+exp(-e[14])), 0.01))), 6) AS reset FROM prim")

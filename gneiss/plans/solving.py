@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from gneiss.functions.safe import f6, iou
@@ -51,7 +53,14 @@ def _(spark, d):
     return rs.scaled(images(spark, d), ["plane"], "v").select("plane", "y", "x", f6(F.col("v")).alias("v"))
 
 
-@query("blurred_images")
+_BLUR = [math.exp(-o * o / 2) for o in range(-3, 4)]
+BLUR = (
+    IMG + f", g(o, w) AS (VALUES {', '.join(f'({i - 3}, {w / sum(_BLUR)!r}::DOUBLE)' for i, w in enumerate(_BLUR))}) "
+    "SELECT p.plane, p.y, p.x, round(sum(q.v * a.w * b.w), 6) AS blurred FROM img p JOIN img q ON q.plane = p.plane AND q.y BETWEEN p.y - 3 AND p.y + 3 AND q.x BETWEEN p.x - 3 AND p.x + 3 JOIN g a ON a.o = q.y - p.y JOIN g b ON b.o = q.x - p.x GROUP BY ALL"
+)
+
+
+@query("blurred_images", BLUR)
 def _(spark, d):
     return rs.blur(images(spark, d), ["plane"], 1.0).withColumn("blurred", f6(F.col("blurred")))
 
