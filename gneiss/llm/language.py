@@ -7,15 +7,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gneiss.llm.textbytes import utf8
+from gneiss.llm.textbytes import bounded_batches, utf8
 
 #: Symbols in a gram: a context of ORDER - 1 bytes and the byte it predicts.
 ORDER = 4
 UNKNOWN = "und"
 #: Above this many languages the trees would not fit the driver; training raises.
 MOST_LANGUAGES = 1_000
-#: Bytes of whole texts whose grams are counted at once.
-PART = 1 << 20
+#: Cells of a table of the trees (grams times languages, or times symbols) above which training raises.
+MOST_CELLS = 1 << 26
+#: Bytes of whole texts whose grams are counted at once, and cells (bytes times languages) scored at once.
+PART = 1 << 18
+#: Code lengths are kept in steps of 1/65536 bit, so their sums are the same in any order.
+STEP = 1 << 16
 
 
 def _grams(batches):
@@ -72,7 +76,9 @@ class ContextTrees:
     def __init__(self, langs: list[str], counts: dict[int, tuple[np.ndarray, np.ndarray]]):
         self.langs, self.grams, self.cost, self.escape = langs, {}, {}, {}
         self.limits = np.full(len(langs), np.inf)
-        n_langs = len(langs)
+        n_langs, width = len(langs), len(counts[1][0])
+        if max(len(grams) * max(n_langs, width if n < ORDER else 0) for n, (grams, _) in counts.items()) > MOST_CELLS:
+            raise ValueError(f"trees of more than {MOST_CELLS:,} cells; train on fewer texts a language")
         lower = np.full((1, n_langs), 8.0)  # order -1: every byte alike
         for n in range(1, ORDER + 1):
             grams, c = counts[n]  # c: (grams, languages)
@@ -84,7 +90,8 @@ class ContextTrees:
             np.add.at(kinds, at, c > 0)
             with np.errstate(divide="ignore", invalid="ignore"):
                 self.escape[n - 1] = np.where(kinds > 0, np.log2((total + kinds) / kinds), 0.0).astype(np.float32)
-                own = np.log2((total + kinds)[at] / c)
+                self.escape[n - 1] = np.round(self.escape[n - 1] * STEP) / STEP
+                own = np.round(np.log2((total + kinds)[at] / c) * STEP) / STEP
             suffix = lower[np.searchsorted(self.grams[n - 1], grams & ((1 << 8 * (n - 1)) - 1))] if n > 1 else np.broadcast_to(lower, c.shape)
             self.grams[n], self.cost[n] = grams, np.where(c > 0, own, self.escape[n - 1][at] + suffix).astype(np.float32)
             lower = self.cost[n]
@@ -190,23 +197,26 @@ def code_length_limits(spark: SparkSession, trees: ContextTrees, sample: DataFra
     return np.array([found.get(x, 8.0) for x in trees.langs])
 
 
-def _identifier(shared):
+def _identifier(shared, text_at: int = -1):
+    """Scores the column ``text``, or the field of ``row`` at ``text_at``."""
+
     def identify(batches):
         trees = shared.value
         for batch in batches:
-            data, offsets = utf8(batch.column("text"))
+            data, offsets = utf8(batch.column("row").field(text_at) if text_at >= 0 else batch.column("text"))
             data = fold(data)
+            part = max(PART // len(trees.langs), 1 << 12)
             bits = np.zeros((len(offsets) - 1, len(trees.langs)))
             at = 0
-            while at < len(data):  # parts of about 1 MB; every byte is scored once
-                to = min(at + PART, len(data))
+            while at < len(data):  # every byte is scored once
+                to = min(at + part, len(data))
                 lead = min(at, ORDER - 1)
                 begins = offsets[np.searchsorted(offsets, at - lead) : np.searchsorted(offsets, to)] - (at - lead)
                 costs = trees.lengths(data[at - lead : to], begins)[lead:]
                 first, last = np.searchsorted(offsets, at, "right") - 1, np.searchsorted(offsets, to, "left")
                 edges = np.clip(offsets[first : last + 1], at, to) - at
-                sums = np.concatenate([np.zeros((1, costs.shape[1])), np.cumsum(costs, axis=0, dtype=np.float64)])
-                bits[first:last] += sums[edges[1:]] - sums[edges[:-1]]
+                some = np.flatnonzero(np.diff(edges) > 0)
+                bits[first + some] += np.add.reduceat(costs, edges[some], axis=0, dtype=np.float64)
                 at = to
             best = bits.argmin(axis=1) if len(bits) else np.zeros(0, np.int64)
             ahead = bits - bits.min(axis=1, keepdims=True) if len(bits) else bits
@@ -240,15 +250,18 @@ def identify_rows(docs: DataFrame, training: DataFrame, id_col: str = "doc_id",
     no shuffle of the texts.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
+    carry = carry or docs.columns
     letter = F.coalesce(F.col(text_col).rlike("\\p{L}"), F.lit(False))
-    rows = docs.select(F.struct(*(F.col(c) for c in carry or docs.columns)).alias("row"), F.col(text_col).alias("text"), letter.alias("text_has_letter"))
+    text_at = carry.index(text_col) if text_col in carry else -1
+    rows = docs.select(F.struct(*(F.col(c) for c in carry)).alias("row"), *([] if text_at >= 0 else [F.col(text_col).alias("text")]), letter.alias("text_has_letter"))
     trees = train(spark, training, text_col, lang_col, id_col, **options)
     if trees is None:
         return rows.select("row", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("bits_per_byte"))
     if reject:
         trees.limits = code_length_limits(spark, trees, sampled(training, text_col, lang_col, id_col, options.get("per_language", 2_000))[1])
     kind = rows.schema["row"].dataType.simpleString()
-    out = rows.mapInArrow(_identifier(spark.sparkContext.broadcast(trees)), f"row {kind}, letter boolean, pred string, score double, bits_per_byte double, within boolean")
+    out = rows.mapInArrow(_identifier(spark.sparkContext.broadcast(trees), text_at), f"row {kind}, letter boolean, pred string, score double, bits_per_byte double, within boolean")
     named = F.col("letter") & F.col("within")
     return out.select(
         "row",

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gneiss.llm.textbytes import mix, shingle_hashes, utf8, word_hashes
+from gneiss.llm.textbytes import bounded_batches, mix, shingle_hashes, utf8, word_hashes
 from gneiss.operators.components import connected_components
 from gneiss.storage import materialise
 
@@ -231,6 +231,7 @@ def _classes(rows: DataFrame, threshold: float = 0.8, width: int = 5, tolerance:
     """The signed rows of ``(id, text)``, and of each different text with words
     ``(g1, g2, least, first, class_id, n_links)``: its fingerprint, its smallest
     id, and whether it is the first of its class (smallest id, nulls last)."""
+    bounded_batches(rows.sparkSession)
     printed = _printed(rows)
     signed = materialise(
         printed.mapInArrow(_signer(width), "id long, f1 long, f2 long, n_bytes long, signature binary"),

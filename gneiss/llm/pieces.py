@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.llm.textbytes import parts_of
+from gneiss.llm.textbytes import bounded_batches, parts_of
 
 _MARK = "▁".encode()
 #: Kinds of pieces in a model: unknown, user-defined, byte.
@@ -213,6 +213,7 @@ def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
     pass through; other columns play no part.  There is no shuffle, and a task
     holds about ``batch_bytes`` of text with its pieces, or one longer text.
     """
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     out = rows.mapInArrow(_encoder(model_path, add_end, batch_bytes), f"id {kind}, ids array<int>, bounds array<int>, decoded string")

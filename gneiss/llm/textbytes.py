@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
 WINDOW = 1 << 20
 
@@ -34,6 +35,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def bounded_batches(spark: SparkSession, most: str = "2m") -> None:
+    """Bound what a Python worker and its executor hold of a table at once: Arrow
+    batches of ``most`` bytes, or one longer row, unless the session names a size."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, most)
+
+
 def parts_of(column: pa.Array, most: int) -> Iterator[tuple[int, int]]:
     """Rows ``(at, to)`` of consecutive parts of about ``most`` bytes of a string column, or one longer row."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))

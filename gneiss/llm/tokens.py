@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.llm.textbytes import parts_of
+from gneiss.llm.textbytes import bounded_batches, parts_of
 
 #: Before an ASCII blank behind a printable ASCII character.
 BOUNDARY = re.compile(rb"(?<=[\x21-\x7e])(?=[\x20\x09-\x0d])")
@@ -135,6 +135,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     be null or repeat and are passed through; other columns play no part.
     There is no shuffle.
     """
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     counted = rows.mapInArrow(_counter(tokenizer_path, part_bytes), f"id {kind}, n_bytes long, n_tokens long")

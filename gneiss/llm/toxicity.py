@@ -12,6 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gneiss.llm.textbytes import bounded_batches
 from gneiss.storage import materialise
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -266,6 +267,7 @@ def scored_rows(docs: DataFrame, texts: DataFrame, labels: DataFrame, text_col:
     The model (about a thousand beginnings) is broadcast; there is no shuffle.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     carry = carry or docs.columns
     text_at = carry.index(text_col) if text_col in carry else -1
     rows = docs.select(F.struct(*(F.col(c) for c in carry)).alias("row"), *([] if text_at >= 0 else [F.col(text_col).alias("text")]))
