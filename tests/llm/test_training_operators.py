@@ -257,13 +257,51 @@ def test_top_k_equals_brute_force(spark):
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_top_k_of_ragged_vectors_repeated_ids_and_clashing_columns(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i % 90, [float(x) for x in rng.normal(0, 0.3, rng.integers(0, 7))], i, i, "q", None) for i in range(140)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, id long, v long, q string, b string")
+    whole = [(r[0], [math.floor(256 * x) for x in r[1]]) for r in rows]
+    got = defaultdict(list)
+    for r in topk.top_k(df.where("vec_id <> 0 OR id = 0"), F.col("vec_id") % 50 == 0, block_rows=20, list_rows=7).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["score"], r["vec_id"]))
+    whole = [x for k, x in enumerate(whole) if x[0] or not k]
+    want = {}
+    for own in (0, 50):  # rows of one id pool their hits
+        scores = [(-sum(a * b for a, b in zip(q, v, strict=False)), i) for j, q in whole if j == own for i, v in whole if i != own]
+        want[own] = [(-s, i) for s, i in sorted(scores)[:5]]
+    assert set(got) == {0, 50} and got[0] == want[0] and got[50] == want[50]
+
+
+def test_large_components_are_exact(spark):
+    rows = [(i, [float(2**40 + i), 1.0, -float(2**39)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.top_k(df, F.col("vec_id") % 50 == 0, scale=2.0**-10).orderBy("query_id", "rank").collect()
+    whole = [(i, [math.floor(2.0**-10 * x) for x in v]) for i, v in rows]
+    want = [(i, rank, j, s) for i, v in whole if i % 50 == 0 for rank, (s, j) in enumerate(brute_top(whole, v, i, 5), 1)]
+    assert [tuple(r) for r in got] == want
+
+
 def test_threshold_algorithm_stops_early():
     rng = np.random.default_rng(3)
     v = rng.integers(-50, 50, (4000, 3)).astype(float)
-    lists = topk.SortedLists(np.arange(4000), v)
-    rows, scores = lists.search(np.array([3.0, -2.0, 0.0]), -1, 5)
-    want = brute_top(list(enumerate(v)), [3, -2, 0], -1, 5)
-    assert [(int(s), int(r)) for s, r in zip(scores, rows, strict=True)] == want
+    lists, scored = topk.SortedLists(np.arange(4000), v), []
+
+    class Counted(np.ndarray):
+        def __getitem__(self, key):
+            scored.append(np.size(key))
+            return np.asarray(self)[key]
+
+    lists.vectors = lists.vectors.view(Counted)
+    for query in ([3.0, -2.0, 0.0], [0.0, 0.0, 0.0], [1.0, 1.0, 1.0]):
+        ids, scores = [np.zeros(0, np.int64)], [np.zeros(0)]
+        scored.clear()
+        lists.search(np.array([query]), np.array([-1]), 5, ids, scores)
+        assert [(int(s), int(r)) for s, r in zip(scores[0], ids[0], strict=True)] == brute_top(list(enumerate(v)), query, -1, 5)
+        assert not any(query) or sum(scored) < 2000
+        scored.clear()  # with these scores the same block again has nothing to give
+        lists.search(np.array([query]), np.array([-1]), 5, ids, [scores[0] + 1000])
+        assert not sum(scored)
 
 
 def test_archives_round_trip(spark, tmp_path):
