@@ -132,3 +132,35 @@ def static_fusion(a: Column, ri: Column, rj: Column, threshold: float, floor: fl
     """Two static ends: 1; one: at least the floor; none: the affinity itself."""
     si, sj = ri < threshold, rj < threshold
     return F.when(si & sj, 1.0).when(si | sj, floor + (1 - floor) * a).otherwise(a)
+
+
+def fused(color: Column, orient: Column, scale: Column, use_geometry: bool = True, power: float = 1.0) -> Column:
+    """The geometric mean of the likenesses of colour, orientation and scale, to a
+    power; 1 without geometry, so that only the graph's structure is left."""
+    w = F.pow(color * orient * scale, F.lit(1 / 3)) if use_geometry else F.lit(1.0)
+    return F.pow(w, F.lit(power)) if power != 1.0 else w
+
+
+def segment_max(segments: DataFrame, maps: DataFrame, edge: list[str], view: str, values: list[str], samples: int) -> DataFrame:
+    """For each edge, the largest of each map value along its segments ``(xi, yi)`` to ``(xj, yj)`` over all views.
+
+    A segment is sampled at ``samples`` evenly spaced places, ends included, and
+    a place takes the mean of its four pixels by nearness; pixels that the map
+    ``(view, y, x, values)`` does not have are 0.
+    """
+    t = F.col("_k") / max(samples - 1, 1)
+    at = segments.select("*", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("_k"))
+    at = at.withColumn("_x", F.col("xi") * (1 - t) + F.col("xj") * t).withColumn("_y", F.col("yi") * (1 - t) + F.col("yj") * t)
+    fx, fy = F.col("_x") - F.floor("_x"), F.col("_y") - F.floor("_y")
+    corners = [F.struct((F.floor("_y") + dy).alias("y"), (F.floor("_x") + dx).alias("x"), ((fy if dy else 1 - fy) * (fx if dx else 1 - fx)).alias("w")) for dy in (0, 1) for dx in (0, 1)]
+    near = at.select(*edge, view, "_k", F.explode(F.array(*corners)).alias("c")).where("c.w > 0").select(*edge, view, "_k", "c.y", "c.x", "c.w")
+    sampled = near.join(maps, [view, "y", "x"]).groupBy(*edge, view, "_k").agg(*(F.sum(F.col("w") * F.col(v)).alias(v) for v in values))
+    most = sampled.groupBy(*edge).agg(*(F.max(v).alias(v) for v in values))
+    seen = segments.select(*edge).distinct()
+    return seen.join(most, edge, "left").select(*edge, *(F.greatest(F.coalesce(v, F.lit(0.0)), F.lit(0.0)).alias(v) for v in values))
+
+
+def boundary(depth: Column, color: Column, seen: Column, by_depth: float, by_color: float, offset: float, most: float = 0.99) -> Column:
+    """How much an edge is held back: a sigmoid of what its segments cross, 0 for edges that no view shows."""
+    held = 1 / (1 + F.exp(-(by_depth * depth + by_color * color - offset)))
+    return F.when(seen, F.least(held, F.lit(most))).otherwise(0.0)

@@ -107,30 +107,3 @@ def confusion(pixels: DataFrame, selected: list[int]) -> DataFrame:
     pred = F.col("k").isin(selected)
     kind = F.when(pred & F.col("gt"), "TP").when(pred, "FP").when(F.col("gt"), "FN").otherwise("TN")
     return pixels.groupBy("frame", kind.alias("kind")).agg(F.count("*").alias("n"))
-
-
-def greedy_union(counts: DataFrame, margin: float = 0.0, frame_mean: bool = False, k: str = "k") -> list[int]:
-    """Clusters of the greedy union: from the best one on, the cluster that adds
-    most is taken while the score grows by more than ``margin``.
-
-    Works on the count table; one small aggregate for each cluster taken.
-    """
-    dense = dense_counts(counts).cache()
-    ids = sorted(r[0] for r in dense.select(k).distinct().collect())
-    chosen: list[int] = []
-    score = -1.0
-    while len(chosen) < len(ids):
-        tries = []
-        for c in ids:
-            if c in chosen:
-                continue
-            per_frame = union_iou(dense, [*chosen, c])
-            value = per_frame.agg(F.avg("iou") if frame_mean else iou(F.sum("inter"), F.sum("pred"), F.sum("gt"))).first()[0]
-            tries.append((-value, c))
-        top = min(tries)
-        if chosen and -top[0] <= score + margin:
-            break
-        score = -top[0]
-        chosen.append(top[1])
-    dense.unpersist()
-    return chosen

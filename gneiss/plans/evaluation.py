@@ -250,10 +250,3 @@ def _(spark, d):
     first = m.join(F.broadcast(m.agg(F.min("frame").alias("f0"))), F.col("frame") == F.col("f0"))
     a, b = first.select(F.col("u").alias("a"), "k"), first.select(F.col("u").alias("b"), "k")
     return a.join(b, "k").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
-
-
-@query("greedy_union")
-def _(spark, d):
-    """Clusters in the order in which the greedy union takes them."""
-    chosen = ev.greedy_union(ev.frame_counts(pixels(spark, d)))
-    return spark.createDataFrame(list(enumerate(chosen)), "rank long, k long")

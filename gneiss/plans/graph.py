@@ -30,7 +30,22 @@ def _sum(expr: str, lo: int, n: int) -> str:
 COLOR = f"exp(-{_sum('(a.e[{i}]-b.e[{i}])*(a.e[{i}]-b.e[{i}])', 4, 3)} / (2 * 0.8 * 0.8))"
 NORM = lambda t: f"sqrt({_sum(t + '.e[{i}]*' + t + '.e[{i}]', 7, 3)})"
 SCALE = f"exp(-pow(ln(greatest({NORM('a')}, 1e-6) / greatest({NORM('b')}, 1e-6)), 2) / (2 * 0.5 * 0.5))"
-WEIGHTED = KNN + f", edges AS (SELECT src, dst, pow({COLOR} * {SCALE}, 0.5) AS w FROM knn JOIN prim a ON a.id = src JOIN prim b ON b.id = dst)"
+def _q(i: int) -> str:
+    n = "sqrt(" + _sum("e[{i}]*e[{i}]", 10, 4) + ")"
+    return f"(e[{10 + i}] / {n})"
+
+
+ROT = [
+    ["1 - 2*({y}*{y} + {z}*{z})", "2*({x}*{y} - {w}*{z})", "2*({x}*{z} + {w}*{y})"],
+    ["2*({x}*{y} + {w}*{z})", "1 - 2*({x}*{x} + {z}*{z})", "2*({y}*{z} - {w}*{x})"],
+    ["2*({x}*{z} - {w}*{y})", "2*({y}*{z} + {w}*{x})", "1 - 2*({x}*{x} + {y}*{y})"],
+]
+ROTATED = PRIM + ", q AS (SELECT id, e, " + ", ".join(f"{_q(i)} AS {c}" for i, c in enumerate(("qw", "qx", "qy", "qz"))) + " FROM prim), r AS (SELECT id, e, " + ", ".join(
+    f"{ROT[a][b].format(w='qw', x='qx', y='qy', z='qz')} AS r{a}{b}" for a in range(3) for b in range(3)
+) + " FROM q)"
+AXIS = ROTATED + ", ax AS (SELECT id, list_position(e[7:9], list_max(e[7:9])) AS m, * EXCLUDE (id) FROM r), v AS (SELECT id, " + ", ".join(f"[r{a}0, r{a}1, r{a}2][m] AS v{a}" for a in range(3)) + " FROM ax)"
+ORIENT = "abs(i.v0*j.v0 + i.v1*j.v1 + i.v2*j.v2)"
+WEIGHTED = KNN + "," + AXIS.removeprefix(PRIM + ",") + f", edges AS (SELECT src, dst, pow({COLOR} * {ORIENT} * {SCALE}, 1.0::DOUBLE / 3) AS w FROM knn JOIN prim a ON a.id = src JOIN prim b ON b.id = dst JOIN v i ON i.id = src JOIN v j ON j.id = dst)"
 SYM = WEIGHTED + ", sym AS (SELECT src, dst, max(w) AS w FROM (SELECT src, dst, w FROM edges UNION ALL SELECT dst, src, w FROM edges) GROUP BY ALL)"
 
 
@@ -54,10 +69,11 @@ def knn_edges(spark, d):
 
 
 def weighted_edges(spark, d):
-    """Edges weighted by likeness of colour and scale."""
-    ends = af.gather(knn_edges(spark, d).select("src", "dst"), primitives(spark, d), ["f_dc", "scale"])
+    """Edges weighted by likeness of colour, orientation and scale."""
+    points = primitives(spark, d).select("id", "f_dc", "scale", af.principal_axis(F.col("scale"), F.col("rot")).alias("v"))
+    ends = af.gather(knn_edges(spark, d).select("src", "dst"), points, ["f_dc", "scale", "v"])
     color = af.gaussian(af.square_distance(F.col("f_dc_i"), F.col("f_dc_j")), 0.8)
-    return ends.select("src", "dst", F.pow(color * af.scale_affinity(F.col("scale_i"), F.col("scale_j"), 0.5), F.lit(0.5)).alias("w"))
+    return ends.select("src", "dst", af.fused(color, F.abs(dot(F.col("v_i"), F.col("v_j"))), af.scale_affinity(F.col("scale_i"), F.col("scale_j"), 0.5)).alias("w"))
 
 
 @query("opacity_filter", PRIM + " SELECT id, round(1 / (1 + exp(-e[14])), 6) AS opacity FROM prim WHERE 1 / (1 + exp(-e[14])) > 0.5")
@@ -103,22 +119,6 @@ def _(spark, d):
     return knn_edges(spark, d).select("src", "dst", f6(af.gaussian(F.col("d2"), 0.3)).alias("w"))
 
 
-def _q(i: int) -> str:
-    n = "sqrt(" + _sum("e[{i}]*e[{i}]", 10, 4) + ")"
-    return f"(e[{10 + i}] / {n})"
-
-
-ROT = [
-    ["1 - 2*({y}*{y} + {z}*{z})", "2*({x}*{y} - {w}*{z})", "2*({x}*{z} + {w}*{y})"],
-    ["2*({x}*{y} + {w}*{z})", "1 - 2*({x}*{x} + {z}*{z})", "2*({y}*{z} - {w}*{x})"],
-    ["2*({x}*{z} - {w}*{y})", "2*({y}*{z} + {w}*{x})", "1 - 2*({x}*{x} + {y}*{y})"],
-]
-ROTATED = PRIM + ", q AS (SELECT id, e, " + ", ".join(f"{_q(i)} AS {c}" for i, c in enumerate(("qw", "qx", "qy", "qz"))) + " FROM prim), r AS (SELECT id, e, " + ", ".join(
-    f"{ROT[a][b].format(w='qw', x='qx', y='qy', z='qz')} AS r{a}{b}" for a in range(3) for b in range(3)
-) + " FROM q)"
-AXIS = ROTATED + ", ax AS (SELECT id, list_position(e[7:9], list_max(e[7:9])) AS m, * EXCLUDE (id) FROM r), v AS (SELECT id, " + ", ".join(f"[r{a}0, r{a}1, r{a}2][m] AS v{a}" for a in range(3)) + " FROM ax)"
-
-
 @query("quaternion_rotation", ROTATED + " SELECT id, " + ", ".join(f"round(r{a}{b}, 6) AS r{a}{b}" for a in range(3) for b in range(3)) + " FROM r")
 def _(spark, d):
     r = af.rotation_rows(F.col("rot"))
@@ -186,9 +186,24 @@ def _(spark, d):
     return ends.select("src", "dst", f6(w).alias("w"))
 
 
-@query("fused_weights", WEIGHTED + " SELECT src, dst, round(w, 6) AS w FROM edges")
+@query("fused_weights", WEIGHTED + " SELECT src, dst, round(w, 6) AS w, round(pow(w, 2), 6) AS sharp, 1.0::DOUBLE AS plain FROM edges")
 def _(spark, d):
-    return weighted_edges(spark, d).withColumn("w", f6(F.col("w")))
+    w, one = F.col("w"), F.lit(1.0)
+    return weighted_edges(spark, d).select("src", "dst", f6(w).alias("w"), f6(F.pow(w, F.lit(2.0))).alias("sharp"), af.fused(w, one, one, use_geometry=False).alias("plain"))
+
+
+MOTION = WEIGHTED + TRAJ + f", motion AS (SELECT src, dst, {TRAJ_W} * ({ROTD}) AS m, i.r AS ri, j.r AS rj FROM knn JOIN prim a ON a.id = src JOIN prim b ON b.id = dst JOIN s i ON i.id = src JOIN s j ON j.id = dst)"
+
+
+@query("motion_weights", MOTION + " SELECT src, dst, round(w * CASE WHEN ri < 0.5 AND rj < 0.5 THEN 1 WHEN ri < 0.5 OR rj < 0.5 THEN 0.2 + 0.8 * m ELSE m END, 6) AS w FROM edges JOIN motion USING (src, dst)")
+def _(spark, d):
+    """Weights times the likeness of motion: trajectory times rotation, with static ends taken apart."""
+    points = primitives(spark, d).join(trajectories(spark, d), "id")
+    ends = af.gather(weighted_edges(spark, d), points, ["t", "r", "dquat"])
+    along = F.greatest(F.lit(0.0), dot(F.col("t_i"), F.col("t_j")) / (F.col("r_i") * F.col("r_j") + 1e-8))
+    part = lambda c, t: F.slice(c, 4 * t + 1, 4)
+    turn = sum((F.abs(dot(part("dquat_i", t), part("dquat_j", t))) for t in range(6)), F.lit(0.0)) / 6
+    return ends.select("src", "dst", f6(F.col("w") * af.static_fusion(along * turn, F.col("r_i"), F.col("r_j"), 0.5, 0.2)).alias("w"))
 
 
 @query("symmetrise_max", SYM + " SELECT src, dst, round(w, 6) AS w FROM sym WHERE w <> 0")
@@ -260,12 +275,6 @@ def _(spark, d):
     return connected_components(knn_edges(spark, d).where("d2 < 0.004"))
 
 
-@query("objectness", PRIM + ", s AS (SELECT label, count(*) AS size, avg(abs(e[15])) AS motion FROM prim GROUP BY label), q AS (SELECT quantile_cont(motion, 0.05) AS p5, quantile_cont(motion, 0.85) AS p85 FROM s) SELECT label, round((0.2 + 0.8 * greatest(0, least(1, (motion - p5) / (p85 - p5)))) * CASE WHEN size >= 20 THEN 1 ELSE 0.1 END * CASE WHEN label % 2 = 0 THEN 1 ELSE 0.1 END * CASE WHEN size < 400 THEN 1 ELSE 0.1 END, 6) AS objectness FROM s, q")
-def _(spark, d):
-    s = primitives(spark, d).groupBy("label").agg(F.count("*").alias("size"), F.avg(F.abs(F.get("traj", 0))).alias("motion"))
-    return cl.objectness(s, "motion", F.col("size") >= 20, F.col("label") % 2 == 0, F.col("size") < 400).select("label", f6(F.col("objectness")).alias("objectness"))
-
-
 @query("top_by_opacity", PRIM + " SELECT label, id, row_number() OVER (PARTITION BY label ORDER BY e[14] DESC, id) AS rank FROM prim QUALIFY rank <= 5")
 def _(spark, d):
     rank = F.row_number().over(Window.partitionBy("label").orderBy(F.col("opacity").desc(), "id"))
