@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gneiss.functions.safe import iou, pearson, ratio
+from gneiss.operators.ordering import uniform
 
 
 def frame_counts(pixels: DataFrame, frame: str = "frame", k: str = "k", gt: str = "gt") -> DataFrame:
@@ -107,3 +108,10 @@ def confusion(pixels: DataFrame, selected: list[int]) -> DataFrame:
     pred = F.col("k").isin(selected)
     kind = F.when(pred & F.col("gt"), "TP").when(pred, "FP").when(F.col("gt"), "FN").otherwise("TN")
     return pixels.groupBy("frame", kind.alias("kind")).agg(F.count("*").alias("n"))
+
+
+def sampled_keys(rows: DataFrame, key: str, expected: int) -> DataFrame:
+    """Each different key with the same chance, so that about ``expected`` are drawn; reruns draw the same."""
+    keys = rows.select(key).distinct()
+    n = keys.agg(F.count("*").alias("_n"))
+    return keys.crossJoin(F.broadcast(n)).where(uniform(F.col(key)) < F.lit(float(expected)) / F.col("_n")).select(key)  # one row

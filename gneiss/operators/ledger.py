@@ -60,19 +60,18 @@ def forward_fill(rows: DataFrame, keys: list[str], order: str, value: Column, na
     return rows.withColumn(name, F.last(value, ignorenulls=True).over(w))
 
 
-def ancestors(spark, nodes: DataFrame, match: str, most: int = 12) -> DataFrame:
+def ancestors(spark, nodes: DataFrame, match: Column, most: int = 12) -> DataFrame:
     """``(id, hit, hops)``: the nearest ancestor within ``most`` hops, itself
     included, for which ``match`` holds, by a recursive query over (id, parent)."""
-    nodes.createOrReplaceTempView("gneiss_nodes")
-    walked = spark.sql(
+    return spark.sql(
         f"""WITH RECURSIVE up(start, id, parent, hops, hit) AS (
-            SELECT id, id, parent, 0, ({match}) FROM gneiss_nodes
+            SELECT id, id, parent, 0, hit FROM {{nodes}}
             UNION ALL
-            SELECT up.start, n.id, n.parent, up.hops + 1, ({match.replace("id", "n.id")}) FROM up JOIN gneiss_nodes n ON up.parent = n.id
-            WHERE NOT up.hit AND up.hops < {most} AND up.id <> n.id)
-        SELECT start AS id, id AS hit, hops FROM up WHERE hit"""
+            SELECT up.start, n.id, n.parent, up.hops + 1, n.hit FROM up JOIN {{nodes}} n ON up.parent = n.id
+            WHERE NOT up.hit AND up.hops < {int(most)} AND up.id <> n.id)
+        SELECT start AS id, id AS hit, hops FROM up WHERE hit""",
+        nodes=nodes.select("id", "parent", match.alias("hit")),
     )
-    return walked
 
 
 def slug(text: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gneiss.functions.safe import f6, iou, ratio
 from gneiss.operators import evaluation as ev
+from gneiss.operators.ordering import positions
 from gneiss.plans.carriers import SQL, pixels
 from gneiss.session import table
 
@@ -196,7 +197,7 @@ def _(spark, d):
     g = table(spark, d, "labels").select(F.col("doc_id").alias("g")).distinct()
     docs = table(spark, d, "documents").select("doc_id").distinct()
     p = docs.where("doc_id % 2 = 0").select(F.col("doc_id").alias("p"))
-    at = docs.select("doc_id", (F.row_number().over(Window.orderBy("doc_id")) - 1).alias("at"))  # frame lists are short
+    at = positions(docs, ["doc_id"])
     direct = g.select(F.lit(0).alias("priority"), F.lit("direct").alias("method"), "g", F.col("g").alias("t"))
     indexed = g.join(at, F.col("at") == F.col("g") * 2).select(F.lit(1), F.lit("indexed"), "g", "doc_id")
     strided = g.join(at, F.col("at") == F.col("g") * 4 + 2).select(F.lit(2), F.lit("strided"), "g", "doc_id")
@@ -244,9 +245,14 @@ def _(spark, d):
     return pixels(spark, d).groupBy("frame", "y").agg(F.bool_or("gt").alias("fg"), F.max("value").alias("peak"))
 
 
-@query("co_mask_pairs", PIX + ", m AS (SELECT DISTINCT frame, user_id % 97 AS u, k FROM pixels) SELECT a.u AS a, b.u AS b, count(*) AS shared FROM m a JOIN m b ON a.frame = b.frame AND a.k = b.k AND a.u < b.u WHERE a.frame <= (SELECT min(frame) FROM pixels) GROUP BY ALL")
+UNIFORM = "('0x' || substr(md5({key}), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE"
+
+
+@query("co_mask_pairs", PIX + ", n AS (SELECT count(DISTINCT user_id) AS n FROM pixels), m AS (SELECT DISTINCT frame, user_id AS u, k FROM pixels, n WHERE " + UNIFORM.format(key="user_id::VARCHAR") + " < 100.0 / n) SELECT a.u AS a, b.u AS b, count(*) AS shared FROM m a JOIN m b ON a.frame = b.frame AND a.k = b.k AND a.u < b.u GROUP BY ALL")
 def _(spark, d):
-    m = pixels(spark, d).select("frame", (F.col("user_id") % 97).alias("u"), "k").distinct()
-    first = m.join(F.broadcast(m.agg(F.min("frame").alias("f0"))), F.col("frame") == F.col("f0"))
-    a, b = first.select(F.col("u").alias("a"), "k"), first.select(F.col("u").alias("b"), "k")
-    return a.join(b, "k").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    """How many masks, over all frames, each two of about 100 sampled pixels share."""
+    p = pixels(spark, d)
+    sampled = ev.sampled_keys(p, "user_id", 100)
+    m = p.join(sampled, "user_id", "left_semi").select("frame", F.col("user_id").alias("u"), "k").distinct()
+    a, b = m.select("frame", "k", F.col("u").alias("a")), m.select("frame", "k", F.col("u").alias("b"))
+    return a.join(b, ["frame", "k"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))

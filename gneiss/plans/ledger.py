@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from gneiss.functions.safe import f6
 from gneiss.operators import ledger as lg
+from gneiss.operators.ordering import positions
 from gneiss.plans.carriers import SQL, runs
 from gneiss.session import table
+from gneiss.sources.reports import tex_text
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -97,8 +99,7 @@ def _(spark, d):
 def _(spark, d):
     part = table(spark, d, "part")
     values = part.select(F.col("p_brand").alias("a")).distinct(), part.select((F.col("p_size") % 3).alias("b")).distinct(), table(spark, d, "nation").select(F.col("n_name").alias("scene")).distinct()
-    at = F.row_number().over(Window.orderBy("a", "b", "scene"))  # one row a job to be started
-    return lg.grid_sweep(list(values)).withColumn("worker", ((at - 1) % 2).cast("long"))
+    return positions(lg.grid_sweep(list(values)), ["a", "b", "scene"]).select("a", "b", "scene", (F.col("at") % 2).cast("long").alias("worker"))
 
 
 @query("zip_sweep", "WITH b AS (SELECT list_sort(list(DISTINCT p_brand)) AS v FROM part), s AS (SELECT list_sort(list(DISTINCT r_name)) AS r FROM region) SELECT i AS at, v[i] AS brand, r[1] AS region FROM b, s, (SELECT unnest(range(1, 100)) AS i) WHERE i <= len(v)")
@@ -130,15 +131,8 @@ def _(spark, d):
 
 @query("ancestor_join", "WITH RECURSIVE n AS (SELECT p_partkey AS id, p_partkey // 2 AS parent, p_size >= 45 AS m FROM part), up(start, id, parent, hops, hit) AS (SELECT id, id, parent, 0, m FROM n UNION ALL SELECT up.start, n.id, n.parent, up.hops + 1, n.m FROM up JOIN n ON up.parent = n.id WHERE NOT up.hit AND up.hops < 12 AND up.id <> n.id) SELECT start AS id, id AS hit, hops FROM up WHERE hit")
 def _(spark, d):
-    table(spark, d, "part").selectExpr("p_partkey AS id", "p_partkey div 2 AS parent", "p_size >= 45 AS m").createOrReplaceTempView("gneiss_tree")
-    return spark.sql(
-        """WITH RECURSIVE up(start, id, parent, hops, hit) AS (
-             SELECT id, id, parent, 0, m FROM gneiss_tree
-             UNION ALL
-             SELECT up.start, n.id, n.parent, up.hops + 1, n.m FROM up JOIN gneiss_tree n ON up.parent = n.id
-             WHERE NOT up.hit AND up.hops < 12 AND up.id <> n.id)
-           SELECT start AS id, id AS hit, hops FROM up WHERE hit"""
-    )
+    nodes = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.expr("p_partkey div 2").alias("parent"), "p_size")
+    return lg.ancestors(spark, nodes, F.col("p_size") >= 45)
 
 
 @query("section_forward_fill", "SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS section FROM conversations")
@@ -160,6 +154,11 @@ def _(spark, d):
     return table(spark, d, "pages").select("page_id", F.coalesce(F.try_element_at(runs_, F.lit(-1)).try_cast("long"), F.lit(0)).alias("idx"))
 
 
+@query("escaped_names", r"SELECT s_suppkey, replace(replace(regexp_replace(s_name || '_&~^' || s_acctbal::BIGINT, '([&%$#_{}])', '\\\1', 'g'), '~', '\textasciitilde{}'), '^', '\textasciicircum{}') AS escaped FROM supplier")
+def _(spark, d):
+    return table(spark, d, "supplier").select("s_suppkey", tex_text(F.concat("s_name", F.lit("_&~^"), F.round("s_acctbal").cast("long").cast("string"))).alias("escaped"))
+
+
 @query("name_slugs", "SELECT s_suppkey, trim(regexp_replace(lower(s_name), '[^\\p{L}\\p{N}]', '_', 'g'), '_') AS slug, list_last(string_split(s_name, '#')) AS tail FROM supplier")
 def _(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", lg.slug(F.col("s_name")).alias("slug"), F.element_at(F.split("s_name", "#"), -1).alias("tail"))

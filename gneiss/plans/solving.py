@@ -99,7 +99,7 @@ def _(spark, d):
 @query("spectral_vectors")
 def _(spark, d):
     graph = af.normalised(af.symmetrise(weighted_edges(spark, d)))
-    vectors, values = sv.top_eigenvectors(graph, 3, rounds=10)
+    vectors, values = sv.top_eigenvectors(graph, 3)
     return vectors.select("id", F.posexplode("vec").alias("at", "v")).withColumn("value", F.get(F.array(*map(F.lit, values)), F.col("at")))
 
 

@@ -9,6 +9,7 @@ lets adaptive execution split skewed joins because both sides are plain scans.
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -19,13 +20,15 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; one of our own where none is named."""
+    """The folder named in ``spark.checkpoint.dir``; where none is, a temporary one
+    of this machine when all of Spark runs on it, else one in the warehouse."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
     key = spark.sparkContext.applicationId
     if key not in _own:
-        _own[key] = "file://" + tempfile.mkdtemp(prefix="spark-gneiss-")
+        alone = re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master)
+        _own[key] = "file://" + tempfile.mkdtemp(prefix="spark-gneiss-") if alone else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_gneiss-{key}"
     return _own[key]
 
 
@@ -46,12 +49,30 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written() -> int:
+    """How many intermediate paths there are; a mark for ``release``."""
+    return len(_written)
+
+
+def release(mark: int, kept: DataFrame | None = None) -> None:
+    """Delete the intermediate tables written since ``mark`` that nothing will read again, but the one that ``kept`` reads."""
+    read = set() if kept is None else {f.rsplit("/", 1)[0].removeprefix("file:").lstrip("/") for f in kept.inputFiles()}
+    stay = [x for x in _written[mark:] if x[1].removeprefix("file:").lstrip("/") in read]
+    for spark, path in _written[mark:]:
+        if (spark, path) not in stay:
+            _delete(spark, path)
+    _written[mark:] = stay
+
+
 def clean() -> None:
     """Delete the intermediate tables of sessions that are still alive."""
     while _written:
-        spark, path = _written.pop()
-        try:
-            jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-            jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
-        except Exception:  # the JVM may be gone at interpreter exit
-            return
+        _delete(*_written.pop())
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+        jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+    except Exception:  # its session may have ended; others may not
+        return

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gneiss.functions.safe import iou, pearson
 from gneiss.operators import affinity, clusters, evaluation, ledger
+from gneiss.operators.proposals import greedy_union
 from gneiss.operators.components import connected_components
 
 
@@ -47,7 +48,8 @@ def test_greedy_union_takes_one_then_two(spark):
     pred, gt = [[1, 1, 2], [2, 3, 3]], [[1, 1, 1], [1, 0, 0]]
     rows = [(0, pred[y][x], bool(gt[y][x])) for y, x in itertools.product(range(2), range(3))]
     counts = evaluation.frame_counts(spark.createDataFrame(rows, "frame int, k int, gt boolean"))
-    assert evaluation.greedy_union(counts) == [1, 2]
+    totals = evaluation.dense_counts(counts).groupBy("k").agg(F.sum("inter").alias("inter"), F.sum("pred").alias("pred"))
+    assert [r["k"] for r in greedy_union(totals, F.lit(4)).orderBy("rank").collect()] == [1, 2]
     assert evaluation.union_iou(counts, [1, 2]).first()["iou"] == 1.0
 
 

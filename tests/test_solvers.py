@@ -41,7 +41,7 @@ def test_eigenvectors_of_a_small_matrix(spark):
     a = (a + a.T) / 2
     a /= np.abs(np.linalg.eigvalsh(a)).max()
     df = spark.createDataFrame([(i, j, float(a[i, j])) for i in range(12) for j in range(12)], "src long, dst long, w double")
-    vectors, values = solvers.top_eigenvectors(df, 2, rounds=25, tolerance=1e-7)
+    vectors, values = solvers.top_eigenvectors(df, 2, tolerance=1e-9)
     x = np.array([r["vec"] for r in vectors.orderBy("id").collect()])
     assert values == pytest.approx(np.linalg.eigvalsh(a)[::-1][:2].tolist(), abs=1e-4)
     assert np.abs(x.T @ x - np.eye(2)).max() < 1e-8

@@ -72,6 +72,9 @@ def test_reports(spark, tmp_path):
     reports.write_summary(df, f"{tmp_path}/s", ["scene", "iou"], ["scene"], ["iou"])
     assert spark.read.csv(f"{tmp_path}/s", header=True).orderBy("scene").collect()[0][:] == ("a_1", "0.1235")
     assert reports.markdown_table(df).splitlines()[2:] == ["| a_1 | 0.1235 |  |", "| b | 2.0000 | x\\|y |"]
-    assert r"a\_1 & 0.1235 & " in reports.latex_table(df)
+    lines = [r["line"] for r in reports.tex_rows(df, ["scene"]).orderBy("at").collect()]
+    assert lines == [r"a\_1 & 0.1235 &  \\", r"b & 2.0000 & x|y \\"]
+    signs = spark.createDataFrame([(r"\ & % $ # _ { } ~ ^",)], "t string").select(reports.tex_text(F.col("t"))).first()[0]
+    assert signs == r"\textbackslash{} \& \% \$ \# \_ \{ \} \textasciitilde{} \textasciicircum{}"
     fresh = spark.createDataFrame([("b", 3.0, None)], df.schema)
     assert {r["scene"]: r["iou"] for r in reports.upsert(df, fresh, ["scene"]).collect()} == {"a_1": 0.123456, "b": 3.0}
