@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,23 +75,41 @@ def text_measures(docs: DataFrame, text_col: str = "text", width: int = 5) -> Da
     )
 
 
+#: Terms of a binomial tail that are summed; what lies below them is bounded and added.
+TERMS = 400
+
+
+def _log_factorial(n: Column) -> Column:
+    """ln n!, from Stirling's series above 20, where it is exact to 16 digits."""
+    small = F.array(*(F.lit(math.lgamma(i + 1)) for i in range(21)))
+    x = F.greatest(n.cast("double"), F.lit(21.0)) + 1
+    series = (x - 0.5) * F.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * F.pow(x, F.lit(3))) + 1 / (1260 * F.pow(x, F.lit(5))) - 1 / (1680 * F.pow(x, F.lit(7)))
+    return F.when(n <= 20, F.get(small, F.least(n, F.lit(20)).cast("int"))).otherwise(series)
+
+
 def binomial_tail(k: Column, n: Column, risk: float) -> Column:
-    """P(Bin(n, risk) <= k) exactly, term by term in logarithms, scaled to stay in range."""
-    odds = F.log(F.lit(risk) / F.lit(1 - risk))
-    first = n * F.log(F.lit(1 - risk))
-    total = F.aggregate(
-        F.when(k >= 1, F.sequence(F.lit(1).cast("long"), k)).otherwise(F.array().cast("array<bigint>")),
-        F.struct(first.alias("term"), first.alias("log_sum")),
-        lambda acc, i: F.struct(
-            (acc["term"] + F.log((n - i + 1).cast("double") / i) + odds).alias("term"),
-            (
-                F.greatest(acc["log_sum"], acc["term"] + F.log((n - i + 1).cast("double") / i) + odds)
-                + F.log1p(F.exp(-F.abs(acc["log_sum"] - (acc["term"] + F.log((n - i + 1).cast("double") / i) + odds))))
-            ).alias("log_sum"),
-        ),
-        lambda acc: acc["log_sum"],
-    )
-    return F.when(k < 0, F.lit(0.0)).when(k >= n, F.lit(1.0)).otherwise(F.exp(total))
+    """P(Bin(n, risk) <= k).
+
+    From k down when that is below the mean, else 1 less the sum from k + 1 up:
+    on either side terms fall from the first one on, by a factor that only
+    shrinks.  The TERMS highest are summed; below the mean the others, at most
+    the last one times r / (1 - r) for its factor r, are added.  So the value is
+    exact up to rounding for up to TERMS terms, and never too small beyond.
+    """
+    p, low = F.lit(float(risk)), F.coalesce(k < n * F.lit(float(risk)), F.lit(True))
+    n = n.cast("double")
+    at = F.greatest(F.lit(0.0), F.least(n, F.when(low, k).otherwise(k + 1).cast("double")))
+    first = _log_factorial(n) - _log_factorial(at) - _log_factorial(n - at) + at * F.log(p) + (n - at) * F.log1p(-p)
+    factor = lambda i: F.when(low, i * (1 - p) / ((n - i + 1) * p)).otherwise((n - i) * p / ((i + 1) * (1 - p)))
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
+    steps = F.when(low, F.least(at, F.lit(float(TERMS)))).otherwise(F.least(n - at, F.lit(float(TERMS)))).cast("int")
+    places = F.transform(F.sequence(F.lit(0), F.greatest(steps - 1, F.lit(0))), lambda j: F.when(low, at - j).otherwise(at + j))
+    places = F.when(steps > 0, places).otherwise(F.array().cast("array<double>"))
+    sums = F.aggregate(places, start, lambda acc, i: F.struct((acc["term"] * factor(i)).alias("term"), (acc["sum"] + acc["term"] * factor(i)).alias("sum")))
+    last = factor(at - TERMS)
+    rest = F.when(low & (at > TERMS), sums["term"] * last / (1 - last)).otherwise(0.0)
+    tail = F.exp(first) * (sums["sum"] + rest)
+    return F.when(k < 0, 0.0).when(k >= n, 1.0).otherwise(F.when(low, F.least(tail, F.lit(1.0))).otherwise(F.greatest(1 - tail, F.lit(0.0))))
 
 
 def risk_cutoffs(labelled: DataFrame, stratum: str, good: str, risk: float = 0.02, error: float = 0.05, penalty: float = 5.0) -> DataFrame:
@@ -98,7 +118,7 @@ def risk_cutoffs(labelled: DataFrame, stratum: str, good: str, risk: float = 0.0
     For each stratum and rule, k of the n good labelled documents lie above a
     cutoff.  The cutoff is safe when the exact (Clopper-Pearson) upper bound of
     the false-rejection rate is at most its share of ``risk``, that is, when
-    P(Bin(n, share) <= k) is at most the level; the rules of a stratum share the
+    P(Bin(n, share) <= k) is at most the level (never for k at the mean or above); the rules of a stratum share the
     risk equally, so together they keep it.  Cutoffs of one rule are tested from
     the highest down to the first failure, which needs no correction among
     them (k only grows on the way); over strata and rules ``error`` is divided
@@ -139,7 +159,8 @@ def quality_rules(
     Texts are measured once, into a table without them; labels join it by id,
     and the cutoffs, one row a stratum and rule, are broadcast after a check of
     their number.  A null stratum is one of its own; null labels and labels
-    without a document are ignored; repeated labels of an id count each time;
+    without a document are ignored; an id with several labels counts once, as
+    good if any label says so;
     a null or empty text has no words and fails the base.  Empty labels: every
     document that passes the base is kept.
     """
@@ -147,7 +168,7 @@ def quality_rules(
     measured = text_measures(rows, "text").drop("text")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     measured = materialise(measured.withColumn("base_failed", failed), "rules-measured")
-    known = labels.select(F.col(id_col).alias("of"), F.col(good_col).alias("good")).where("of IS NOT NULL AND good IS NOT NULL")
+    known = labels.select(F.col(id_col).alias("of"), F.col(good_col).alias("good")).where("of IS NOT NULL AND good IS NOT NULL").groupBy("of").agg(F.max("good").alias("good"))
     holdout = measured.where("NOT base_failed").join(known, F.col("id") == F.col("of"))
     cutoffs = risk_cutoffs(holdout, "stratum", "good", risk, error)
     wide = cutoffs.groupBy("stratum").pivot("rule", list(RULES)).agg(F.first("cutoff")).withColumnRenamed("stratum", "of_stratum")
