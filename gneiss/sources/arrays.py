@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import io
+import re
+import zipfile
 
 import numpy as np
 import pyarrow as pa
@@ -30,15 +32,19 @@ _MASK = pa.schema([("path", pa.string()), ("key", pa.string()), ("idx", pa.int32
 def _masks(batches):
     for batch in batches:
         for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-            with np.load(io.BytesIO(content), allow_pickle=False) as stack:
-                for key in stack.files:
-                    masks = stack[key]
-                    if masks.ndim == 2:
-                        masks = masks[None]
-                    if masks.ndim != 3:
-                        raise ValueError(f"{path}: {key} has {masks.ndim} dimensions")
-                    rows = [(path, key, i, m.shape[0], m.shape[1], np.packbits(m.astype(bool)).tobytes()) for i, m in enumerate(masks)]
-                    yield pa.RecordBatch.from_pylist([dict(zip(_MASK.names, r, strict=True)) for r in rows], schema=_MASK)
+            yield from _stacks(path, content)
+
+
+def _stacks(path: str, content: bytes):
+    with np.load(io.BytesIO(content), allow_pickle=False) as stack:
+        for key in stack.files:
+            masks = stack[key]
+            if masks.ndim == 2:
+                masks = masks[None]
+            if masks.ndim != 3:
+                raise ValueError(f"{path}: {key} has {masks.ndim} dimensions")
+            rows = [(path, key, i, m.shape[0], m.shape[1], np.packbits(m.astype(bool)).tobytes()) for i, m in enumerate(masks)]
+            yield pa.RecordBatch.from_pylist([dict(zip(_MASK.names, r, strict=True)) for r in rows], schema=_MASK)
 
 
 def read_mask_stacks(spark: SparkSession, path: str) -> DataFrame:
@@ -48,3 +54,20 @@ def read_mask_stacks(spark: SparkSession, path: str) -> DataFrame:
     """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInArrow(_masks, "path string, key string, idx int, h int, w int, data binary")
+
+
+def _members(pattern: str):
+    def read(batches):
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                with zipfile.ZipFile(io.BytesIO(content)) as bundle:
+                    for name in sorted(n for n in bundle.namelist() if re.search(pattern, n)):
+                        yield from _stacks(f"{path}!{name}", bundle.read(name))
+
+    return read
+
+
+def read_bundled_stacks(spark: SparkSession, path: str, pattern: str = r"\.npz$") -> DataFrame:
+    """As ``read_mask_stacks``, of the .npz members of ZIP files whose names match ``pattern``."""
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInArrow(_members(pattern), "path string, key string, idx int, h int, w int, data binary")
