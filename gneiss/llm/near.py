@@ -184,7 +184,7 @@ def near_duplicates(
     threshold: float = 0.8,
     width: int = 5,
     tolerance: float = 1e-7,
-    block_rows: int = 512,
+    block_rows: int = 160,
     block_bytes: int = 16 << 20,
 ) -> DataFrame:
     """One row per document: ``(id_col, class_id, n_links)``.
@@ -203,7 +203,7 @@ def near_duplicates(
     they are more than ``block_rows`` or ``block_bytes``, in one group for each
     two blocks of it, and only link counts and a spanning forest leave a group.
     Within a group pairs that share a band go through Bayesian pruning and then
-    exact verification.  A pair at exactly the threshold shares no band with
+    exact verification, on the sets of the shingles' 64-bit hashes.  A pair at exactly the threshold shares no band with
     probability below 4e-6, and is pruned with probability below 1e-6.
 
     A text, not an id, is what is compared: rows under one id, or under none,
@@ -220,6 +220,21 @@ def near_duplicates(
     )
 
 
+#: Bits of the filter that spares texts outside every component a shuffle: 4 MB, whatever the table's size.
+FILTER_BITS = 1 << 25
+
+
+def _maybe_in(rows: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> DataFrame:
+    """Rows whose key is among the wanted ones, and a few others: a bitmap of the
+    wanted keys' remainders, at most FILTER_BITS, is broadcast in parts of 4 KB."""
+    at = lambda c: F.pmod(F.col(c), F.lit(FILTER_BITS))
+    marks = wanted.groupBy(F.bitmap_bucket_number(at(wanted_key)).alias("_part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at(wanted_key))).alias("_bits"))
+    placed = rows.withColumns({"_bucket": F.bitmap_bucket_number(at(key)), "_bit": F.bitmap_bit_position(at(key))})
+    byte = "cast(conv(hex(substring(_bits, cast(_bit div 8 AS int) + 1, 1)), 16, 10) AS int)"
+    kept = placed.join(F.broadcast(marks), F.col("_bucket") == F.col("_part")).where(f"shiftright({byte}, cast(_bit % 8 AS int)) & 1 = 1")
+    return kept.select(rows.columns)
+
+
 _PRINTS = (F.xxhash64, "f1"), (lambda text: F.xxhash64(F.lit(7), text), "f2")
 
 
@@ -227,7 +242,7 @@ def _printed(rows: DataFrame) -> DataFrame:
     return rows.select("*", *(of("text").alias(name) for of, name in _PRINTS))
 
 
-def _classes(rows: DataFrame, threshold: float = 0.8, width: int = 5, tolerance: float = 1e-7, block_rows: int = 512, block_bytes: int = 16 << 20) -> tuple[DataFrame, DataFrame]:
+def _classes(rows: DataFrame, threshold: float = 0.8, width: int = 5, tolerance: float = 1e-7, block_rows: int = 160, block_bytes: int = 16 << 20) -> tuple[DataFrame, DataFrame]:
     """The signed rows of ``(id, text)``, and of each different text with words
     ``(g1, g2, least, first, class_id, n_links)``: its fingerprint, its smallest
     id, and whether it is the first of its class (smallest id, nulls last)."""
@@ -261,9 +276,11 @@ def _classes(rows: DataFrame, threshold: float = 0.8, width: int = 5, tolerance:
         areas.join(sized.withColumnRenamed("component", "area"), F.col("component") == F.col("area"))
         .select("area", F.col("node"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
     )
+    # Texts in no component, mostly nearly all of them, are left where they are.
+    inside = _maybe_in(printed, "f1", areas.join(texts.select("rep", "g1"), F.col("node") == F.col("rep")), "g1")
     found = (
         placed.join(texts.drop("n_bytes"), F.col("node") == F.col("rep"))
-        .join(printed.where("id IS NOT NULL").union(printed.where("id IS NULL").dropDuplicates(["f1", "f2"])), of_text)
+        .join(inside.where("id IS NOT NULL").union(inside.where("id IS NULL").dropDuplicates(["f1", "f2"])), of_text)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("area", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), (F.col("blocks") > 1).alias("split"), "block", "rep", "n", "signature", "text")
         .groupBy("area", "a", "b")

@@ -83,6 +83,15 @@ def test_texts_under_one_id_or_none_are_linked_each(spark):
     assert sorted(rest, key=repr) == sorted([(1, a), (1, b), (5, d), (None, ""), (6, "")], key=repr) and len(kept) == 6
 
 
+def test_the_filter_keeps_every_wanted_key(spark, monkeypatch):
+    monkeypatch.setattr(near, "FILTER_BITS", 1 << 17)
+    rows = spark.range(20_000).select(F.xxhash64("id").alias("f"), "id")
+    wanted = rows.where("id % 7 = 0").select(F.col("f").alias("g"))
+    got = {r["id"] for r in near._maybe_in(rows, "f", wanted, "g").collect()}
+    assert got >= set(range(0, 20_000, 7)) and len(got) < 4_000
+    assert near._maybe_in(rows, "f", wanted.limit(0), "g").count() == 0
+
+
 def test_mixed_rows_of_one_id_keep_their_own_size(spark):
     rows = [(k, " ".join(f"w{n}" for _ in range(n)), "s") for n in (3, 40, 200) for k in (None, 7)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
