@@ -125,7 +125,7 @@ class WordModel:
         return self.bias + self.weights[-1] * np.log1p(len(words)) / 10 + sum(self.weights[i] for i in self.present(words))
 
 
-def fit_non_negative(positive: np.ndarray, mixture: np.ndarray, prior: float, warm: int = 200, steps: int = 600, rate: float = 0.05, sparse: float = 1e-4, seed: int = 7) -> tuple[np.ndarray, float]:
+def fit_non_negative(positive: np.ndarray, mixture: np.ndarray, prior: float, warm: int = 200, steps: int = 600, rate: float = 0.05, sparse: float = 3e-5, seed: int = 7) -> tuple[np.ndarray, float]:
     """Weights and bias minimising the non-negative PU risk.
 
     The risk is prior * E_P[l(g)] + max(0, E_U[l(-g)] - prior * E_P[l(-g)]): the
