@@ -103,22 +103,38 @@ def _(spark, d):
     return vectors.select("id", F.posexplode("vec").alias("at", "v")).withColumn("value", F.get(F.array(*map(F.lit, values)), F.col("at")))
 
 
-@query("density_clusters")
+D2 = "(a.e[1]-b.e[1])*(a.e[1]-b.e[1]) + (a.e[2]-b.e[2])*(a.e[2]-b.e[2]) + (a.e[3]-b.e[3])*(a.e[3]-b.e[3])"
+DENSITY = (
+    f"WITH RECURSIVE {SQL['prim']}, nr AS (SELECT a.id AS id, b.id AS t, {D2} AS d2 FROM prim a, prim b WHERE {D2} <= 0.08::DOUBLE * 0.08::DOUBLE), core AS (SELECT id FROM nr GROUP BY id HAVING count(*) >= 5), "
+    "lk AS (SELECT id, t FROM nr WHERE id IN (FROM core) AND t IN (FROM core)), reach(a, b) AS (SELECT id, id FROM core UNION SELECT r.a, lk.t FROM reach r JOIN lk ON lk.id = r.b), comp AS (SELECT a AS id, min(b) AS c FROM reach GROUP BY a), "
+    "rk AS (SELECT c, row_number() OVER (ORDER BY c) AS cluster FROM (SELECT DISTINCT c FROM comp)), br AS (SELECT nr.id, cluster FROM nr JOIN comp ON comp.id = nr.t JOIN rk USING (c) QUALIFY row_number() OVER (PARTITION BY nr.id ORDER BY d2, nr.t) = 1) "
+    "SELECT prim.id, coalesce(cluster, 0) AS cluster FROM prim LEFT JOIN br USING (id)"
+)
+FARTHEST = (
+    f"WITH RECURSIVE {SQL['prim']}, f AS (SELECT id, e[57:64] AS v FROM prim), r(step, ch) AS (SELECT 1, [min(id)] FROM f UNION ALL SELECT step + 1, list_append(ch, id) FROM (SELECT r.step, r.ch, p.id, min(list_sum(list_transform(range(1, 9), lambda i: (p.v[i] - c.v[i]) * (p.v[i] - c.v[i])))) AS far "
+    "FROM r, f p, f c WHERE list_contains(r.ch, c.id) AND r.step < 8 GROUP BY ALL) WHERE far > 0 QUALIFY row_number() OVER (ORDER BY round(far, 12) DESC, id) = 1) SELECT ch[step] AS id, (step - 1)::BIGINT AS rank FROM r"
+)
+
+
+@query("density_clusters", DENSITY)
 def _(spark, d):
     return sv.density_clusters(primitives(spark, d), 0.08, 5)
 
 
-@query("farthest_points")
+@query("farthest_points", FARTHEST)
 def _(spark, d):
     chosen = sv.farthest_points(primitives(spark, d), "feats", 8)
     return primitives(spark, d).where(F.col("id").isin(chosen)).select("id", (F.array_position(F.array(*map(F.lit, chosen)), F.col("id")) - 1).alias("rank"))
 
 
-@query("feature_kmeans")
+@query("spectral_embedding")
 def _(spark, d):
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
+    """Unit rows of the eigenvectors before the largest gap of the eigenvalues."""
+    graph = af.normalised(af.symmetrise(weighted_edges(spark, d)))
+    rows, k, ratio_ = sv.spectral_embedding(graph, 6, tolerance=1e-4)
+    return rows.select("id", F.size("vec").alias("k"), F.lit(k).alias("wanted"), F.lit(ratio_).alias("ratio"))
+
 
-    points = primitives(spark, d).select("id", array_to_vector("feats").alias("features"))
-    model = KMeans(k=8, seed=0, maxIter=20).fit(points)
-    return model.transform(points).select("id", F.col("prediction").alias("cluster"))
+@query("feature_kmeans")
+def _(spark, d):
+    return sv.clusterer("kmeans")(primitives(spark, d), "feats", 8)

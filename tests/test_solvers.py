@@ -89,3 +89,21 @@ def test_front_splats_hide_those_behind(spark):
     c = raster.composited(df, ["ray"], F.col("depth"), F.col("a"))
     assert [r["weight"] for r in c.orderBy("id").collect()] == pytest.approx([0.5, 0.25, 0.25])
     assert raster.strongest_cluster(c, ["ray"], least=0.4).first()["k"] == 1
+
+
+def test_embedding_finds_the_planted_number_of_groups(planted):
+    from gneiss.operators import affinity
+
+    rows, k, clear = solvers.spectral_embedding(affinity.normalised(planted), 5, tolerance=1e-4)
+    assert k == 3 and clear > 5
+    x = {r["id"]: np.array(r["vec"]) for r in rows.collect()}
+    assert all(abs(np.linalg.norm(v) - 1) < 1e-9 for v in x.values())
+    assert min(x[0] @ x[i] for i in range(20)) > 0.99 and max(abs(x[0] @ x[20 + i]) for i in range(40)) < 0.1
+
+
+def test_kmeans_and_unknown_clusterers(spark):
+    df = spark.createDataFrame([(i, [float(i // 10) * 5, 0.1 * (i % 3)]) for i in range(30)], "id long, v array<double>")
+    got = {r["id"]: r["cluster"] for r in solvers.clusterer("kmeans")(df, "v", 3).collect()}
+    assert len({got[i] for i in range(30)}) == 3 and all(got[i] == got[10 * (i // 10)] for i in range(30))
+    with pytest.raises(ValueError):
+        solvers.clusterer("other")
