@@ -334,6 +334,15 @@ def test_archives_round_trip(spark, tmp_path):
     assert warc.through_archives(df.limit(0), f"file://{tmp_path}/none").count() == 0
 
 
+def test_archives_of_long_pages_with_clashing_columns(spark, tmp_path):
+    long = "<p>é " + "x" * 3_000_000 + "</p>"
+    rows = [(i, "http://a", h, 7, "d", 1, "v", 0) for i, h in ((1, long), (2, long), (2, long), (3, "s"))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, page int, digest string, latest int, value string, offset int")
+    got = sorted(((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.through_archives(df, f"file://{tmp_path}/w").collect()), key=repr)
+    n = len(long.encode())
+    assert got == [(1, n, "revisit", 2), (2, n, "response", None), (2, n, "response", None), (3, 1, "response", None)]
+
+
 def test_a_payload_below_the_least_size_is_its_own(spark, tmp_path):
     df = spark.createDataFrame([(1, "a", "xx"), (2, "b", "xx")], "page_id long, url string, html string")
     assert {r["record_type"] for r in warc.through_archives(df, f"file://{tmp_path}/w", least_bytes=3).collect()} == {"response"}
