@@ -156,7 +156,7 @@ def _(spark, d):
 
 @query("escaped_names", r"SELECT s_suppkey, replace(replace(regexp_replace(s_name || '_&~^' || s_acctbal::BIGINT, '([&%$#_{}])', '\\\1', 'g'), '~', '\textasciitilde{}'), '^', '\textasciicircum{}') AS escaped FROM supplier")
 def _(spark, d):
-    return table(spark, d, "supplier").select("s_suppkey", tex_text(F.concat("s_name", F.lit("_&~^"), F.round("s_acctbal").cast("long").cast("string"))).alias("escaped"))
+    return table(spark, d, "supplier").select("s_suppkey", tex_text(F.concat("s_name", F.lit("_&~^"), F.bround("s_acctbal").cast("long").cast("string"))).alias("escaped"))
 
 
 @query("name_slugs", "SELECT s_suppkey, trim(regexp_replace(lower(s_name), '[^\\p{L}\\p{N}]', '_', 'g'), '_') AS slug, list_last(string_split(s_name, '#')) AS tail FROM supplier")
