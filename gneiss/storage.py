@@ -9,14 +9,17 @@ lets adaptive execution split skewed joins because both sides are plain scans.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import re
 import tempfile
+import threading
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
-_written: list[tuple[SparkSession, str]] = []
+_written: list[tuple[SparkSession, str, int]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,7 +40,7 @@ def new_path(spark: SparkSession, label: str) -> str:
     if not _written:
         atexit.register(clean)
     path = f"{shared_dir(spark)}/gneiss/{label}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
+    _written.append((spark, path, threading.get_ident()))
     return path
 
 
@@ -54,25 +57,29 @@ def written() -> int:
     return len(_written)
 
 
-def release(mark: int, kept: DataFrame | None = None) -> None:
-    """Delete the intermediate tables written since ``mark`` that nothing will read again, but the one that ``kept`` reads."""
-    read = set() if kept is None else {f.rsplit("/", 1)[0].removeprefix("file:").lstrip("/") for f in kept.inputFiles()}
-    stay = [x for x in _written[mark:] if x[1].removeprefix("file:").lstrip("/") in read]
-    for spark, path in _written[mark:]:
-        if (spark, path) not in stay:
-            _delete(spark, path)
-    _written[mark:] = stay
+def release(mark: int, *kept: DataFrame) -> None:
+    """Delete the intermediate tables that this thread has written since ``mark``, when
+    nothing will read them again, but those that the ``kept`` ones read."""
+    bare = lambda path: path.removeprefix("file:").lstrip("/")
+    read = {bare(f.rsplit("/", 1)[0]) for df in kept for f in df.inputFiles()}
+    gone = [x for x in _written[mark:] if x[2] == threading.get_ident() and bare(x[1]) not in read]
+    for spark, path, _ in gone:
+        _delete(spark, path)
+    paths = {x[1] for x in gone}
+    _written[mark:] = [x for x in _written[mark:] if x[1] not in paths]
 
 
 def clean() -> None:
     """Delete the intermediate tables of sessions that are still alive."""
     while _written:
-        _delete(*_written.pop())
+        _delete(*_written.pop()[:2])
 
 
 def _delete(spark: SparkSession, path: str) -> None:
     try:
         jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
         jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
-    except Exception:  # its session may have ended; others may not
-        return
+    except Exception:  # its session has ended
+        with contextlib.suppress(Exception):
+            store, inner = fs.FileSystem.from_uri(re.sub("^(file:)?/+", "file:///", path))
+            store.delete_dir(inner)
