@@ -278,11 +278,17 @@ def _classes(rows: DataFrame, threshold: float = 0.8, width: int = 5, tolerance:
     )
     # Texts in no component, mostly nearly all of them, are left where they are.
     inside = _maybe_in(printed, "f1", areas.join(texts.select("rep", "g1"), F.col("node") == F.col("rep")), "g1")
+    texts_inside = inside.where("id IS NOT NULL").union(inside.where("id IS NULL").dropDuplicates(["f1", "f2"]))
+    met = placed.join(texts.drop("n_bytes"), F.col("node") == F.col("rep")).join(texts_inside, of_text)
+    met = materialise(met.select("area", "block", "blocks", "rep", "n", "signature", "text"), "near-met")
+    # Ranges of groups are cut by their rows, so no task has many more rows than others, but one group;
+    # they are not put together again by size, as it is the pairs in them that cost time.
+    spark = rows.sparkSession
+    ranges = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     found = (
-        placed.join(texts.drop("n_bytes"), F.col("node") == F.col("rep"))
-        .join(inside.where("id IS NOT NULL").union(inside.where("id IS NULL").dropDuplicates(["f1", "f2"])), of_text)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("area", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), (F.col("blocks") > 1).alias("split"), "block", "rep", "n", "signature", "text")
+        .repartitionByRange(ranges, "area", "a", "b")
         .groupBy("area", "a", "b")
         .applyInArrow(_verifier(width, threshold, tolerance), "split boolean, src long, dst long, links long")
     )
