@@ -17,6 +17,7 @@ def test_ply_round_trip(spark, tmp_path):
     df.write.format("ply").mode("append").save(f"{tmp_path}/cloud")
     back = spark.read.format("ply").load(f"{tmp_path}/cloud")
     assert back.columns == ["id", "x", "y", "cls"]
+    assert spark.read.format("ply").load(f"file://{tmp_path}/cloud/part-*.ply").count() == 5000
     assert back.agg(F.count("*"), F.sum("x"), F.sum("y"), F.max("cls")).first()[:] == df.agg(F.count("*"), F.sum("x"), F.sum("y"), F.max("cls")).first()[:]
 
 
