@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from gneiss.llm.textbytes import bounded_batches, mix, shingle_hashes, utf8, word_hashes
 from gneiss.operators.components import connected_components
-from gneiss.storage import materialise
+from gneiss.storage import materialise, release, written
 
 BANDS, PER_BAND, STEP = 32, 5, 16
 HASHES = BANDS * PER_BAND
@@ -247,6 +247,7 @@ def _classes(rows: DataFrame, threshold: float = 0.8, width: int = 5, tolerance:
     ``(g1, g2, least, first, class_id, n_links)``: its fingerprint, its smallest
     id, and whether it is the first of its class (smallest id, nulls last)."""
     bounded_batches(rows.sparkSession)
+    before = written()
     printed = _printed(rows)
     signed = materialise(
         printed.mapInArrow(_signer(width), "id long, f1 long, f2 long, n_bytes long, signature binary"),
@@ -309,6 +310,7 @@ def _classes(rows: DataFrame, threshold: float = 0.8, width: int = 5, tolerance:
         ),
         "near-per-text",
     )
+    release(before, signed, per_text)  # nothing else of it is read again
     return signed, per_text
 
 
