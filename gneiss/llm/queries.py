@@ -12,11 +12,14 @@ from gneiss.llm.mixing import mix
 from gneiss.llm.near import near_duplicates
 from gneiss.llm.oracles import ORACLES
 from gneiss.llm.pieces import digests, encode_pieces
+from gneiss.llm.repeats import remove_repeats
 from gneiss.llm.rules import quality_rules
 from gneiss.llm.tokens import count_tokens
 from gneiss.llm.topk import top_k
 from gneiss.llm.toxicity import held_out_toxicity
+from gneiss.llm.variants import letter_runs, spelling_variants, vocabulary
 from gneiss.llm.warc import through_archives
+from gneiss.llm.whitening import whiten
 from gneiss.session import table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -74,6 +77,21 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held_out_languages(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near words, form and root of every word: word, n, n_near, form, form_n, root."""
+    return spelling_variants(vocabulary(letter_runs(table(spark, sf_dir, "documents"))))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened vectors, a row a component: vec_id, component, n, deviation, whitened, explained, identity_error."""
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What repeated strings of 100 bytes take of every document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -85,4 +103,7 @@ QUERIES = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_main_text": op9_main_text,
     "op10_language_id": op10_language_id,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_suffix_array_dedup": op13_suffix_array_dedup,
 }
