@@ -107,3 +107,41 @@ def test_kmeans_and_unknown_clusterers(spark):
     assert len({got[i] for i in range(30)}) == 3 and all(got[i] == got[10 * (i // 10)] for i in range(30))
     with pytest.raises(ValueError):
         solvers.clusterer("other")
+
+
+def _reached(edges):
+    root = {x: x for e in edges for x in e}
+
+    def top(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for a, b in edges:
+        low, high = sorted((top(a), top(b)))
+        root[high] = low
+    return {i: top(i) for i in root}
+
+
+@pytest.mark.parametrize("shape", ["backwards", "random path", "grid", "stars", "cycle and loops"])
+def test_components_of_wide_graphs_settle(spark, shape):
+    from gneiss.operators.components import connected_components
+
+    rng = np.random.default_rng(8)
+    n = 5000
+    if shape == "backwards":
+        path = [0, *range(n - 1, 0, -1)]
+        edges = list(itertools.pairwise(path))
+    elif shape == "random path":
+        edges = list(itertools.pairwise(rng.permutation(n).tolist()))
+    elif shape == "grid":
+        name = rng.permutation(3600).reshape(60, 60)
+        edges = [(int(name[i, j]), int(name[i + a, j + b])) for i in range(59) for j in range(59) for a, b in ((0, 1), (1, 0))]
+    elif shape == "stars":
+        edges = [(9000 + s, s * 500 + k) for s in range(4) for k in range(500)] + [(9000, 9001)]
+    else:
+        edges = [(k, (k + 1) % 700) for k in range(700)] + [(k, k) for k in range(800, 820)] + [(901, 900), (900, 901)]
+    df = spark.createDataFrame([*edges, (None, 3), (4, None)] if shape == "stars" else edges, "src long, dst long")
+    got = {r["node"]: r["component"] for r in connected_components(df).collect()}
+    assert got == _reached(edges)
