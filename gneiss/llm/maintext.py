@@ -49,6 +49,10 @@ WINDOW = 3
 LONG = 80
 #: Weight of text inside an article or main element against that of text outside.
 MARKED = 4
+#: Weight of text inside an element of the article whose name speaks against it.
+DOUBTED = 0.8
+#: Elements that end at a slash in their start tag; for all others HTML ignores it.
+FOREIGN = {"svg", "math"}
 
 
 #: How an element stands to the text: part of it, apart by its tag or role, apart by its name, or comments by its name.
@@ -75,42 +79,55 @@ def _kind(tag: str, attributes: str, in_article: bool) -> int:
 
 
 class Named:
-    """An element that is apart by its name: what it holds tells whether that is believed.
+    """An element that is apart by its name: what it holds, and where it stands, tells whether that is believed.
 
     A wrapper of an article or main element is no menu or sidebar, whatever its
     name; nor is, on a page that has no such element, a wrapper of a heading and
-    of more than half of the page's text.  Comments always are comments.
+    of more than half of the page's text.  Comments always are comments.  Inside
+    the article a name is doubted: the sums over windows of its own lines decide.
     """
 
-    __slots__ = ("outer", "comments", "believed", "mass", "heading")
+    __slots__ = ("outer", "comments", "believed", "mass", "heading", "area", "element", "fate")
 
-    def __init__(self, outer: Named | None, comments: bool):
+    def __init__(self, outer: Named | None, comments: bool, area: int, element: int):
         self.outer, self.comments, self.believed, self.mass, self.heading = outer, comments, True, 0, False
+        self.area, self.element = area, element
+        self.fate: bool | Named = False  # whether its lines go, or the doubted element they stand or fall with
 
 
 class Line:
     """A block of text: its words, how much of it is link text, where it stands."""
 
-    __slots__ = ("text", "linked", "named", "area", "heading")
+    __slots__ = ("text", "linked", "named", "area", "heading", "element")
 
-    def __init__(self, text: str, linked: int, named: Named | None, area: int, heading: bool):
-        self.text, self.linked, self.named, self.area, self.heading = text, linked, named, area, heading
+    def __init__(self, text: str, linked: int, named: Named | None, area: int, heading: bool, element: int):
+        self.text, self.linked, self.named, self.area, self.heading, self.element = text, linked, named, area, heading, element
+
+    @property
+    def plain(self) -> int:
+        """Characters that are not link text."""
+        return max(len(self.text) - 2 * self.linked, 0)
 
 
 class Open:
     """The open elements of a page, with counts, so that no tag looks through all of them."""
 
     def __init__(self):
-        self.stack: list[tuple[str, bool, Named | None, int, int]] = []  # tag, apart by kind, by name, area, blocks up to here
+        self.stack: list[tuple[str, bool, Named | None, int, int, int]] = []  # tag, apart by kind, by name, area, blocks up to here, number
         self.at: dict[str, list[int]] = {}
+        self.parents = [0]  # of each element by its number; 0 is the page
 
     @property
-    def top(self) -> tuple[str, bool, Named | None, int, int]:
-        return self.stack[-1] if self.stack else ("", False, None, 0, 0)
+    def top(self) -> tuple[str, bool, Named | None, int, int, int]:
+        return self.stack[-1] if self.stack else ("", False, None, 0, 0, 0)
 
     def push(self, tag: str, apart: bool, named: Named | None, area: int) -> None:
         self.at.setdefault(tag, []).append(len(self.stack))
-        self.stack.append((tag, apart, named, area, self.top[4] + (tag in BLOCKS)))
+        number = self.top[5]
+        if tag in BLOCKS and tag not in ("html", "body"):
+            self.parents.append(number)
+            number = len(self.parents) - 1
+        self.stack.append((tag, apart, named, area, self.top[4] + (tag in BLOCKS), number))
 
     def pop(self) -> None:
         self.at[self.stack.pop()[0]].pop()
@@ -129,7 +146,7 @@ def lines_of(page: str) -> list[Line]:
     """The page as lines of text, one a block, with markup stripped.
 
     Lines that are apart by their tag, their role or a believed name are left
-    out.  ``area`` numbers the article (or main) element that a line is in, 0
+    out; those of a doubted one have it as their name's ``fate``.  ``area`` numbers the article (or main) element that a line is in, 0
     for none.  A header is apart only outside an article.  Time is linear in
     the page, however its elements are nested or left open.
     """
@@ -140,10 +157,10 @@ def lines_of(page: str) -> list[Line]:
 
     def flush() -> None:
         nonlocal linked, heading
-        _, apart, named, area, _ = open_.top
+        _, apart, named, area, _, element = open_.top
         text = "" if apart else SPACE.sub(" ", html.unescape("".join(parts))).strip()
         if text:
-            out.append(Line(text, linked, named, area, heading))
+            out.append(Line(text, linked, named, area, heading, element))
         parts.clear()
         linked, heading = 0, False
 
@@ -168,7 +185,8 @@ def lines_of(page: str) -> list[Line]:
         if found[0].startswith("</"):
             open_.close(tag)
             continue
-        if tag in HIDDEN and not found[0].endswith("/>"):
+        closed = tag in FOREIGN and found[0].endswith("/>")
+        if tag in HIDDEN and not closed:
             close = None if tag in endless else HIDDEN_END[tag].search(page, at)
             if not close:
                 endless.add(tag)
@@ -181,9 +199,12 @@ def lines_of(page: str) -> list[Line]:
             open_.pop()
         if tag == "br":
             parts.append(" ")
-        if tag in VOID or found[0].endswith("/>"):
+        if tag in VOID or closed:
             continue
-        _, apart, named, area, _ = open_.top
+        if tag == "a":
+            open_.close("a")
+            tag = "a" if re.search(r"(?:^|\s)href\s*=", found[2] or "", re.I) else "a name"
+        _, apart, named, area, _, element = open_.top
         if tag in ("article", "main") and not apart and not area:
             wrapper = named
             while wrapper and not wrapper.comments and wrapper.believed:
@@ -195,24 +216,53 @@ def lines_of(page: str) -> list[Line]:
             kind = APART_BY_KIND if tag == "header" and not area else _kind(tag, found[2] or "", area > 0)
             apart = kind == APART_BY_KIND
             if kind in (APART_BY_NAME, COMMENTS):
-                named = Named(named, kind == COMMENTS)
+                named = Named(named, kind == COMMENTS, area, element)
                 names.append(named)
         open_.push(tag, apart, named, area)
     flush()
     for line in out:
         if line.named:
-            line.named.mass += max(len(line.text) - 2 * line.linked, 0)
+            line.named.mass += line.plain
             line.named.heading = line.named.heading or line.heading
     for named in reversed(names):  # inner ones stand behind outer ones
         if named.outer:
             named.outer.mass += named.mass
             named.outer.heading = named.outer.heading or named.heading
-    whole = sum(max(len(line.text) - 2 * line.linked, 0) for line in out)
+    whole = sum(line.plain for line in out)
+    inside = [] if areas else _inside_most(out, open_.parents, whole)
     for named in names:
         wraps = not areas and named.heading and 2 * named.mass > whole
-        named.believed = named.comments or named.believed and not wraps
-        named.believed = named.believed or bool(named.outer and named.outer.believed)
-    return [line for line in out if not (line.named and line.named.believed)]
+        believed = named.comments or named.believed and not wraps
+        outer = named.outer.fate if named.outer else False
+        if outer is True or believed and (named.comments or not (named.area if areas else inside[named.element])):
+            named.fate = True
+        else:
+            named.fate = outer or believed and named
+    return [line for line in out if not (line.named and line.named.fate is True)]
+
+
+def _inside_most(lines: list[Line], parents: list[int], whole: int) -> list[bool]:
+    """Of each element whether it is in, or is, the innermost one with more than half of the page's text."""
+    mass = [0] * len(parents)
+    for line in lines:
+        mass[line.element] += line.plain
+    for element in range(len(parents) - 1, 0, -1):
+        mass[parents[element]] += mass[element]
+    most = max((e for e in range(1, len(parents)) if 2 * mass[e] > whole), default=-1)  # such elements are nested
+    inside = [False] * len(parents)
+    for element in range(1, len(parents)):
+        inside[element] = element == most or inside[parents[element]]
+    return inside
+
+
+def _trusted(lines: list[Line], window: int) -> list[Line]:
+    """The lines without those of doubted elements in which no window has DOUBTED times LONG characters of text."""
+    out: list[Line] = []
+    for fate, run in groupby(lines, lambda x: x.named.fate if x.named else False):
+        run = list(run)
+        if not fate or DOUBTED * max(sum(x.plain for x in run[i : i + window]) for i in range(len(run))) >= LONG:
+            out += run
+    return out
 
 
 def _stretches(lines: list[Line], window: int) -> list[Line]:
@@ -228,7 +278,7 @@ def _stretches(lines: list[Line], window: int) -> list[Line]:
     stretch together; other lines of links at either end of one go.  Where all
     text is links nothing tells lines apart: the marked ones are kept, or all.
     """
-    plain = [max(len(x.text) - 2 * x.linked, 0) for x in lines]
+    plain = [x.plain for x in lines]
     if not any(plain):
         return [x for x in lines if x.area] or lines
     mass = [m * MARKED if x.area else m for x, m in zip(lines, plain, strict=True)]
@@ -260,12 +310,13 @@ def main_text(page: str | None, window: int = WINDOW) -> str:
     """The article of a page: its blocks in page order, joined by two line feeds.
 
     Lines inside menus, headers, footers, sidebars, notices, adverts, forms and
-    reader comments are left out.  Surge and dive are sought over all other
+    reader comments are left out; inside the article a name alone takes no block
+    away that has text enough.  Surge and dive are sought over all other
     lines of every page; article and main elements are a signal for them, as
     their lines weigh more and their edges end windows.  Several such elements
     are all kept, and so is text outside them, where it surges.
     """
-    return "\n\n".join(x.text for x in _stretches(lines_of(page or ""), window))
+    return "\n\n".join(x.text for x in _stretches(_trusted(lines_of(page or ""), window), window))
 
 
 def _extract(batches):

@@ -637,3 +637,49 @@ def test_pages_repeat_with_clashing_columns(spark):
     df = spark.createDataFrame([(1, "u", long, 2, "x")] * 2 + [(2, "v", None, 3, None)], "page_id long, url string, html string, id int, text string")
     got = maintext.extract_main_text(df).collect()
     assert sorted((r["page_id"], r["n_chars"]) for r in got) == [(1, 20_000 * len(text) + 19_999 * 2)] * 2 + [(2, 0)]
+
+
+NAMES = "share-price related-work notice legal side widget promotion search foot copyright social-history skip-level ad".split()
+
+
+@pytest.mark.parametrize("wrap", ["<article>%s</article>", "<div class=post>%s</div>"])
+def test_a_name_takes_no_paragraph_out_of_the_article(wrap):
+    part = [f"Paragraph {i} of the article, which goes on for a while and then for some more, so that it is as long as paragraphs are." for i in range(30)]
+    body = "<h1>Head</h1>" + "".join(f"<p>{p}</p>" + (f'<div class="{NAMES[i]}"><p>{part[i + 15]}</p></div>' if i < len(NAMES) else "") for i, p in enumerate(part[:15]))
+    text = "\n\n".join(["Head", *(x for i, p in enumerate(part[:15]) for x in ([p, part[i + 15]] if i < len(NAMES) else [p]))])
+    around = f'<div class="sidebar"><p>{part[29]}</p></div><div class="cookie-notice">{part[28]}</div><div id=comments><p>{part[27]}</p></div>'
+    assert maintext.main_text(around + wrap % body + around) == text
+    short = body.replace("</h1>", '</h1><div class="ad">Buy now, it is cheap</div><div class="widget share"><a href=x>Send it</a> <a href=y>Print</a></div>')
+    assert maintext.main_text(around + wrap % short) == text
+
+
+def test_a_slash_ends_no_element_of_html():
+    page = '<article><h1>Head</h1><p>Text of it, long enough to be some.</p><script src="a.js"/>var leak = 1;</script><svg/><p>More of the text.</p></article>'
+    assert maintext.main_text(page) == "Head\n\nText of it, long enough to be some.\n\nMore of the text."
+    assert maintext.main_text("<nav id=top/><p>One two three</p></nav><p>Four five six seven</p>") == "Four five six seven"
+    lines = maintext.lines_of("<p><a href=/x/>link</a> and <a name=y/>text</p>")
+    assert [(x.text, x.linked) for x in lines] == [("link and text", 4)]
+
+
+def test_stretches_equal_brute_force():
+    rng = np.random.default_rng(12)
+    for _ in range(400):
+        sizes = [int(rng.choice([0, 0, 0, 1, 5, 60, 200])) for _ in range(int(rng.integers(1, 25)))]
+        lines = [maintext.Line("x" * max(n, 4), 0 if n else 2, None, 0, False, 0) for n in sizes]
+        mass = [x.plain for x in lines]
+        got = [id(x) for x in maintext._stretches(lines, 3)]
+        if not any(mass):
+            assert got == [id(x) for x in lines]
+            continue
+        surge = sorted(min(m, 80) for m in mass if m)[(sum(m > 0 for m in mass) - 1) // 2]
+        low = [any(0 <= s and s + 3 <= len(mass) and sum(mass[s : s + 3]) < max(surge / 20, 1) for s in (i - 2, i - 1, i)) for i in range(len(mass))]
+        want, i = [], 0
+        while i < len(mass):
+            j = i
+            while j < len(mass) and low[j] == low[i]:
+                j += 1
+            if not low[i] and max(sum(mass[k : min(k + 3, j)]) for k in range(i, j)) >= surge:
+                text = [k for k in range(i, j) if mass[k]]
+                want += [id(x) for x in lines[text[0] : text[-1] + 1]]
+            i = j
+        assert got == want
