@@ -93,24 +93,13 @@ def _keys_of(batches):
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(keys)], ["rep", "key"])
 
 
-def similar_pairs(signatures: np.ndarray, shingles: np.ndarray, starts: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float, tolerance: float):
-    """Yield ``(i, js)``: for row i of ``left``, the rows of ``right`` after it that are similar enough.
+def candidate_pairs(signatures: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float, tolerance: float):
+    """Yield ``(i, js)``: for row i of ``left``, the rows of ``right`` after it that may be similar enough.
 
-    Candidates share a band; MinHash values are then compared 16 at a time and
-    a pair is dropped when the posterior falls below the tolerance; survivors
-    are verified on the exact shingle sets, held as bit sets.
+    They share a band; MinHash values are then compared 16 at a time and a pair
+    is dropped when the posterior falls below the tolerance.
     """
     keys, fewest = band_keys(signatures), least_matches(threshold, tolerance)
-    row = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-    universe, inverse, times = np.unique(shingles, return_inverse=True, return_counts=True)
-    shared = np.flatnonzero(times > 1)
-    column = np.full(len(universe), -1, np.int64)
-    column[shared] = np.arange(len(shared))
-    at = column[inverse]
-    bits = np.zeros((len(starts) - 1, (len(shared) + 63) // 64 * 8), np.uint8)
-    row, at = row[at >= 0], at[at >= 0]
-    np.bitwise_or.at(bits, (row, at >> 3), (1 << (at & 7)).astype(np.uint8))
-    bits, sizes = bits.view(np.uint64), np.diff(starts)
     for i in left.tolist():
         js = right[right > i]
         js = js[(keys[js] == keys[i]).any(axis=1)] if len(js) else js
@@ -122,12 +111,58 @@ def similar_pairs(signatures: np.ndarray, shingles: np.ndarray, starts: np.ndarr
             matched += (signatures[js, part] == signatures[i, part]).sum(axis=1)
             js, matched = js[matched >= least], matched[matched >= least]
         if len(js):
-            both = np.bitwise_count(bits[js] & bits[i]).sum(axis=1).astype(np.int64)
-            js = js[both / (sizes[js] + sizes[i] - both) >= threshold]
+            yield i, js
+
+
+def similar_pairs(signatures: np.ndarray, shingles: np.ndarray, starts: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float, tolerance: float):
+    """Yield ``(i, js)``: for row i of ``left``, the rows of ``right`` after it that are similar enough.
+
+    Candidates are verified on the exact shingle sets, held as bit sets.
+    """
+    row = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    universe, inverse, times = np.unique(shingles, return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(times > 1)
+    column = np.full(len(universe), -1, np.int64)
+    column[shared] = np.arange(len(shared))
+    at = column[inverse]
+    bits = np.zeros((len(starts) - 1, (len(shared) + 63) // 64 * 8), np.uint8)
+    row, at = row[at >= 0], at[at >= 0]
+    np.bitwise_or.at(bits, (row, at >> 3), (1 << (at & 7)).astype(np.uint8))
+    bits, sizes = bits.view(np.uint64), np.diff(starts)
+    for i, js in candidate_pairs(signatures, left, right, threshold, tolerance):
+        both = np.bitwise_count(bits[js] & bits[i]).sum(axis=1).astype(np.int64)
+        js = js[both / (sizes[js] + sizes[i] - both) >= threshold]
         if len(js):
             yield i, js
 
 
+def _prospects(threshold: float, tolerance: float):
+    """``(area, a, b, rep)``: the rows of two blocks that are in a pair which pruning leaves."""
+
+    def choose(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        rep, block = (table.column(c).to_numpy() for c in ("rep", "block"))
+        signatures = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint32).reshape(-1, HASHES)
+        a, b = (table.column(c)[0].as_py() for c in ("a", "b"))
+        everyone, some = np.arange(len(rep)), np.zeros(len(rep), bool)
+        for left, right in _halves(everyone, block, a, b):
+            for i, js in candidate_pairs(signatures, left, right, threshold, tolerance):
+                some[i] = True
+                some[js] = True
+        return table.select(["area", "a", "b", "rep"]).filter(pa.array(some))
+
+    return choose
+
+
+def _halves(everyone: np.ndarray, block: np.ndarray, a: int, b: int):
+    """Rows to compare with later rows, so that each pair of two blocks, or of one, comes up once."""
+    if a == b:
+        yield everyone, everyone
+    else:
+        yield everyone[block == a], everyone[block == b]
+        yield everyone[block == b], everyone[block == a]
+
+
 _FOUND = pa.schema([("split", pa.bool_()), ("src", pa.int64()), ("dst", pa.int64()), ("links", pa.int64())])
 
 
@@ -154,14 +189,7 @@ def _verifier(width: int, threshold: float, tolerance: float):
                 i = root[i]
             return i
 
-        def halves():
-            if a == b:
-                yield everyone, everyone
-            else:  # each pair once, whichever side comes first
-                yield everyone[block == a], everyone[block == b]
-                yield everyone[block == b], everyone[block == a]
-
-        for left, right in halves():
+        for left, right in _halves(everyone, block, a, b):
             for i, js in similar_pairs(signatures, np.concatenate(sets), starts, left, right, threshold, tolerance):
                 links[i] += weight[js].sum()
                 links[js] += weight[i]
@@ -201,7 +229,8 @@ def near_duplicates(
     to its smallest member, never its pairs.  The components of these stars
     bound where links can be.  A component's texts meet in one group, or, when
     they are more than ``block_rows`` or ``block_bytes``, in one group for each
-    two blocks of it, and only link counts and a spanning forest leave a group.
+    two blocks of it, first as signatures alone, then with the texts of those
+    that a pair is left of.  Only link counts and a spanning forest leave a group.
     Within a group pairs that share a band go through Bayesian pruning and then
     exact verification, on the sets of the shingles' 64-bit hashes.  A pair at exactly the threshold shares no band with
     probability below 4e-6, and is pruned with probability below 1e-6.
@@ -277,18 +306,23 @@ def _classes(rows: DataFrame, threshold: float = 0.8, width: int = 5, tolerance:
         areas.join(sized.withColumnRenamed("component", "area"), F.col("component") == F.col("area"))
         .select("area", F.col("node"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
     )
-    # Texts in no component, mostly nearly all of them, are left where they are.
-    inside = _maybe_in(printed, "f1", areas.join(texts.select("rep", "g1"), F.col("node") == F.col("rep")), "g1")
-    texts_inside = inside.where("id IS NOT NULL").union(inside.where("id IS NULL").dropDuplicates(["f1", "f2"]))
-    met = placed.join(texts.drop("n_bytes"), F.col("node") == F.col("rep")).join(texts_inside, of_text)
-    met = materialise(met.select("area", "block", "blocks", "rep", "n", "signature", "text"), "near-met")
+    signs = placed.join(texts.drop("n_bytes"), F.col("node") == F.col("rep"))
+    signs = materialise(signs.select("area", "block", "blocks", "rep", "g1", "g2", "least", "n", "signature"), "near-signs")
     # Ranges of groups are cut by their rows, so no task has many more rows than others, but one group;
     # they are not put together again by size, as it is the pairs in them that cost time.
     spark = rows.sparkSession
     ranges = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    facing = signs.where("blocks > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    facing = facing.select("area", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "rep", "signature")
+    prospects = facing.repartitionByRange(ranges, "area", "a", "b").groupBy("area", "a", "b").applyInArrow(_prospects(threshold, tolerance), "area long, a int, b int, rep long")
+    met = materialise(prospects.union(signs.where("blocks = 1").select("area", F.lit(0), F.lit(0), "rep")), "near-met")
+    wanted = materialise(met.select(F.col("rep").alias("wanted")).distinct().join(signs, F.col("wanted") == F.col("rep")).drop("wanted", "area"), "near-wanted")
+    # Texts that nothing is left of, mostly nearly all of them, are left where they are; repeated rows are folded.
+    inside = _maybe_in(printed, "f1", wanted, "g1").dropDuplicates(["id", "f1", "f2"])
+    whole = materialise(wanted.join(inside, of_text).select(F.col("rep").alias("of"), "block", "blocks", "n", "signature", "text"), "near-whole")
     found = (
-        met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("area", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), (F.col("blocks") > 1).alias("split"), "block", "rep", "n", "signature", "text")
+        met.join(whole, F.col("rep") == F.col("of"))
+        .select("area", "a", "b", (F.col("blocks") > 1).alias("split"), "block", "rep", "n", "signature", "text")
         .repartitionByRange(ranges, "area", "a", "b")
         .groupBy("area", "a", "b")
         .applyInArrow(_verifier(width, threshold, tolerance), "split boolean, src long, dst long, links long")
