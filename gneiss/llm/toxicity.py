@@ -187,9 +187,11 @@ def _closed(ranked: list[tuple[str, int, int]], most: int) -> list[str]:
 def train(spark: SparkSession, texts: DataFrame, labels: DataFrame, most_positive: int = 4_000, most_mixture: int = 16_000, vocabulary: int = 1_024, least_support: int = 5) -> WordModel | None:
     """A model from ``(id, text)`` and ``(id, label)``: label 1 confirmed toxic, 0 or none unlabelled.
 
-    The classifier sees a bounded sample: about ``most_positive`` positives and
+    The classifier sees a bounded sample: at most ``most_positive`` positives and
     ``most_mixture`` of all documents (the unlabelled mixture, whatever their
-    labels), the first by a hash of the id.  Features are word beginnings met in
+    labels), the first by a hash of the id and the text.  A document is an id
+    with a text, repeated rows are one; a positive id counts once, with one of
+    its texts, and the class prior counts ids.  Features are word beginnings met in
     at least ``least_support`` families of positives (near copies share a
     family, so a text copied a thousand times is one vote, and every text of a
     family is counted); the ``vocabulary``
@@ -198,23 +200,30 @@ def train(spark: SparkSession, texts: DataFrame, labels: DataFrame, most_positiv
     prior is the labelled documents' share of positives where there are labels
     0, else 0.05.
 
-    Labels meet ids without texts; only the sampled positives' ids, a bounded
-    number, are broadcast to the texts, which are never shuffled whole.
+    Labels meet ids without texts, and samples are chosen among hashes; only the
+    chosen hashes, a bounded number, are broadcast to the texts, which are never
+    shuffled whole.
     """
     named = labels.where("id IS NOT NULL").groupBy("id").agg(F.max("label").alias("label"))
-    known = materialise(texts.where("id IS NOT NULL").select("id").join(named, "id").select("id", "label"), "toxic-known")
+    documents = materialise(texts.select("id", F.xxhash64("id", "text").alias("place")).distinct(), "toxic-documents")
+    known = materialise(documents.where("id IS NOT NULL").groupBy("id").agg(F.min("place").alias("place")).join(named, "id").select("id", "place", "label"), "toxic-known")
     p, zero = known.agg(F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)).first()
-    u = texts.count()
+    u = documents.count()
     if not p or p == u:
         return None
     prior = min(max(p / (p + zero) if zero else 0.05, 1e-3), 0.5)
-    place = F.xxhash64("id")
-    unit = place.cast("double") / 2.0**64 + 0.5
-    # A hash share of the positives: about most_positive ids, and no more than twice that.
-    positives = known.where((F.col("label") == 1) & (unit < most_positive / p)).select(F.col("id").alias("positive_id"), place.alias("place")).distinct().orderBy("place", "positive_id").limit(2 * most_positive).drop("place")
-    marked = texts.join(F.broadcast(positives), F.col("id") == F.col("positive_id"), "left")
-    kinds = F.array_compact(F.array(F.when(F.col("positive_id").isNotNull(), True), F.when(unit < most_mixture / u, False)))
-    sample = marked.select(F.xxhash64("id", "text").alias("place"), "text", F.explode(kinds).alias("toxic"))
+
+    def first(rows: DataFrame, count: int, most: int, toxic: bool) -> DataFrame:
+        """The ``most`` first places of ``count``; a hash share somewhat above them is all that is put in order."""
+        unit = F.col("place").cast("double") / 2.0**64 + 0.5
+        share = (most + 6 * most**0.5) / count
+        near = rows.where(unit < share) if share < 1 else rows
+        return near.select("place").distinct().orderBy("place").limit(most).select("place", F.lit(toxic).alias("toxic"))
+
+    chosen = first(known.where("label = 1"), p, most_positive, True).union(first(documents, u, most_mixture, False))
+    chosen = chosen.groupBy(F.col("place").alias("chosen")).agg(F.collect_set("toxic").alias("kinds"))
+    marked = texts.select(F.xxhash64("id", "text").alias("place"), "text").join(F.broadcast(chosen), F.col("place") == F.col("chosen"))
+    sample = marked.select("place", "text", F.explode("kinds").alias("toxic")).dropDuplicates(["place", "toxic"])
     sample = materialise(sample.repartition(4 * spark.sparkContext.defaultParallelism), "toxic-sample")
     n_p, n_u = sample.agg(F.count_if("toxic"), F.count_if(~F.col("toxic"))).first()
     if not n_p or not n_u:
@@ -229,8 +238,8 @@ def train(spark: SparkSession, texts: DataFrame, labels: DataFrame, most_positiv
     if not chosen:
         return None
     shared = spark.sparkContext.broadcast(WordModel(chosen, np.zeros(len(chosen) + 1), 0.0))
-    # No row is folded here: the prior and the mixture must speak of the same documents.
-    # Its rows are put in an order of their own, so the same documents give the same model however they are dealt out.
+    # No document is folded here: the prior and the mixture must speak of the same ones.
+    # Their rows are put in an order of their own, so the same documents give the same model however they are dealt out.
     table = sample.mapInArrow(_matrix_rows(shared), "place long, toxic boolean, n long, features array<int>").toArrow().sort_by([("place", "ascending"), ("toxic", "ascending")])
     x = np.zeros((table.num_rows, len(chosen) + 1), np.float32)
     for row, features in enumerate(table.column("features").to_pylist()):
@@ -263,7 +272,8 @@ def scored_rows(docs: DataFrame, texts: DataFrame, labels: DataFrame, text_col:
     text's margin is the sum of the weights of its words' beginnings, each
     counted up to TIMES different words, and of the logarithm of its number of
     different words.  Null and empty texts have the score of no words; without
-    a positive or an unlabelled document every score is 0.  Rows may repeat.
+    a positive or an unlabelled document every score is 0.  Rows may repeat; they
+    are one document to what is learned.
     The model (about a thousand beginnings) is broadcast; there is no shuffle.
     """
     spark = docs.sparkSession

@@ -76,8 +76,16 @@ def test_long_texts_are_cut_alike(spark, texts, monkeypatch):
     import pyarrow as pa
 
     data, offsets = repeats.utf8(pa.array([t for _, t in rows]))
-    covered = sorted((int(r), int(s) + k) for row, start, count, _, _ in repeats.blocks(data, offsets, 100) for r, s, c in zip(row, start, count, strict=True) for k in range(c))
-    assert covered == [(r, at) for r, (_, t) in enumerate(rows) for at in range(len(t) - 99)]
+    whole = [(r, at) for r, (_, t) in enumerate(rows) for at in range(len(t) - 99)]
+    doc, everything = np.array([5, 77]), np.full(repeats.FILTER_BITS // 8, 255, np.uint8)
+    for rounds, span in enumerate(repeats.SPANS):
+        found = list(repeats.units(data, offsets, doc, 100, [everything] * rounds))
+        assert sorted((int(r), int(s) + k) for row, start, count, _, _ in found for r, s, c in zip(row, start, count, strict=True) for k in range(c)) == whole
+        assert max(int(f[2].max()) for f in found) <= span
+    # What a row is cut into does not depend on the rows beside it.
+    alone = [f for r in (0, 1) for f in repeats.units(*repeats.utf8(pa.array([rows[r][1]])), doc, 100, [])]
+    together = list(repeats.units(data, offsets, doc, 100, []))
+    assert sorted(zip(*(np.concatenate([f[c] for f in alone]).tolist() for c in (3, 4)), strict=True)) == sorted(zip(*(np.concatenate([f[c] for f in together]).tolist() for c in (3, 4)), strict=True))
     assert result(repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
 
 

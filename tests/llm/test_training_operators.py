@@ -683,3 +683,64 @@ def test_stretches_equal_brute_force():
                 want += [id(x) for x in lines[text[0] : text[-1] + 1]]
             i = j
         assert got == want
+
+
+def test_chains_of_overlapping_texts(spark):
+    words = [f"w{i * 7919 % 104729}" for i in range(70 + 7 * 700)]
+    rows = [(i, " ".join(words[7 * i : 7 * i + 70])) for i in range(700)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in near.near_duplicates(df, block_rows=50).collect()}
+    assert got == brute_links(rows)
+
+
+def test_repeated_rows_are_folded_before_they_meet(spark, monkeypatch):
+    text = " ".join(f"t{i}" for i in range(40))
+    rows = [(7, text)] * 5000 + [(8, text + " more")] + [(20 + i, text + f" x{i}") for i in range(60)]
+    whole = near._verifier
+
+    def watched(*args):
+        verify = whole(*args)
+
+        def count(table):
+            if table.num_rows > 2 * 40:
+                raise ValueError(f"{table.num_rows} rows met")
+            return verify(table)
+
+        return count
+
+    monkeypatch.setattr(near, "_verifier", watched)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {(r["doc_id"], r["class_id"], r["n_links"]) for r in near.near_duplicates(df, block_rows=20).collect()}
+    assert (7, 7, 5060) in got and (8, 7, 5060) in got and len(got) == 62
+
+
+def test_one_id_many_times_changes_no_model(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), rng.integers(3, 8)))
+    docs = [(i, " ".join([word() for _ in range(30)] + ([f"grob{word()[:3]}" for _ in range(3)] if i % 14 == 0 else []))) for i in range(700)]
+    labels = [(i, int(i % 14 == 0)) for i in range(700) if i % 2 == 0 or i % 14 == 0]
+    schemas = "id long, text string", "id long, label int"
+    lab = spark.createDataFrame(labels, schemas[1])
+    seen = []
+    fit = toxicity.fit_non_negative
+    monkeypatch.setattr(toxicity, "fit_non_negative", lambda positive, mixture, prior, **options: seen.append((len(positive), len(mixture), prior)) or fit(positive, mixture, prior, **options))
+    models = [toxicity.train(spark, spark.createDataFrame(rows, schemas[0]).repartition(4), lab) for rows in (docs, docs + [docs[3]] * 30_000, docs + [docs[14]] * 30_000)]
+    assert seen == [(50, 700, 50 / 350)] * 3
+    for other in models[1:]:
+        assert other.vocabulary == models[0].vocabulary and np.array_equal(other.weights, models[0].weights) and other.bias == models[0].bias
+    toxicity.train(spark, spark.createDataFrame(docs + [(5, f"text {i}") for i in range(3000)] + [(14, f"grob {i}") for i in range(3000)], schemas[0]), lab, most_positive=30, most_mixture=200)
+    assert seen[-1][:2] == (30, 200)
+
+
+def test_the_risk_is_that_of_its_definition():
+    rng = np.random.default_rng(4)
+    positive, mixture, prior = rng.random((40, 3)) < [0.9, 0.5, 0.2], rng.random((300, 3)) < [0.3, 0.5, 0.2], 0.2
+    w, b = toxicity.fit_non_negative(positive, mixture, prior, sparse=0.0)
+
+    def risk(w, b):
+        loss = lambda g: 1 / (1 + np.exp(g))
+        gp, gu = positive @ w + b, mixture @ w + b
+        return prior * loss(gp).mean() + max(0.0, loss(-gu).mean() - prior * loss(-gp).mean())
+
+    grid = [(np.array([x, 0.0, 0.0]), y) for x in (0.0, 4.0, 12.0) for y in (-10.0, -6.0, -2.0, 0.0)]
+    assert risk(w, b) <= min(risk(*g) for g in grid) + 0.01 and w[0] > abs(w[1]) and w[0] > abs(w[2])
