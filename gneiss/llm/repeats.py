@@ -17,6 +17,10 @@ SEED = 40
 #: Bits of the filter that spares unique ranks a shuffle: 16 MB, whatever the corpus' size.
 FILTER_BITS = 1 << 27
 CHUNK = 1 << 19
+#: How many positions, counted from an anchor, are ranked together in each round.
+SPANS = (64, 8, 1)
+#: Spreads the starts of units over the filters' keys.
+STEP = 1_000_003
 _rng = np.random.Generator(np.random.PCG64(90_173))
 _code = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
 _BASE = 0xD1342543DE82EF95
@@ -57,50 +61,89 @@ def least_places(values: np.ndarray, width: int) -> np.ndarray:
     return places
 
 
-def blocks(data: np.ndarray, offsets: np.ndarray, length: int, seed: int = SEED):
-    """Yield ``(row, start, count, rank, whole)``: all positions with ``length`` bytes before them
-    in their row, in blocks of consecutive ones that share an anchor.
+def segments(offsets: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Byte ranges of whole rows, together up to about ``most`` bytes, or of ``most`` positions of a longer
+    row, cut from its own start; what a row is cut into does not depend on its neighbours."""
+    out, at = [], 0
+    while at < len(offsets) - 1:
+        to = max(int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1, at + 1)
+        low, high = int(offsets[at]), int(offsets[to])
+        out += [(x, min(x + most, high)) for x in range(low, high, most)] if high - low > most else [(low, high)]
+        at = to
+    return out
+
+
+def marked(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether the bits of some 64-bit keys are set."""
+    bit = keys.view(np.uint64) & np.uint64(FILTER_BITS - 1)
+    return (bits[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+
+def unit_keys(doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+    return doc ^ start * STEP
+
+
+def units(data: np.ndarray, offsets: np.ndarray, doc: np.ndarray, length: int, open_: list[np.ndarray], seed: int = SEED):
+    """Yield ``(row, start, count, rank, whole)``: units of consecutive positions with ``length`` bytes before
+    them in their row.
 
     The anchor of a position is the first smallest, by fingerprint, of the strings
-    of ``seed`` bytes in its ``length``; ``rank`` is that fingerprint.  Positions
-    with equal strings have anchors of equal rank, so a string whose rank is
-    unique does not repeat.  ``whole`` is the fingerprint of all bytes from the
-    first position to the end of the last one's string; blocks with equal rank
-    and ``whole`` have the same strings in the same order.  No two positions of
-    a block have equal strings, which would have anchors of their own.
+    of ``seed`` bytes in its ``length``.  Positions that share an anchor are a
+    unit, whose ``rank`` is the anchor's fingerprint; of the units that a filter
+    of ``open_`` marks, those of their positions that are at most SPANS[1],
+    SPANS[2], ... apart, counted from the anchor, are the units of the next
+    round, whose ``rank`` is the fingerprint of what all positions so far from
+    an anchor have in common.  Positions with equal strings are in units of equal
+    rank, so a string whose unit's rank is unique does not repeat.  ``whole`` is
+    the fingerprint of all bytes from the first position to the end of the last
+    one's string; units with equal rank and ``whole`` have the same strings in
+    the same order.  No two positions of a unit have equal strings, which would
+    have anchors of their own.
     """
     ends = offsets[1:]
-    for at in range(0, len(data), CHUNK):
-        part = data[at : at + CHUNK + length - 1]
+    for at, to in segments(offsets, CHUNK):
+        part = data[at : to + length - 1]
         if len(part) < length:
-            break
+            continue
         strings = Strings(part)
         grams = strings.of(np.arange(len(part) - seed + 1), np.arange(seed, len(part) + 1))
-        anchors = least_places(grams, length - seed + 1)[:CHUNK]
+        anchors = least_places(grams, length - seed + 1)[: to - at]
         row = np.searchsorted(ends, at + np.arange(len(anchors)), "right")
         fits = at + np.arange(len(anchors)) + length <= ends[row]
         new = np.ones(len(anchors), bool)
         new[1:] = (anchors[1:] != anchors[:-1]) | (row[1:] != row[:-1]) | ~fits[:-1]
         first = np.flatnonzero(new & fits)
-        if not len(first):
-            continue
         breaks = np.append(np.flatnonzero(new | ~fits), len(anchors))
         count = breaks[np.searchsorted(breaks, first, "right")] - first
-        yield row[first], at + first - offsets[row[first]], count, grams[anchors[first]], strings.of(first, first + count + length - 1, salt=1 << 32)
-
-
-def _all_blocks(batch: pa.RecordBatch, length: int) -> list[np.ndarray]:
-    found = list(blocks(*utf8(batch.column("text")), length))
+        row, rank = row[first], grams[anchors[first]]
+        for bits, span in zip(open_, SPANS[1:], strict=False):
+            keep = marked(bits, unit_keys(doc[row], at + first - offsets[row]))
+            row, first, count = row[keep], first[keep], count[keep]
+            place = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
+            apart = (anchors[place] - place) // span
+            new = np.ones(len(place), bool)
+            new[1:] = (apart[1:] != apart[:-1]) | (anchors[place[1:]] != anchors[place[:-1]]) | (place[1:] != place[:-1] + 1)
+            begins = np.flatnonzero(new)
+            row, first, count = np.repeat(row, count)[begins], place[begins], np.diff(np.append(begins, len(place)))
+            common = anchors[first] - apart[begins] * span
+            rank = strings.of(common, common - span + 1 + length)
+        if len(first):
+            yield row, at + first - offsets[row], count, rank, strings.of(first, first + count + length - 1, salt=1 << 32)
+
+
+def _all_units(batch: pa.RecordBatch, length: int, open_: list[np.ndarray]) -> list[np.ndarray]:
+    doc = batch.column("doc").to_numpy() if open_ else None
+    found = list(units(*utf8(batch.column("text")), doc, length, open_))
     kinds = (np.int64, np.int64, np.int64, np.uint64, np.uint64)
     return [np.concatenate([f[c] for f in found]) if found else np.zeros(0, kind) for c, kind in enumerate(kinds)]
 
 
 def _ranks(length: int):
-    """``(rank, times)``: how many blocks of a batch have a rank."""
+    """``(rank, times)``: how many units of a batch have a rank."""
 
     def rank(batches):
         for batch in batches:
-            ranks, times = np.unique(_all_blocks(batch, length)[3], return_counts=True)
+            ranks, times = np.unique(_all_units(batch, length, [])[3], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(ranks.view(np.int64)), pa.array(times)], ["rank", "times"])
 
     return rank
@@ -113,20 +156,19 @@ def _place_keys(batch: pa.RecordBatch, row: np.ndarray, start: np.ndarray) -> li
     return [start, batch.column("doc").to_numpy()[row], ids.fill_null(0).to_numpy()[row], ~null[row]]
 
 
-def _candidates(length: int, shared):
-    """``(rank, whole, id, doc, start, count, known)`` of the blocks whose rank may repeat.
+def _candidates(length: int, repeated, open_: list):
+    """``(rank, whole, id, doc, start, count, known)`` of a round's units, in the first round of those whose rank may repeat.
 
-    Of a batch's equal blocks only the earliest is left to be compared with
+    Of a batch's equal units only the earliest is left to be compared with
     others; the later ones are known to repeat, and neighbours become one row.
     """
 
     def choose(batches):
-        bits = shared.value
         for batch in batches:
-            row, start, count, rank, whole = _all_blocks(batch, length)
-            bit = rank & np.uint64(FILTER_BITS - 1)
-            maybe = (bits[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 > 0
-            row, start, count, rank, whole = (x[maybe] for x in (row, start, count, rank, whole))
+            row, start, count, rank, whole = _all_units(batch, length, [b.value for b in open_])
+            if not open_:
+                maybe = marked(repeated.value, rank)
+                row, start, count, rank, whole = (x[maybe] for x in (row, start, count, rank, whole))
             keys = _place_keys(batch, row, start)
             order = np.lexsort([*keys, whole, rank])
             same = np.zeros(len(order), bool)
@@ -150,29 +192,6 @@ def _candidates(length: int, shared):
     return choose
 
 
-def _positions(length: int):
-    """``(rank, pair, id, doc, start)``: each position of some blocks, with the ranks of its
-    first half and of the half at offset length / 2 as a pair."""
-
-    def pairs(batches):
-        for batch in batches:
-            data, offsets = utf8(batch.column("text"))
-            spans, of = batch.column("spans"), np.repeat(np.arange(batch.num_rows), batch.column("spans").value_lengths().to_numpy(zero_copy_only=False))
-            flat = spans.flatten()
-            start, count = flat.field("start").to_numpy().astype(np.int64), flat.field("count").to_numpy().astype(np.int64)
-            rank = flat.field("rank").to_numpy()
-            at = np.repeat(start - np.cumsum(count) + count, count) + np.arange(count.sum())
-            row = np.repeat(of, count)
-            strings = Strings(data)
-            place, half = offsets[row] + at, length // 2
-            pair = mix(strings.of(place, place + half) * np.uint64(0x9E3779B97F4A7C15) ^ strings.of(place + half, place + length, salt=7))
-            rows = pa.array(row)
-            out = [pa.array(np.repeat(rank, count)), pa.array(pair.view(np.int64)), batch.column("id").take(rows), batch.column("doc").take(rows), pa.array(at.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(out, ["rank", "pair", "id", "doc", "start"])
-
-    return pairs
-
-
 def removed_bytes(n: int, spans: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
     """Maximal runs ``(from, to)`` of bytes covered by the strings at spans ``(start, count)`` of positions."""
     runs: list[tuple[int, int]] = []
@@ -185,27 +204,53 @@ def removed_bytes(n: int, spans: list[tuple[int, int]], length: int) -> list[tup
     return runs
 
 
-def _finish(length: int, keep_text: bool):
+def _finished(rows, length: int, keep_text: bool) -> pa.RecordBatch:
+    """Results of ``(id, text, spans)``."""
+    out = []
+    for id_, text, spans in rows:
+        raw = text.encode()
+        runs = removed_bytes(len(raw), spans, length)
+        edges = [0, *(x for run in runs for x in run), len(raw)]
+        kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+        out.append((id_, len(raw), sum(b - a for a, b in runs), len(runs), hashlib.sha256(kept).hexdigest(), kept if keep_text else None))
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+    columns = list(zip(*out, strict=True)) or [()] * 6
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+
+
+def _untouched(length: int, shared, keep_text: bool):
+    """Results of the texts without any span."""
+
+    def finish(batches):
+        for batch in batches:
+            clean = np.flatnonzero(~marked(shared.value, batch.column("doc").to_numpy()))
+            ids, texts = batch.column("id"), batch.column("text")
+            yield _finished(((ids[i].as_py(), texts[i].as_py(), ()) for i in clean.tolist()), length, keep_text)
+
+    return finish
+
+
+def _maybe_touched(shared):
+    def choose(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(marked(shared.value, batch.column("doc").to_numpy())))
+
+    return choose
+
+
+def _cut(length: int, keep_text: bool):
     def finish(batches):
         for batch in batches:
-            out = []
-            for text, spans in zip(batch.column("text"), batch.column("spans"), strict=True):
-                raw = text.as_py().encode()
-                runs = removed_bytes(len(raw), [(s["start"], s["count"]) for s in spans.as_py() or ()], length)
-                edges = [0, *(x for run in runs for x in run), len(raw)]
-                kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-                out.append((len(raw), sum(b - a for a, b in runs), len(runs), hashlib.sha256(kept).hexdigest(), kept if keep_text else None))
-            columns = list(zip(*out, strict=True)) or [()] * 5
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            rows = zip(batch.column("id"), batch.column("text"), batch.column("spans"), strict=True)
+            yield _finished(((i.as_py(), t.as_py(), [(x["start"], x["count"]) for x in spans.as_py() or ()]) for i, t, spans in rows), length, keep_text)
 
     return finish
 
 
-def _filter_of(ranks: DataFrame) -> np.ndarray:
-    """The bitmap of some ranks: parts of 4 KB, at most FILTER_BITS in all."""
-    at = F.col("rank").bitwiseAND(F.lit(FILTER_BITS - 1))
-    parts = ranks.groupBy(F.shiftright(at, 15).cast("int").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at + 1)).alias("bits")).collect()
+def _filter_of(rows: DataFrame, key) -> np.ndarray:
+    """The bitmap of some 64-bit keys: parts of 4 KB, at most FILTER_BITS in all."""
+    at = key.bitwiseAND(F.lit(FILTER_BITS - 1))
+    parts = rows.groupBy(F.shiftright(at, 15).cast("int").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at + 1)).alias("bits")).collect()
     out = np.zeros(FILTER_BITS // 8, np.uint8)
     for p in parts:
         out[p["part"] << 12 : (p["part"] + 1) << 12] = np.frombuffer(p["bits"], np.uint8)
@@ -219,22 +264,23 @@ def repeated_positions(texts: DataFrame, length: int) -> DataFrame:
     """
     spark = texts.sparkSession
     counted = texts.select("text").mapInArrow(_ranks(length), "rank long, times long").groupBy("rank").agg(F.sum("times").alias("times"))
-    bits = _filter_of(counted.where("times > 1").select("rank"))
+    repeated = spark.sparkContext.broadcast(_filter_of(counted.where("times > 1"), F.col("rank")))
     kind = "rank long, whole long, id long, doc long, start int, count int, known boolean"
-    chosen = texts.mapInArrow(_candidates(length, spark.sparkContext.broadcast(bits)), kind)
-    # A batch sends a block once, so no key has more rows than there are batches.
-    place = F.struct("id", "doc", "start")
-    first = F.when(~F.col("known"), F.min(place).over(Window.partitionBy("rank", "whole", "known")) == place).otherwise(False)
-    placed = materialise(chosen.withColumn("first", F.coalesce(first, F.lit(True))).drop("whole", "known"), "repeat-blocks")
-    firsts = placed.where("first").select("rank", "id", "doc", "start", "count")
-    several = firsts.groupBy("rank").agg(F.count("*").alias("c")).where("c > 1").select(F.col("rank").alias("of"))
-    open_ = firsts.join(several, F.col("rank") == F.col("of"))
-    spans = materialise(open_.groupBy("doc").agg(F.collect_list(F.struct("start", "count", "rank")).alias("spans")).withColumnRenamed("doc", "of"), "repeat-open")
-    whole = texts.join(spans, F.col("doc") == F.col("of")).dropDuplicates(["doc"]).select("id", "doc", "text", "spans")
-    pairs = materialise(whole.mapInArrow(_positions(length), "rank long, pair long, id long, doc long, start int"), "repeat-pairs")
-    least = pairs.groupBy("rank", "pair").agg(F.min(place).alias("least"), F.count("*").alias("c")).where("c > 1").select(F.col("rank").alias("r"), F.col("pair").alias("p"), "least")
-    later = pairs.join(least, (F.col("rank") == F.col("r")) & (F.col("pair") == F.col("p"))).where(~F.col("least").eqNullSafe(place))
-    return placed.where("NOT first").select("doc", "start", "count").union(later.select("doc", "start", F.lit(1)))
+    place, found, open_ = F.struct("id", "doc", "start"), None, []
+    for span in SPANS:
+        chosen = texts.mapInArrow(_candidates(length, repeated, open_), kind)
+        # A batch sends a unit once, so no key has more rows than there are batches.
+        first = F.when(~F.col("known"), F.min(place).over(Window.partitionBy("rank", "whole", "known")) == place).otherwise(False)
+        placed = materialise(chosen.withColumn("first", F.coalesce(first, F.lit(True))).drop("whole", "known", "id"), f"repeat-units-{span}")
+        later = placed.where("NOT first").select("doc", "start", "count")
+        found = later if found is None else found.union(later)
+        if span == 1:
+            return found
+        firsts = placed.where("first")
+        several = firsts.groupBy("rank").agg(F.count("*").alias("c")).where("c > 1").select(F.col("rank").alias("of"))
+        left = firsts.join(several, F.col("rank") == F.col("of"))
+        open_ = [*open_, spark.sparkContext.broadcast(_filter_of(left, F.col("doc").bitwiseXOR(F.col("start") * F.lit(STEP).cast("long"))))]
+    raise AssertionError("the last span is one position")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, keep_text: bool = False) -> DataFrame:
@@ -248,29 +294,35 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     each row with its result.  Strings never cross documents.  Other columns
     play no part.
 
-    Prefix doubling that starts at SEED bytes and drops a position as soon as
-    its rank is unique.  Round 1 ranks sampled positions, the anchors: each
-    string of ``length`` bytes has one, at a place that only its bytes decide,
-    about one in (length - SEED) / 2 bytes is one, and Spark counts their ranks;
-    a string with a unique anchor is unique.  Round 2 ranks the block of
-    positions around an anchor as a whole: all but the earliest of equal blocks
-    repeat.  Round 3 takes the first of the different blocks that share an
-    anchor apart into positions, and ranks pairs (rank of the first half, rank
-    of the half at offset length / 2); all but the earliest of equal pairs
-    repeat.  Ranks are 64-bit fingerprints, and every decision rests on two.
-
-    Texts are read three times and shuffled where spans meet them; what is
-    shuffled besides is a row a block that may repeat.
+    Prefix doubling that starts at SEED bytes and drops positions as soon as
+    their rank is unique.  A round ranks units of positions (``units``) by a
+    string that all of a unit's positions have in common; Spark sorts the pairs
+    (rank, rank of the whole unit).  A unit with a unique rank does not repeat,
+    all but the earliest of equal pairs repeat, and the first of the different
+    units that share a rank are taken apart for the next round, where the common
+    string is longer: SEED bytes at first, then ``length - SPANS[i] + 1``, until
+    it is the position's own string.  Ranks are 64-bit fingerprints, as equality
+    is all that is asked of them, and every decision rests on two.
+
+    Each round reads the texts again and shuffles a row for each unit left, its
+    own copies in a batch folded; filters of FILTER_BITS say which are left (a
+    bit set in error costs a row, not a result).  Texts are shuffled once, where
+    spans meet them.
     """
+    if length < SEED + 16:
+        raise ValueError(f"strings of at least {SEED + 16} bytes have anchors that are worth it; {length} were asked for")
     spark = docs.sparkSession
     bounded_batches(spark)
     before = written()
     ids = F.col(id_col).cast("long")
     texts = docs.select(ids.alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     texts = texts.select("id", F.xxhash64("id", "text").alias("doc"), "text")
-    spans = repeated_positions(texts, length).groupBy(F.col("doc").alias("of")).agg(F.collect_list(F.struct("start", "count")).alias("spans"))
-    met = texts.join(spans, F.col("doc") == F.col("of"), "left").select("id", "text", "spans")
-    out = met.mapInArrow(_finish(length, keep_text), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    found = repeated_positions(texts, length)
+    touched = spark.sparkContext.broadcast(_filter_of(found, F.col("doc")))
+    spans = found.groupBy(F.col("doc").alias("of")).agg(F.collect_list(F.struct("start", "count")).alias("spans"))
+    met = texts.mapInArrow(_maybe_touched(touched), "id long, doc long, text string").join(spans, F.col("doc") == F.col("of"), "left").select("id", "text", "spans")
+    kind = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+    out = met.mapInArrow(_cut(length, keep_text), kind).union(texts.mapInArrow(_untouched(length, touched, keep_text), kind))
     out = materialise(out, "repeat-result")
     release(before, out)
     return out.select(F.col("id").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if keep_text else []))
