@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from gneiss.functions.safe import f6, iou
 from gneiss.operators import affinity as af
+from gneiss.operators import hierarchy as hi
 from gneiss.operators import raster as rs
 from gneiss.operators import solvers as sv
 from gneiss.plans.carriers import SQL, pixels, primitives
@@ -121,6 +122,44 @@ def _(spark, d):
     return sv.density_clusters(primitives(spark, d), 0.08, 5)
 
 
+CORES = (
+    f"WITH {SQL['prim']}, f AS (SELECT id, e[57:64] AS v FROM prim), r AS (SELECT a.id, sqrt(list_sum(list_transform(range(1, 9), lambda i: (a.v[i] - b.v[i]) * (a.v[i] - b.v[i])))) AS gap FROM f a JOIN f b ON a.id <> b.id) "
+    "SELECT id, round(gap, 6) AS core FROM r QUALIFY row_number() OVER (PARTITION BY id ORDER BY gap) = 5"
+)
+
+
+def features(spark, d):
+    return primitives(spark, d).select("id", F.col("feats").alias("vec"))
+
+
+@query("core_distances", CORES)
+def _(spark, d):
+    """Distance of each primitive, by its features, to its fifth nearest other one."""
+    cores = hi.core_distances(hi._dealt(features(spark, d), 512), 5)
+    return cores.select("id", f6(F.col("core")).alias("core"))
+
+
+@query("density_hierarchy")
+def _(spark, d):
+    """Clusters of at least 2 % of the primitives; noise goes to the nearest."""
+    points = features(spark, d)
+    return hi.density_hierarchy(points, max(2, round(points.count() * 0.02)), 5)
+
+
+@query("community_quality")
+def _(spark, d):
+    """Communities with their size, the edges that hold them together and their share of the modularity."""
+    edges = af.symmetrise(weighted_edges(spark, d))
+    member = sv.communities(edges)
+    ends = (member.select(F.col("node").alias(x), F.col("community").alias(f"c_{x}")) for x in ("src", "dst"))
+    both = edges.join(next(ends), "src").join(next(ends), "dst")
+    per = both.groupBy(F.col("c_src").alias("community")).agg(F.sum(F.when(F.col("c_src") == F.col("c_dst"), F.col("w")).otherwise(0.0)).alias("inside"), F.sum("w").alias("degree"))
+    sizes = member.groupBy(F.col("community").alias("of")).agg(F.count("*").alias("size"))
+    q = sv.modularity(edges, member)
+    share = F.col("inside") / F.col("degree")
+    return per.join(sizes, F.col("community") == F.col("of")).crossJoin(F.broadcast(q)).select("community", "size", f6(share).alias("inside_share"), f6(F.col("q")).alias("q"))
+
+
 @query("farthest_points", FARTHEST)
 def _(spark, d):
     chosen = sv.farthest_points(primitives(spark, d), "feats", 8)

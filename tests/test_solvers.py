@@ -145,3 +145,50 @@ def test_components_of_wide_graphs_settle(spark, shape):
     df = spark.createDataFrame([*edges, (None, 3), (4, None)] if shape == "stars" else edges, "src long, dst long")
     got = {r["node"]: r["component"] for r in connected_components(df).collect()}
     assert got == _reached(edges)
+
+
+def _parts(rows, inside):
+    left, out = set(rows), []
+    while left:
+        grown, stack = set(), [next(iter(left))]
+        while stack:
+            i = stack.pop()
+            if i not in grown:
+                grown.add(i)
+                stack += [b for a, b, _ in inside if a == i]
+        out.append(grown)
+        left -= grown
+    return out
+
+
+@pytest.mark.parametrize("seed", [1])
+def test_refined_communities_are_well_connected_and_no_worse(spark, seed):
+    rng = np.random.default_rng(seed)
+    group = np.repeat(np.arange(8), 12)
+    pairs = [(i, j) for i, j in itertools.combinations(range(96), 2) if rng.random() < (0.5 if group[i] == group[j] else 0.06)]
+    edges = [(a, b, 1.0) for i, j in pairs for a, b in ((i, j), (j, i))]
+    df = spark.createDataFrame(edges, "src long, dst long, w double").cache()
+    found = {}
+    for refine in (True, False):
+        member = solvers.communities(df, refine=refine)
+        found[refine] = solvers.modularity(df, member).first()["q"], {r["node"]: r["community"] for r in member.collect()}
+    assert found[True][0] >= found[False][0] - 1e-6 and found[True][0] > 0.3
+    label, total = found[True][1], float(len(edges))
+    degree = {i: sum(a == i for a, _, _ in edges) for i in label}
+    for c in set(label.values()):
+        rows = [i for i in label if label[i] == c]
+        inside = [e for e in edges if label[e[0]] == c == label[e[1]]]
+        assert min(rows) == c and len(_parts(rows, inside)) == 1
+        dc = sum(degree[i] for i in rows)
+        for i in rows:  # no node hangs on its community by less than chance
+            assert len(rows) == 1 or sum(a == i for a, _, _ in inside) >= degree[i] * (dc - degree[i]) / total - 1e-9
+
+
+def test_refined_parts_are_held_together(spark):
+    """Two cliques in one community that a single weak edge joins are two parts of it."""
+    edges = [(b * 6 + i, b * 6 + j, 1.0) for b in range(2) for i in range(6) for j in range(6) if i != j] + [(0, 6, 0.1), (6, 0, 0.1), (12, 13, 60.0), (13, 12, 60.0)]
+    df = spark.createDataFrame(edges, "src long, dst long, w double")
+    degree = df.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("d"))
+    state = degree.withColumn("c", F.when(F.col("node") < 12, 0).otherwise(12).cast("long"))
+    got = {r["node"]: r["part"] for r in solvers._refined(df, state, sum(e[2] for e in edges), 1.0).collect()}
+    assert got == {**{i: 0 for i in range(6)}, **{6 + i: 6 for i in range(6)}, 12: 12, 13: 12}
