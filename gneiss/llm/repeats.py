@@ -156,7 +156,7 @@ def _place_keys(batch: pa.RecordBatch, row: np.ndarray, start: np.ndarray) -> li
     return [start, batch.column("doc").to_numpy()[row], ids.fill_null(0).to_numpy()[row], ~null[row]]
 
 
-def _candidates(length: int, repeated, open_: list):
+def _candidates(length: int, repeated, open_: list, open_docs):
     """``(rank, whole, id, doc, start, count, known)`` of a round's units, in the first round of those whose rank may repeat.
 
     Of a batch's equal units only the earliest is left to be compared with
@@ -165,6 +165,8 @@ def _candidates(length: int, repeated, open_: list):
 
     def choose(batches):
         for batch in batches:
+            if open_:  # texts that no unit is left of
+                batch = batch.filter(pa.array(marked(open_docs.value, batch.column("doc").to_numpy())))
             row, start, count, rank, whole = _all_units(batch, length, [b.value for b in open_])
             if not open_:
                 maybe = marked(repeated.value, rank)
@@ -266,9 +268,9 @@ def repeated_positions(texts: DataFrame, length: int) -> DataFrame:
     counted = texts.select("text").mapInArrow(_ranks(length), "rank long, times long").groupBy("rank").agg(F.sum("times").alias("times"))
     repeated = spark.sparkContext.broadcast(_filter_of(counted.where("times > 1"), F.col("rank")))
     kind = "rank long, whole long, id long, doc long, start int, count int, known boolean"
-    place, found, open_ = F.struct("id", "doc", "start"), None, []
+    place, found, open_, open_docs = F.struct("id", "doc", "start"), None, [], None
     for span in SPANS:
-        chosen = texts.mapInArrow(_candidates(length, repeated, open_), kind)
+        chosen = texts.mapInArrow(_candidates(length, repeated, open_, open_docs), kind)
         # A batch sends a unit once, so no key has more rows than there are batches.
         first = F.when(~F.col("known"), F.min(place).over(Window.partitionBy("rank", "whole", "known")) == place).otherwise(False)
         placed = materialise(chosen.withColumn("first", F.coalesce(first, F.lit(True))).drop("whole", "known", "id"), f"repeat-units-{span}")
@@ -279,6 +281,7 @@ def repeated_positions(texts: DataFrame, length: int) -> DataFrame:
         firsts = placed.where("first")
         several = firsts.groupBy("rank").agg(F.count("*").alias("c")).where("c > 1").select(F.col("rank").alias("of"))
         left = firsts.join(several, F.col("rank") == F.col("of"))
+        open_docs = spark.sparkContext.broadcast(_filter_of(left, F.col("doc")))
         open_ = [*open_, spark.sparkContext.broadcast(_filter_of(left, F.col("doc").bitwiseXOR(F.col("start") * F.lit(STEP).cast("long"))))]
     raise AssertionError("the last span is one position")
 
