@@ -74,10 +74,28 @@ best AS (SELECT lang, rule, cut / 100 AS cutoff FROM safe WHERE hits - 5 * k > 0
 bad AS (SELECT DISTINCT v.doc_id FROM v JOIN best b ON b.lang IS NOT DISTINCT FROM v.lang AND b.rule = v.rule AND v.value > b.cutoff)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept FROM j"""
 
+_LOW = "abcdefghijklmnopqrstuvwxyz"
+VARIANTS = f"""
+WITH RECURSIVE step AS (SELECT i, list_reduce(list_prepend(i::BIGINT, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i)),
+tab AS (SELECT list(c ORDER BY i) AS tab FROM step),
+runs AS (SELECT doc_id, translate(run, '{_LOW.upper()}', '{_LOW}') AS run, count(*) AS k FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]{{7,}}')) AS run FROM documents) GROUP BY ALL),
+bytes AS (SELECT run, k, hex(coalesce(doc_id::VARCHAR, '') || ':' || run) AS x FROM runs),
+crc AS (SELECT run, k, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(x) // 2 + 1), lambda i: ('0x' || substr(x, 2 * i - 1, 2))::BIGINT)), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM bytes, tab),
+w AS (SELECT word, sum(k)::BIGINT AS n FROM (SELECT k, CASE WHEN h % 31 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word FROM crc) WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+d AS (SELECT word, n, p, substr(word, 1, p - 1) || substr(word, p + 1) AS rest FROM w, LATERAL (SELECT unnest(range(1, length(word) + 1)) AS p)),
+shorter AS (SELECT DISTINCT d.word AS a, d.n AS na, w.word AS b, w.n AS nb FROM d JOIN w ON d.rest = w.word),
+pairs AS (SELECT x.word AS word, y.word AS v, y.n AS nv FROM d x JOIN d y ON x.p = y.p AND x.rest = y.rest AND x.word <> y.word UNION SELECT a, b, nb FROM shorter UNION SELECT b, a, na FROM shorter),
+best AS (SELECT word, v, nv, count(*) OVER (PARTITION BY word) AS n_near FROM pairs QUALIFY row_number() OVER (PARTITION BY word ORDER BY nv DESC, v) = 1),
+f AS (SELECT w.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN nv >= 10 * n THEN v END AS form, CASE WHEN nv >= 10 * n THEN nv END AS form_n FROM w LEFT JOIN best USING (word)),
+chase(word, last) AS (SELECT word, form FROM f WHERE form IS NOT NULL UNION ALL SELECT c.word, f.form FROM chase c JOIN f ON f.word = c.last WHERE f.form IS NOT NULL),
+ends AS (SELECT c.word, c.last FROM chase c JOIN f ON f.word = c.last WHERE f.form IS NULL)
+SELECT f.word, n, n_near, form, form_n, coalesce(last, f.word) AS root FROM f LEFT JOIN ends USING (word)"""
+
 ORACLES = {
     "op1_warc": WARC,
     "op2_ngram_jaccard_join": NEAR,
     "op3_mixing": MIX,
     "op4_exact_top_k": TOP_K,
     "op7_quality_rules": QUALITY,
+    "op11_spelling_variants": VARIANTS,
 }
