@@ -13,6 +13,7 @@ from gneiss.operators import raster as rs
 from gneiss.operators import solvers as sv
 from gneiss.plans.carriers import SQL, pixels, primitives
 from gneiss.plans.graph import weighted_edges
+from gneiss.storage import materialise
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -94,7 +95,10 @@ def _(spark, d):
 
 @query("communities")
 def _(spark, d):
-    return sv.communities(af.symmetrise(weighted_edges(spark, d)))
+    """Communities, and the modularity of them all."""
+    edges = materialise(af.symmetrise(weighted_edges(spark, d)), "symmetric")
+    member = sv.communities(edges)
+    return member.crossJoin(F.broadcast(sv.modularity(edges, member).select(f6(F.col("q")).alias("q"))))  # one row
 
 
 @query("spectral_vectors")
@@ -146,20 +150,6 @@ def _(spark, d):
     return hi.density_hierarchy(points, max(2, round(points.count() * 0.02)), 5)
 
 
-@query("community_quality")
-def _(spark, d):
-    """Communities with their size, the edges that hold them together and their share of the modularity."""
-    edges = af.symmetrise(weighted_edges(spark, d))
-    member = sv.communities(edges)
-    ends = (member.select(F.col("node").alias(x), F.col("community").alias(f"c_{x}")) for x in ("src", "dst"))
-    both = edges.join(next(ends), "src").join(next(ends), "dst")
-    per = both.groupBy(F.col("c_src").alias("community")).agg(F.sum(F.when(F.col("c_src") == F.col("c_dst"), F.col("w")).otherwise(0.0)).alias("inside"), F.sum("w").alias("degree"))
-    sizes = member.groupBy(F.col("community").alias("of")).agg(F.count("*").alias("size"))
-    q = sv.modularity(edges, member)
-    share = F.col("inside") / F.col("degree")
-    return per.join(sizes, F.col("community") == F.col("of")).crossJoin(F.broadcast(q)).select("community", "size", f6(share).alias("inside_share"), f6(F.col("q")).alias("q"))
-
-
 @query("farthest_points", FARTHEST)
 def _(spark, d):
     chosen = sv.farthest_points(primitives(spark, d), "feats", 8)
