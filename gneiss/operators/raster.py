@@ -39,6 +39,34 @@ def blur(pixels: DataFrame, image: list[str], sigma: float, value: str = "v") ->
     return convolve(pixels, image, {"blurred": kernel}, value)
 
 
+def _sobel_edges(pixels: DataFrame, image: list[str], value: str, smooth: float = 0.0) -> DataFrame:
+    """Sobel magnitude, of the blurred image where ``smooth`` is a sigma above 0."""
+    if smooth > 0:
+        pixels, value = blur(pixels, image, smooth, value), "blurred"
+    return edge_strength(pixels, image, value)
+
+
+def _ingested_edges(pixels: DataFrame, image: list[str], value: str, maps: DataFrame | None = None, threshold: float | None = None) -> DataFrame:
+    """Edges that a detector has found before, ``maps`` (image, y, x, edge): 0 where it has none; with a threshold 1 above it, else 0."""
+    if maps is None:
+        raise ValueError("ingested edges need their maps")
+    if threshold is not None and not 0 < threshold < 1:
+        raise ValueError(f"a threshold between 0 and 1, not {threshold}")
+    found = pixels.select(*image, "y", "x").join(maps.select(*image, "y", "x", "edge"), [*image, "y", "x"], "left").withColumn("edge", F.coalesce("edge", F.lit(0.0)))
+    return found if threshold is None else found.withColumn("edge", (F.col("edge") > threshold).cast("double"))
+
+
+#: Ways to find edges by name.
+EDGE_METHODS = {"sobel": _sobel_edges, "ingested": _ingested_edges}
+
+
+def edge_maps(pixels: DataFrame, image: list[str], method: str = "sobel", value: str = "v", **options) -> DataFrame:
+    """``(image, y, x, edge)`` by a method's name; unknown ones raise."""
+    if method not in EDGE_METHODS:
+        raise ValueError(f"no edge method {method!r}; there are {', '.join(sorted(EDGE_METHODS))}")
+    return EDGE_METHODS[method](pixels, image, value, **options)
+
+
 def scaled(values: DataFrame, image: list[str], value: str, share: float = 0.95) -> DataFrame:
     """Values over their image's percentile, clipped to [0, 1]."""
     top = values.groupBy(*image).agg(F.percentile(value, F.lit(share)).alias("_top"))

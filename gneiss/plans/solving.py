@@ -55,6 +55,19 @@ def _(spark, d):
     return rs.scaled(images(spark, d), ["plane"], "v").select("plane", "y", "x", f6(F.col("v")).alias("v"))
 
 
+@query(
+    "edge_methods",
+    IMG + SOBEL + ", t AS (SELECT plane, quantile_cont(v, 0.95) AS top FROM img GROUP BY plane), m AS (SELECT plane, y, x, CASE WHEN least(1, greatest(0, v / greatest(top, 1e-8))) > 0.5 THEN 1.0 ELSE 0.0 END::DOUBLE AS ingested FROM img JOIN t USING (plane) WHERE x % 3 > 0) "
+    "SELECT plane, y, x, round(sqrt(gx.g * gx.g + gy.g * gy.g), 4) AS sobel, coalesce(ingested, 0) AS ingested FROM gx JOIN gy USING (plane, y, x) LEFT JOIN m USING (plane, y, x)",
+)
+def _(spark, d):
+    """Edges by both methods; the ingested maps lack a third of the columns."""
+    image = images(spark, d)
+    maps = rs.scaled(image, ["plane"], "v").where("x % 3 > 0").select("plane", "y", "x", F.col("v").alias("edge"))
+    found = rs.edge_maps(image, ["plane"], "ingested", maps=maps, threshold=0.5).withColumnRenamed("edge", "ingested")
+    return rs.edge_maps(image, ["plane"]).withColumn("sobel", F.round("edge", 4)).drop("edge").join(found, ["plane", "y", "x"])
+
+
 _BLUR = [math.exp(-o * o / 2) for o in range(-3, 4)]
 BLUR = (
     IMG + f", g(o, w) AS (VALUES {', '.join(f'({i - 3}, {w / sum(_BLUR)!r}::DOUBLE)' for i, w in enumerate(_BLUR))}) "

@@ -192,3 +192,18 @@ def test_refined_parts_are_held_together(spark):
     state = degree.withColumn("c", F.when(F.col("node") < 12, 0).otherwise(12).cast("long"))
     got = {r["node"]: r["part"] for r in solvers._refined(df, state, sum(e[2] for e in edges), 1.0).collect()}
     assert got == {**{i: 0 for i in range(6)}, **{6 + i: 6 for i in range(6)}, 12: 12, 13: 12}
+
+
+def test_edges_by_name(spark):
+    df = spark.createDataFrame([(0, y, x, float(x > 2)) for y in range(4) for x in range(6)], "i int, y int, x int, v double")
+    plain, named = ({(r["y"], r["x"]): r["edge"] for r in f.collect()} for f in (raster.edge_strength(df, ["i"]), raster.edge_maps(df, ["i"])))
+    assert named == plain and named[1, 2] == pytest.approx(4.0)
+    soft = {(r["y"], r["x"]): r["edge"] for r in raster.edge_maps(df, ["i"], smooth=1.0).collect()}
+    assert len(soft) == 24 and soft[1, 2] < named[1, 2]
+    maps = spark.createDataFrame([(0, 1, 1, 0.7), (0, 1, 2, 0.2), (0, 9, 9, 1.0)], "i int, y int, x int, edge double")
+    raw = {(r["y"], r["x"]): r["edge"] for r in raster.edge_maps(df, ["i"], "ingested", maps=maps).collect()}
+    cut = {(r["y"], r["x"]): r["edge"] for r in raster.edge_maps(df, ["i"], "ingested", maps=maps, threshold=0.5).collect()}
+    assert len(raw) == 24 and raw[1, 1] == 0.7 and raw[0, 0] == 0.0 and sum(cut.values()) == 1.0 == cut[1, 1]
+    for bad in ({"method": "other"}, {"method": "ingested"}, {"method": "ingested", "maps": maps, "threshold": 1.0}):
+        with pytest.raises(ValueError):
+            raster.edge_maps(df, ["i"], **bad)
