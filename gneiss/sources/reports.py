@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gneiss.operators.ordering import positions
@@ -18,6 +18,8 @@ def upsert(existing: DataFrame, fresh: DataFrame, keys: list[str]) -> DataFrame:
 
 def write_summary(df: DataFrame, path: str, columns: list[str], order: list[str], rounded: list[str], places: int = 4) -> None:
     """One CSV file with fixed columns, sorted, nulls first as empty text, measures rounded."""
+    if df.limit(MOST_ROWS + 1).count() > MOST_ROWS:
+        raise ValueError(f"a summary of more than {MOST_ROWS} rows")
     kept = df.select(*(F.round(c, places).alias(c) if c in rounded else F.col(c) for c in columns))
     kept.orderBy(*(F.col(c).asc_nulls_first() for c in order)).coalesce(1).write.mode("overwrite").csv(path, header=True)
 
@@ -29,6 +31,22 @@ def _small(df: DataFrame) -> list:
     return rows
 
 
+def write_json_results(df: DataFrame, path: str, name: str) -> None:
+    """One JSON file ``<name>.json`` a row, of its other columns; nulls are written as null.  A name may not come twice."""
+    from gneiss.sources.members import register, write_files
+
+    register(df.sparkSession)
+    content = F.to_json(F.struct(*(F.col(c) for c in df.columns if c != name)), {"ignoreNullFields": "false"}).cast("binary")
+    named = df.select(F.concat(F.col(name).cast("string"), F.lit(".json")).alias("file"), content.alias("content"))
+    once = F.when(F.count("*").over(Window.partitionBy("file")) == 1, F.col("content")).otherwise(F.raise_error(F.concat(F.lit("two results named "), F.col("file"))).cast("binary"))
+    write_files(named.select("file", once.alias("content")), path)
+
+
+def with_defaults(df: DataFrame, defaults: dict) -> DataFrame:
+    """Columns with their defaults where they are null, or where the table does not have them."""
+    return df.withColumns({c: F.coalesce(F.col(c), F.lit(v)) if c in df.columns else F.lit(v) for c, v in defaults.items()})
+
+
 def _cell(v) -> str:
     return "" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v)
 

@@ -128,3 +128,26 @@ def test_stacks_of_prompts_join(spark):
     stack = images.joined_stacks(masks, frames)
     over = {(r["frame"], r["idx"], r["other"]): (r["inter"], r["pred"], r["gt"]) for r in images.packed_overlaps(stack, stack).collect()}
     assert over[1, 0, 2] == (int((a & c).sum()), int(a.sum()), int(c.sum())) and len(over) == 10
+
+
+def test_json_results_and_defaults(spark, tmp_path):
+    import json
+
+    from gneiss.sources import reports
+
+    df = spark.createDataFrame([("a", 0.5, None), ("b", None, 3)], "scene string, miou double, k int")
+    reports.write_json_results(df, f"file://{tmp_path}/json", "scene")
+    assert {p.name: json.loads(p.read_text()) for p in (tmp_path / "json").iterdir()} == {"a.json": {"miou": 0.5, "k": None}, "b.json": {"miou": None, "k": 3}}
+    with pytest.raises(Exception, match="two results"):
+        reports.write_json_results(df.union(df), f"file://{tmp_path}/twice", "scene")
+    got = reports.with_defaults(df, {"k": 7, "gpu": "none"}).orderBy("scene").collect()
+    assert [(r["k"], r["gpu"]) for r in got] == [(7, "none"), (3, "none")]
+
+
+def test_last_path_that_a_pattern_matches(spark):
+    from gneiss.sources.records import last_matches
+
+    paths = spark.createDataFrame([(p,) for p in ("out/a/run-1/masks", "out/a/run-2/masks", "out/a/run-2/x/masks", "out/b.c/run-9/masks", "out/bxc/run-10/masks", "top")], "path string")
+    rows = [("a", "out/{scene}/run-*/masks"), ("b.c", "out/{scene}/run-?/masks"), ("z", "out/{scene}/*"), ("t", "to?"), ("n", None)]
+    got = {r["scene"]: r["path"] for r in last_matches(spark.createDataFrame(rows, "scene string, pattern string"), paths).collect()}
+    assert got == {"a": "out/a/run-2/masks", "b.c": "out/b.c/run-9/masks", "z": None, "t": "top", "n": None}
