@@ -71,3 +71,20 @@ def read_bundled_stacks(spark: SparkSession, path: str, pattern: str = r"\.npz$"
     """As ``read_mask_stacks``, of the .npz members of ZIP files whose names match ``pattern``."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInArrow(_members(pattern), "path string, key string, idx int, h int, w int, data binary")
+
+
+def _table_rows(batches):
+    for batch in batches:
+        for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+            values = np.load(io.BytesIO(content), allow_pickle=False)
+            if values.ndim != 2:
+                raise ValueError(f"{path}: {values.ndim} dimensions, not two")
+            for at in range(0, len(values), 65_536):
+                part = values[at : at + 65_536].astype(np.float64)
+                flat = pa.ListArray.from_arrays(np.arange(0, part.size + 1, values.shape[1] or 1, dtype=np.int32)[: len(part) + 1], pa.array(part.ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(part)), pa.array(np.arange(at, at + len(part))), flat], ["path", "at", "values"])
+
+
+def rows_of(files: DataFrame) -> DataFrame:
+    """``(path, at, values)``: each row of the two-dimensional .npy files ``(path, content)``; other ranks raise."""
+    return files.mapInArrow(_table_rows, "path string, at long, values array<double>")

@@ -52,12 +52,12 @@ def _image(content: bytes, at: int) -> tuple[tuple, int]:
 
 def _reader(one: Callable, names: list[str], kinds: list[pa.DataType]):
     def read(batches):
-        schema = pa.schema(list(zip(names, kinds, strict=True)))
+        schema = pa.schema([("path", pa.string()), *zip(names, kinds, strict=True)])
         for batch in batches:
-            for content in batch.column("content").to_pylist():
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
                 part = []
                 for row in _rows(content, one):
-                    part.append(dict(zip(names, row, strict=True)))
+                    part.append({"path": path, **dict(zip(names, row, strict=True))})
                     if len(part) == BATCH:
                         yield pa.RecordBatch.from_pylist(part, schema=schema)
                         part = []
@@ -73,24 +73,39 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
 _numbers, _whole = pa.list_(pa.float64()), pa.list_(pa.int32())
 
 
-def read_points(spark: SparkSession, path: str) -> DataFrame:
-    """``(id, xyz, rgb, error)`` of sparse points; the images that a point is seen in are passed over."""
+def points_of(files: DataFrame) -> DataFrame:
+    """``(path, id, xyz, rgb, error)`` of the sparse points in files ``(path, content)``; the images that a point is seen in are passed over."""
     read = _reader(_point, ["id", "xyz", "rgb", "error"], [pa.int64(), _numbers, _whole, pa.float64()])
-    return _files(spark, path).mapInArrow(read, "id long, xyz array<double>, rgb array<int>, error double")
+    return files.mapInArrow(read, "path string, id long, xyz array<double>, rgb array<int>, error double")
 
 
-def read_cameras(spark: SparkSession, path: str) -> DataFrame:
-    """``(id, model, width, height, params)`` of cameras of all eleven models."""
+def cameras_of(files: DataFrame) -> DataFrame:
+    """``(path, id, model, width, height, params)`` of the cameras, of all eleven models, in files ``(path, content)``."""
     read = _reader(_camera, ["id", "model", "width", "height", "params"], [pa.int64(), pa.string(), pa.int64(), pa.int64(), _numbers])
-    return _files(spark, path).mapInArrow(read, "id long, model string, width long, height long, params array<double>")
+    return files.mapInArrow(read, "path string, id long, model string, width long, height long, params array<double>")
 
 
-def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """``(id, rotation, translation, camera_id, name, points, point_ids)`` of posed images."""
+def images_of(files: DataFrame) -> DataFrame:
+    """``(path, id, rotation, translation, camera_id, name, points, point_ids)`` of the posed images in files ``(path, content)``."""
     names = ["id", "rotation", "translation", "camera_id", "name", "points", "point_ids"]
     read = _reader(_image, names, [pa.int64(), _numbers, _numbers, pa.int64(), pa.string(), pa.list_(_numbers), pa.list_(pa.int64())])
     kinds = "id long, rotation array<double>, translation array<double>, camera_id long, name string, points array<array<double>>, point_ids array<long>"
-    return _files(spark, path).mapInArrow(read, kinds)
+    return files.mapInArrow(read, f"path string, {kinds}")
+
+
+def read_points(spark: SparkSession, path: str) -> DataFrame:
+    """``(id, xyz, rgb, error)`` of sparse points."""
+    return points_of(_files(spark, path)).drop("path")
+
+
+def read_cameras(spark: SparkSession, path: str) -> DataFrame:
+    """``(id, model, width, height, params)`` of cameras of all eleven models."""
+    return cameras_of(_files(spark, path)).drop("path")
+
+
+def read_images(spark: SparkSession, path: str) -> DataFrame:
+    """``(id, rotation, translation, camera_id, name, points, point_ids)`` of posed images."""
+    return images_of(_files(spark, path)).drop("path")
 
 
 def posed_cameras(images: DataFrame, cameras: DataFrame) -> DataFrame:

@@ -6,47 +6,66 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines that are neither empty nor comments."""
-    return spark.read.text(path).where((F.length(F.trim("value")) > 0) & ~F.trim("value").startswith("#"))
+def _lines(texts: DataFrame) -> DataFrame:
+    """Lines ``(path, value)`` that are neither empty nor comments."""
+    return texts.where((F.length(F.trim("value")) > 0) & ~F.trim("value").startswith("#"))
 
 
-def read_points_text(spark: SparkSession, path: str) -> DataFrame:
-    """``(id, xyz, rgb, error)`` of a text file of reconstructed points."""
+def _texts(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
+    return spark.read.text(path, wholetext=whole).select(F.col("_metadata.file_path").alias("path"), "value")
+
+
+def points_of_text(lines: DataFrame) -> DataFrame:
+    """``(path, id, xyz, rgb, error)`` of reconstructed points in lines ``(path, value)``."""
     p = F.split(F.trim("value"), "\\s+")
-    return _lines(spark, path).select(
-        F.get(p, 0).cast("long").alias("id"), F.slice(p, 2, 3).cast("array<double>").alias("xyz"), F.slice(p, 5, 3).cast("array<int>").alias("rgb"), F.get(p, 7).cast("double").alias("error")
+    return _lines(lines).select(
+        "path", F.get(p, 0).cast("long").alias("id"), F.slice(p, 2, 3).cast("array<double>").alias("xyz"), F.slice(p, 5, 3).cast("array<int>").alias("rgb"), F.get(p, 7).cast("double").alias("error")
     )
 
 
-def read_cameras_text(spark: SparkSession, path: str) -> DataFrame:
-    """``(id, model, width, height, params)`` of a text file of pinhole cameras; other models raise."""
+def cameras_of_text(lines: DataFrame) -> DataFrame:
+    """``(path, id, model, width, height, params)`` of pinhole cameras in lines ``(path, value)``; other models raise."""
     p = F.split(F.trim("value"), "\\s+")
     model = F.get(p, 1)
     checked = F.when(model == "PINHOLE", model).otherwise(F.raise_error(F.concat(F.lit("camera model is not read: "), model)))
-    return _lines(spark, path).select(
-        F.get(p, 0).cast("int").alias("id"), checked.alias("model"), F.get(p, 2).cast("long").alias("width"), F.get(p, 3).cast("long").alias("height"),
+    return _lines(lines).select(
+        "path", F.get(p, 0).cast("int").alias("id"), checked.alias("model"), F.get(p, 2).cast("long").alias("width"), F.get(p, 3).cast("long").alias("height"),
         F.slice(p, 5, F.size(p) - 4).cast("array<double>").alias("params"),
     )
 
 
-def read_images_text(spark: SparkSession, path: str) -> DataFrame:
-    """``(id, qvec, tvec, camera_id, name, xys, point_ids)`` of a text file with two lines an image.
+def images_of_text(texts: DataFrame) -> DataFrame:
+    """``(path, id, qvec, tvec, camera_id, name, xys, point_ids)`` of posed images in whole texts ``(path, value)`` with two lines an image.
 
     The whole file is one row, since a record's second line has no key.
     """
-    text = spark.read.text(path, wholetext=True)
     kept = F.filter(F.split("value", "\n"), lambda x: ~F.trim(x).startswith("#"))
-    pairs = text.select(kept.alias("l")).select(F.explode(F.transform(F.sequence(F.lit(0), F.floor(F.size("l") / 2).cast("int") - 1), lambda i: F.struct(F.get("l", 2 * i).alias("a"), F.coalesce(F.get("l", 2 * i + 1), F.lit("")).alias("b")))).alias("r"))
+    one = lambda i: F.struct(F.get("l", 2 * i).alias("a"), F.coalesce(F.get("l", 2 * i + 1), F.lit("")).alias("b"))
+    pairs = texts.select("path", kept.alias("l")).select("path", F.explode(F.transform(F.sequence(F.lit(0), F.floor(F.size("l") / 2).cast("int") - 1), one)).alias("r"))
     p, q = F.split(F.trim("r.a"), "\\s+"), F.filter(F.split(F.trim("r.b"), "\\s+"), lambda x: x != "")
     third = lambda k: F.filter(q, lambda _, i: i % 3 == k)
     return pairs.where(F.length(F.trim("r.a")) > 0).select(
-        F.get(p, 0).cast("int").alias("id"), F.slice(p, 2, 4).cast("array<double>").alias("qvec"), F.slice(p, 6, 3).cast("array<double>").alias("tvec"),
+        "path", F.get(p, 0).cast("int").alias("id"), F.slice(p, 2, 4).cast("array<double>").alias("qvec"), F.slice(p, 6, 3).cast("array<double>").alias("tvec"),
         F.get(p, 8).cast("int").alias("camera_id"), F.get(p, 9).alias("name"),
         F.arrays_zip(third(0).cast("array<double>").alias("x"), third(1).cast("array<double>").alias("y")).alias("xys"), third(2).cast("array<bigint>").alias("point_ids"),
     )
 
 
+def read_points_text(spark: SparkSession, path: str) -> DataFrame:
+    """``(id, xyz, rgb, error)`` of a text file of reconstructed points."""
+    return points_of_text(_texts(spark, path)).drop("path")
+
+
+def read_cameras_text(spark: SparkSession, path: str) -> DataFrame:
+    """``(id, model, width, height, params)`` of a text file of pinhole cameras; other models raise."""
+    return cameras_of_text(_texts(spark, path)).drop("path")
+
+
+def read_images_text(spark: SparkSession, path: str) -> DataFrame:
+    """``(id, qvec, tvec, camera_id, name, xys, point_ids)`` of a text file with two lines an image."""
+    return images_of_text(_texts(spark, path, whole=True)).drop("path")
+
+
 def read_transforms(spark: SparkSession, path: str, end_frame: int | None = None) -> DataFrame:
     """One row a frame of transform JSON: file_path, time, transform_matrix, fl_x, fl_y, w, h."""
     frames = "array<struct<file_path:string,time:double,transform_matrix:array<array<double>>,fl_x:double,fl_y:double,w:int,h:int>>"
