@@ -10,6 +10,7 @@ from gneiss.functions import geometry as geo
 from gneiss.functions import rigid as rg
 from gneiss.functions.safe import f6
 from gneiss.operators import affinity as af
+from gneiss.operators import framing
 from gneiss.operators import raster as rs
 from gneiss.plans.carriers import SQL, pixels, primitives
 from gneiss.plans.graph import ROTATED
@@ -173,3 +174,28 @@ SSIM = (
 def _(spark, d):
     images = pixels(spark, d).groupBy((F.col("user_id") % 3).alias("plane"), "y", "x").agg((F.sum("value") / 100).alias("a"), (F.count("*") / 10).alias("b"))
     return rs.structural_likeness(images, ["plane"], 50, 50).withColumn("ssim", f6(F.col("ssim")))
+
+
+VIEWS = (
+    ROTATED + ", c AS (SELECT r.*, p.label, " + ", ".join(f"-(r{a}0 * r.e[1] + r{a}1 * r.e[2] + r{a}2 * r.e[3]) AS c{a}" for a in range(3)) + " FROM r JOIN prim p ON p.id = r.id), "
+    "m AS (SELECT label, " + ", ".join(f"avg(c{a}) AS m{a}" for a in range(3)) + " FROM c GROUP BY label), "
+    "b AS (SELECT label, max(sqrt(" + " + ".join(f"(c{a} - m{a}) * (c{a} - m{a})" for a in range(3)) + ")) AS radius FROM c JOIN m USING (label) GROUP BY label)"
+)
+
+
+def _views(spark, d):
+    rotation = F.array(*(F.array(*row) for row in af.rotation_rows(F.col("rot"))))
+    return primitives(spark, d).select("id", F.col("label").alias("scene"), rotation.alias("rotation"), F.array("x", "y", "z").alias("translation"))
+
+
+@query("scene_bounds", VIEWS + " SELECT label AS scene, " + _rounded(m0="m0", m1="m1", m2="m2", radius="radius") + " FROM m JOIN b USING (label)")
+def _(spark, d):
+    return framing.bounds(_views(spark, d)).select("scene", *_named(rg.vector(F.col("middle")), "m"), f6(F.col("radius")).alias("radius"))
+
+
+@query("placed_cameras", VIEWS + " SELECT id, " + _rounded(**{f"t{j}": "-(" + " + ".join(f"r{i}{j} * (c{i} - m{i})" for i in range(3)) + ") / nullif(radius, 0)" for j in range(3)}) + " FROM c JOIN m USING (label) JOIN b USING (label)")
+def _(spark, d):
+    """Cameras seen from the mean of their scene's, the farthest at distance 1."""
+    cameras = _views(spark, d)
+    frames = framing.bounds(cameras).withColumnRenamed("radius", "divisor")
+    return framing.placed_cameras(cameras, frames).select("id", *_named(rg.vector(F.col("translation")), "t"))

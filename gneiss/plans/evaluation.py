@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from gneiss.functions.safe import f6, iou, ratio
 from gneiss.operators import evaluation as ev
+from gneiss.operators import sweeps
 from gneiss.operators.ordering import positions
 from gneiss.plans.carriers import SQL, pixels
 from gneiss.session import table
+from gneiss.storage import materialise, new_path
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -138,6 +140,30 @@ def _(spark, d):
     return m.groupBy("merged").agg(f6(F.avg(iou(F.col("i"), F.col("p"), F.col("g")))).alias("iou"))
 
 
+CUTS = [1, 2, 3, 4]
+
+
+@query(
+    "cached_sweep",
+    PIX + f", u AS (SELECT user_id % 3 AS scene, cut, frame, count(*) FILTER (gt AND k <= cut) AS i, count(*) FILTER (k <= cut) AS p, count(*) FILTER (gt) AS g FROM pixels, (SELECT unnest({CUTS})::BIGINT AS cut) GROUP BY ALL) "
+    f"SELECT scene, cut, round(avg({_iou('i', 'p', 'g')}), 6) AS iou, count(*) AS frames FROM u GROUP BY scene, cut",
+)
+def _(spark, d):
+    """The mean IoU of the first clusters by scene and cut: half of the cuts are asked for first, so the rest alone is computed for all of them."""
+    scenes = pixels(spark, d).withColumn("scene", F.col("user_id") % 3)
+    counts = materialise(scenes.groupBy("scene", "frame", "k").agg(F.count_if("gt").alias("inter"), F.count("*").alias("pred")), "counts")
+
+    def scores(missing):
+        chosen = lambda c: F.sum(F.when(F.col("k") <= F.col("cut"), F.col(c)).otherwise(F.lit(0)))
+        frames = counts.join(missing, "scene").groupBy("_key", "scene", "cut", "frame").agg(chosen("inter").alias("i"), chosen("pred").alias("p"), F.sum("inter").alias("g"))
+        return frames.groupBy("_key", "scene", "cut").agg(f6(F.avg(iou(F.col("i"), F.col("p"), F.col("g")))).alias("iou"), F.count("*").alias("frames"))
+
+    asked = lambda cuts: counts.select("scene").distinct().select("scene", F.explode(F.array(*map(F.lit, cuts)).cast("array<bigint>")).alias("cut"))
+    path = new_path(spark, "sweep")
+    sweeps.cached(path, asked(CUTS[:2]), counts, "scene", scores)
+    return sweeps.cached(path, asked(CUTS), counts, "scene", scores)
+
+
 @query("confusion_classes", PIX + " SELECT frame, CASE WHEN k IN (1, 3) AND gt THEN 'TP' WHEN k IN (1, 3) THEN 'FP' WHEN gt THEN 'FN' ELSE 'TN' END AS kind, count(*) AS n FROM pixels GROUP BY ALL")
 def _(spark, d):
     return ev.confusion(pixels(spark, d), [1, 3])
