@@ -40,21 +40,21 @@ def split_offsets(scale: Column, *keys: Column) -> list[Column]:
     return [F.get(scale, i) * F.sqrt(-2 * F.log(1 - draw(i, 0))) * F.cos(2 * math.pi * draw(i, 1)) for i in range(3)]
 
 
-def pair_features(sampled: DataFrame, key: str, mask: str, vector: str) -> DataFrame:
-    """``(a, b, same, cosine)`` of each two sampled pixels, a < b, and of each with itself.
+def pair_features(sampled: DataFrame, frame: str, key: str, mask: str, vector: str) -> DataFrame:
+    """``(frame, a, b, same, cosine)`` of each two sampled pixels of a frame, a < b, and of each with itself.
 
-    ``same`` holds where a mask has both.  The sample bounds the pairs: its size
-    is a parameter of the sampling.
+    ``same`` holds where a mask has both.  The sample bounds the pairs of a frame:
+    its size is a parameter of the sampling.
     """
-    points = sampled.groupBy(key).agg(F.collect_set(mask).alias("masks"), F.any_value(vector).alias("v"))
+    points = sampled.groupBy(frame, key).agg(F.collect_set(mask).alias("masks"), F.any_value(vector).alias("v"))
     unit = points.withColumn("n", F.greatest(norm(F.col("v")), F.lit(1e-12)))
-    side = lambda s: unit.select(F.col(key).alias(s), F.col("masks").alias(f"m_{s}"), F.col("v").alias(f"v_{s}"), F.col("n").alias(f"n_{s}"))
-    pairs = side("a").join(side("b"), F.col("a") <= F.col("b"))
-    return pairs.select("a", "b", F.arrays_overlap("m_a", "m_b").alias("same"), (dot(F.col("v_a"), F.col("v_b")) / (F.col("n_a") * F.col("n_b"))).alias("cosine"))
+    side = lambda s: unit.select(frame, F.col(key).alias(s), F.col("masks").alias(f"m_{s}"), F.col("v").alias(f"v_{s}"), F.col("n").alias(f"n_{s}"))
+    pairs = side("a").join(side("b"), frame).where("a <= b")
+    return pairs.select(frame, "a", "b", F.arrays_overlap("m_a", "m_b").alias("same"), (dot(F.col("v_a"), F.col("v_b")) / (F.col("n_a") * F.col("n_b"))).alias("cosine"))
 
 
-def pair_losses(pairs: DataFrame, positive: float = 0.75, negative: float = 0.5) -> DataFrame:
-    """One row: losses over pairs of pixels that share a mask, and over those that share none.
+def pair_losses(pairs: DataFrame, frame: str, positive: float = 0.75, negative: float = 0.5) -> DataFrame:
+    """One row a frame with pairs: losses over pairs of its pixels that share a mask, and over those that share none.
 
     Pairs that share one lose their cosine's opposite, the others what the
     cosine is above 0.  ``hard`` is the mean over pairs beyond the threshold
@@ -63,16 +63,16 @@ def pair_losses(pairs: DataFrame, positive: float = 0.75, negative: float = 0.5)
     all, with any pixel or with itself; ``soft`` is the same over pixels b that
     have such a pair beyond the threshold.  0 where there is none.
     """
-    both = pairs.unionByName(pairs.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "same", "cosine"))
+    both = pairs.unionByName(pairs.where("a <> b").select(frame, F.col("b").alias("a"), F.col("a").alias("b"), "same", "cosine"))
     c, same = F.col("cosine"), F.col("same")
-    per = both.groupBy(F.col("b").alias("of")).agg(
+    per = both.groupBy(F.col(frame).alias("_frame"), F.col("b").alias("of")).agg(
         F.bool_or(same).alias("p"), F.bool_or(same & (c < positive)).alias("hp"), F.bool_or(~same).alias("n"), F.bool_or(~same & (c > negative)).alias("hn")
     )
-    open_ = pairs.where("a < b").join(per, F.col("b") == F.col("of"))
+    open_ = pairs.where("a < b").join(per, (F.col("b") == F.col("of")) & (F.col(frame) == F.col("_frame")))
     loss_p, loss_n = -c, F.greatest(c, F.lit(0.0))
     total = lambda where, loss: F.sum(F.when(where, loss).otherwise(0.0))
     n = lambda where: F.count_if(where)
-    return open_.agg(
+    return open_.groupBy(frame).agg(
         ratio(total(same & (c < positive), loss_p), n(same & (c < positive))).alias("hard_positive"),
         ratio(total(same & F.col("p"), loss_p), n(F.col("p"))).alias("all_positive"),
         ratio(total(same & F.col("hp"), loss_p), n(F.col("hp"))).alias("soft_positive"),

@@ -101,11 +101,11 @@ def _(spark, d):
 
 
 PAIRS = (
-    f"WITH {SQL['pixels']}, n AS (SELECT count(DISTINCT user_id) AS n FROM pixels), s AS (SELECT DISTINCT user_id AS u, k FROM pixels, n WHERE {_u('user_id')} < 60.0 / n AND frame IN (SELECT min(frame) FROM pixels)), "
-    "e AS (SELECT vec_id AS id, list_transform(embedding[57:64], lambda q: q::DOUBLE) AS v FROM embeddings), p AS (SELECT u, list(DISTINCT k) AS ks, any_value(v) AS v FROM s JOIN e ON e.id = u % 500 GROUP BY u), "
-    "c AS (SELECT a.u AS a, b.u AS b, len(list_intersect(a.ks, b.ks)) > 0 AS same, list_dot_product(a.v, b.v) / (greatest(sqrt(list_dot_product(a.v, a.v)), 1e-12) * greatest(sqrt(list_dot_product(b.v, b.v)), 1e-12)) AS cosine FROM p a, p b), "
-    "o AS (SELECT b, bool_or(same) AS p, bool_or(same AND cosine < 0.75) AS hp, bool_or(NOT same) AS n, bool_or(NOT same AND cosine > 0.5) AS hn FROM c GROUP BY b), "
-    "t AS (SELECT c.*, p, hp, n, hn, greatest(cosine, 0) AS r FROM c JOIN o USING (b) WHERE a < b) SELECT "
+    f"WITH {SQL['pixels']}, n AS (SELECT count(DISTINCT user_id) AS n FROM pixels), s AS (SELECT DISTINCT frame, user_id AS u, k FROM pixels, n WHERE {_u('user_id')} < 60.0 / n), "
+    "e AS (SELECT vec_id AS id, list_transform(embedding[57:64], lambda q: q::DOUBLE) AS v FROM embeddings), p AS (SELECT frame, u, list(DISTINCT k) AS ks, any_value(v) AS v FROM s JOIN e ON e.id = u % 500 GROUP BY frame, u), "
+    "c AS (SELECT frame, a.u AS a, b.u AS b, len(list_intersect(a.ks, b.ks)) > 0 AS same, list_dot_product(a.v, b.v) / (greatest(sqrt(list_dot_product(a.v, a.v)), 1e-12) * greatest(sqrt(list_dot_product(b.v, b.v)), 1e-12)) AS cosine FROM p a JOIN p b USING (frame)), "
+    "o AS (SELECT frame, b, bool_or(same) AS p, bool_or(same AND cosine < 0.75) AS hp, bool_or(NOT same) AS n, bool_or(NOT same AND cosine > 0.5) AS hn FROM c GROUP BY frame, b), "
+    "t AS (SELECT c.*, p, hp, n, hn, greatest(cosine, 0) AS r FROM c JOIN o USING (frame, b) WHERE a < b) SELECT frame, "
     + ", ".join(
         f"round(coalesce((sum({loss}) FILTER ({of} AND {where})) / nullif(count(*) FILTER ({over}), 0), 0), 6) AS {name}"
         for name, loss, of, where, over in (
@@ -113,18 +113,18 @@ PAIRS = (
             ("hard_negative", "r", "NOT same", "cosine > 0.5", "NOT same AND cosine > 0.5"), ("all_negative", "r", "NOT same", "n", "n"), ("soft_negative", "r", "NOT same", "hn", "hn"),
         )
     )
-    + " FROM t"
+    + " FROM t GROUP BY frame"
 )
 
 
 @query("pair_losses", PAIRS)
 def _(spark, d):
-    """Losses over pairs of about 60 sampled pixels of the first frame: hard, all and soft, for and against."""
+    """Losses over pairs of about 60 sampled pixels, frame by frame: hard, all and soft, for and against."""
     p = pixels(spark, d)
-    first = p.join(F.broadcast(p.agg(F.min("frame").alias("f0"))), F.col("frame") == F.col("f0"))  # the one frame that is rendered
-    s = first.join(ev.sampled_keys(p, "user_id", 60), "user_id", "left_semi").select("user_id", "k").distinct()
+    s = p.join(ev.sampled_keys(p, "user_id", 60), "user_id", "left_semi").select("frame", "user_id", "k").distinct()
     v = primitives(spark, d).select(F.col("id").alias("of"), "feats")
-    return sl.pair_losses(sl.pair_features(s.join(v, F.col("user_id") % 500 == F.col("of")), "user_id", "k", "feats")).select(*(f6(F.col(c)).alias(c) for c in ("hard_positive", "all_positive", "soft_positive", "hard_negative", "all_negative", "soft_negative")))
+    losses = sl.pair_losses(sl.pair_features(s.join(v, F.col("user_id") % 500 == F.col("of")), "frame", "user_id", "k", "feats"), "frame")
+    return losses.select("frame", *(f6(F.col(c)).alias(c) for c in ("hard_positive", "all_positive", "soft_positive", "hard_negative", "all_negative", "soft_negative")))
 
 
 @query("running_gradients", "SELECT l_partkey, count(*) FILTER (l_quantity > 10) AS seen, round(sum(l_quantity) FILTER (l_quantity > 10), 4) AS total, round(coalesce(sum(l_quantity) FILTER (l_quantity > 10) / count(*) FILTER (l_quantity > 10), 0), 6) AS mean FROM lineitem GROUP BY l_partkey")
