@@ -167,3 +167,25 @@ def _(spark, d):
 
     g = pixels(spark, d).groupBy((F.col("user_id") % 3).alias("plane"), "y", "x").agg(F.min("k").alias("k"))
     return cd.id_map_rows(g, ["plane"], 50, 50).select("plane", "y", F.hex("bytes").alias("bytes"))
+
+
+@query(
+    "provenance_rows",
+    "WITH s AS (SELECT s_suppkey AS k, s_nationkey AS nk FROM supplier), u AS (SELECT *, 'global' AS family, 'full' AS variant FROM s UNION ALL SELECT *, 'ablation', 'no_geo' FROM s WHERE k % 3 = 0) "
+    "SELECT CASE WHEN nk % 2 = 0 THEN 'even' ELSE 'odd' END AS dataset, family, variant, k AS scene, CASE WHEN k % 5 <> 0 THEN 'gpu' || (k % 2) ELSE '--' END AS device, "
+    "CASE WHEN k % 5 <> 0 AND k % 2 = 0 THEN (k * 10)::VARCHAR ELSE '--' END AS n_valid, '--' AS resolution, CASE WHEN k % 4 <> 0 THEN (k * 3)::VARCHAR ELSE '--' END AS communities, '--' AS modularity_q, "
+    "CASE WHEN k % 4 <> 0 THEN 'knn_k=' || (k % 11) || '; sigma=' || nk ELSE 'knn_k=--; sigma=--' END || '; use_geometry=' || (CASE WHEN variant = 'no_geo' THEN 'False' ELSE 'True' END) AS params, "
+    "CASE WHEN k % 4 <> 0 THEN 'edges=' || (k * 20) || '; nnz=--' ELSE '--' END AS graph, "
+    "CASE WHEN k % 5 <> 0 THEN 'spectral.build=' || printf('%.3f', k / 4) || 's; spectral_total_s=' || printf('%.3f', k / 2) || 's' ELSE '--' END AS timing, 'out/s' || k AS run FROM u",
+)
+def _(spark, d):
+    """Runs of two families with what their reports and timings, where there are any, say."""
+    s, k = table(spark, d, "supplier"), F.col("s_suppkey")
+    run = rc.base_run(F.concat(F.lit("out/s"), k, F.lit("/objectness_long/cluster_ids_train")))
+    rows = lambda family, variant: s.select(F.when(F.col("s_nationkey") % 2 == 0, "even").otherwise("odd").alias("dataset"), F.lit(family).alias("family"), F.lit(variant).alias("variant"), k.alias("scene"), run.alias("run"))
+    written = reports(spark, d).where(k % 4 != 0).select(F.concat(F.lit("out/s"), k).alias("run"), "text")
+    build = F.create_map(F.lit("build"), k / 4, F.lit("other"), F.lit(1.0))
+    told = F.to_json(F.struct(F.concat(F.lit("gpu"), k % 2).alias("device"), F.when(k % 2 == 0, k * 10).alias("n_valid_gaussians"), build.alias("spectral"), (k / 2).alias("spectral_total_s")))
+    timings = s.where(k % 5 != 0).select(F.concat(F.lit("out/s"), k).alias("run"), told.alias("text"))
+    both = rows("global", "full").unionByName(rows("ablation", "no_geo").where("scene % 3 = 0"))
+    return rc.provenance(both, written, timings, ["knn_k", "sigma", "use_geometry"], ["edges", "nnz"], ["spectral.build", "spectral.cut", "spectral_total_s"])

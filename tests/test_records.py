@@ -81,3 +81,16 @@ def test_annotated_and_segmented_points(spark):
     assert clouds.segmented(marked, palette, minimal=["id"]).columns == ["id", "cls", "red", "green", "blue"]
     colours = clouds.unit_colours(spark.createDataFrame([(255, 0, 51)], "red int, green int, blue int")).first()
     assert colours[:] == (1.0, 0.0, 0.2)
+
+
+def test_provenance_of_what_is_said_and_what_is_not(spark):
+    runs = spark.createDataFrame([("d", "f", v, "s", r) for v, r in (("full", "a"), ("full", "b_nogeo"), ("no_geo", "c"))], "dataset string, family string, variant string, scene string, run string")
+    text = "Resolution parameter: **1.5**\nModularity Q: **0.7**\n## Parameters\n| param | value |\n|---|---|\n| power | 2 |\n| use_geometry | False |\n| gamma | |\n## Other\n| edges | 1 |\n"
+    reports = spark.createDataFrame([("a", text), ("c", "nothing")], "run string, text string")
+    timings = spark.createDataFrame([("a", '{"device": "x", "render": {"render_main": 0.5, "io": 2}, "eval_total_s": 1}'), ("c", "broken")], "run string, text string")
+    got = {r["run"]: r for r in records.provenance(runs, reports, timings, ["power", "gamma", "use_geometry"]).collect()}
+    assert got["a"]["params"] == "power=2; use_geometry=False" and got["a"]["graph"] == "--" and got["a"]["timing"] == "render.render_main=0.500s; eval_total_s=1.000s"
+    assert (got["a"]["device"], got["a"]["n_valid"], got["a"]["resolution"], got["a"]["communities"], got["a"]["modularity_q"]) == ("x", "--", "1.5", "--", "0.7")
+    assert got["b_nogeo"]["params"] == got["c"]["params"] == "power=--; gamma=--; use_geometry=False" and got["c"]["timing"] == "--"
+    paths = spark.createDataFrame([("o/r/objectness_x/cluster_ids_train",), ("o/r/cluster_ids_train",), ("o/r",)], "p string")
+    assert {r[0] for r in paths.select(records.base_run(paths.p)).collect()} == {"o/r"}
