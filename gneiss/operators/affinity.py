@@ -9,17 +9,46 @@ from gneiss.functions.safe import dot, norm
 from gneiss.storage import materialise
 
 
-def nearest(points: DataFrame, k: int, targets: DataFrame | None = None, include: int = 8, max_rounds: int = 40) -> DataFrame:
+def _cells(edge: float) -> list[Column]:
+    return [F.floor(F.col(c) / edge).alias(f"c{c}") for c in "xyz"]
+
+
+def _crowded(base: DataFrame, edge: float, most: int) -> DataFrame:
+    """Cells that hold more than ``most`` rows."""
+    return base.groupBy(*_cells(edge)).agg(F.count("*").alias("n")).where(F.col("n") > most).drop("n")
+
+
+def _dealt_by_depth(todo: DataFrame, base: DataFrame, edge: float, most: int, deepest: int) -> list[DataFrame]:
+    """Points by the level they start at: the first whose cell, of half the edge of the level
+    before, holds at most ``most`` rows of ``base``."""
+    levels, keys = [], ["cx", "cy", "cz"]
+    for level in range(deepest):
+        cells = _cells(edge / 2**level)
+        dense = materialise(_crowded(base, edge / 2**level, most), "knn-dense")
+        if dense.isEmpty():
+            break
+        keyed = todo.select("*", *cells)
+        levels.append(materialise(keyed.join(dense, keys, "left_anti").select(todo.columns), "knn-level"))
+        todo = materialise(keyed.join(dense, keys, "left_semi").select(todo.columns), "knn-level")
+        base = materialise(base.select("*", *cells).join(dense, keys, "left_semi").select(base.columns), "knn-level")
+    return [*levels, todo]
+
+
+def nearest(points: DataFrame, k: int, targets: DataFrame | None = None, include: int = 8, max_rounds: int = 40, most: int = 256, deepest: int = 24) -> DataFrame:
     """``(src, dst, d2, rank)``: the exact k nearest other points in three dimensions, ties to smaller ids.
 
     Neighbours are sought among ``targets``, by default the points themselves.
 
     Points fall in cubic cells; a point meets the points of its 27 cells, and is
     settled when its kth distance is at most the cell's edge, since all nearer
-    points are then among those met.  The few that are not settled go on with
+    points are then among those met.  Those that are not settled go on with
     cells twice as wide.  The first edge follows from the density, about
-    ``include`` points a cell.  Points with a null coordinate take no part; with
-    k or fewer other points all of them are neighbours.
+    ``include`` points a cell; where a cell holds more than ``most``, its points
+    start with cells of half the edge, again and again, so points that lie close
+    together meet few of their like.  Of such targets in one place only the k + 1
+    smallest ids are met, as no other can be among the k nearest of any point.
+    Points with a null coordinate take no part; with k or fewer other points all
+    of them are neighbours.
     """
     whole = lambda df: materialise(df.select("id", "x", "y", "z").where("id IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL"), "knn-points")
     todo = whole(points)
@@ -28,11 +57,17 @@ def nearest(points: DataFrame, k: int, targets: DataFrame | None = None, include
     if n < 2 and targets is None or not n:
         return base.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("d2"), F.lit(0).alias("rank")).limit(0)
     spans = [max(b - a, 1e-9) for a, b in zip(ends[::2], ends[1::2], strict=True)]
-    edge = max((spans[0] * spans[1] * spans[2] * include / n) ** (1 / 3), max(spans) / 2**20)
+    first = max((spans[0] * spans[1] * spans[2] * include / n) ** (1 / 3), max(spans) / 2**20)
+    waiting, most = [todo], max(most, k + 1)
+    if not _crowded(base, first, most).isEmpty():
+        place = F.dense_rank().over(Window.partitionBy("x", "y", "z").orderBy("id"))
+        base = materialise(base.withColumn("_at", place).where(F.col("_at") <= k + 1).drop("_at"), "knn-targets")
+        waiting = _dealt_by_depth(todo, base, first, most, deepest)
     done, want = [], min(k, n - 1 if targets is None else n)
-    for _ in range(max_rounds):
+    edge, todo = first / 2 ** (len(waiting) - 1), waiting.pop()
+    for _ in range(max_rounds + len(waiting)):
         cell = lambda c: F.floor(F.col(c) / edge)  # noqa: E731, B023
-        grid = base.select(F.col("id").alias("dst"), *(F.col(c).alias(f"{c}2") for c in "xyz"), *(cell(c).alias(f"c{c}") for c in "xyz"))
+        grid = base.select(F.col("id").alias("dst"), *(F.col(c).alias(f"{c}2") for c in "xyz"), *_cells(edge))
         around = todo.select("id", "x", "y", "z", *(F.explode(F.array(*(cell(c) + s for s in (-1, 0, 1)))).alias(f"c{c}") for c in "x"))
         for c in "yz":
             around = around.withColumn(f"c{c}", F.explode(F.array(*(cell(c) + s for s in (-1, 0, 1)))))
@@ -44,7 +79,9 @@ def nearest(points: DataFrame, k: int, targets: DataFrame | None = None, include
         settled = materialise(settled.select(F.col("src").alias("ok")), "knn-settled")
         done.append(close.join(settled, F.col("src") == F.col("ok"), "left_semi"))
         todo = materialise(todo.join(settled, F.col("id") == F.col("ok"), "left_anti"), "knn-todo")
-        if todo.isEmpty():
+        if waiting:
+            todo = todo.union(waiting.pop())
+        elif todo.isEmpty():
             break
         edge *= 2
     else:

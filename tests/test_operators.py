@@ -38,6 +38,20 @@ def test_nearest_equals_brute_force(spark, spread_):
         assert [got[a[0]][k] for k in (1, 2, 3, 4)] == [i for _, i in order[:4]]
 
 
+def test_nearest_of_crowds_within_crowds(spark):
+    """Half of the points in one place, a third in a small ball, the others spread; cells of more than 12 are split."""
+    rng = random.Random(8)
+    small = [tuple(0.3 + 1e-4 * rng.gauss(0, 1) for _ in range(3)) for _ in range(100)]
+    rows = [(i, *p) for i, p in enumerate([(0.7, 0.7, 0.7)] * 150 + small + [tuple(rng.random() for _ in range(3)) for _ in range(50)])]
+    points = spark.createDataFrame(rows, "id long, x double, y double, z double")
+    got = {}
+    for r in affinity.nearest(points, 4, most=12).collect():
+        got.setdefault(r.src, {})[r["rank"]] = r.dst
+    for a in rows:
+        order = sorted((sum((p - q) ** 2 for p, q in zip(a[1:], b[1:], strict=True)), b[0]) for b in rows if b[0] != a[0])
+        assert [got[a[0]][k] for k in (1, 2, 3, 4)] == [i for _, i in order[:4]]
+
+
 def test_nearest_with_fewer_points_than_k(spark):
     two = spark.createDataFrame([(1, 0.0, 0.0, 0.0), (2, 1.0, 0.0, 0.0)], "id long, x double, y double, z double")
     assert affinity.nearest(two, 5).count() == 2
