@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from gneiss.functions.safe import dot, norm, ratio
 from gneiss.operators.affinity import gaussian, square_distance
 from gneiss.operators.clusters import cluster_vectors
+from gneiss.storage import materialise
 
 
 def similarity(points: DataFrame, key: str, weights: tuple[float, float, float], sigma: float, least_size: int = 1, traj: str = "traj", feat: str | None = "feats", color: str = "f_dc") -> DataFrame:
@@ -236,20 +237,23 @@ def greedy_union_by_frames(dense: DataFrame, margin: float = 1e-12) -> DataFrame
     """``(rank, k, score)`` for the mean of the frames' IoU: one aggregate over all candidates for each cluster taken.
 
     ``dense`` is ``(frame, k, inter, pred, gt)`` with a row for each frame and
-    cluster; an empty union has an IoU of 0.
+    cluster; an empty union has an IoU of 0.  Each frame's union and the
+    clusters taken are tables; the driver sees the last row of a step, which
+    says whether there is another.
     """
-    spark = dense.sparkSession
-    chosen: list[tuple[int, int, float]] = []
-    base = dense.groupBy("frame").agg(F.lit(0).cast("long").alias("ci"), F.lit(0).cast("long").alias("cp"))
-    score, most = -1.0 - margin, dense.select("k").distinct().count()
-    while len(chosen) < most:
-        ids = [c for _, c, _ in chosen]
+    left = materialise(dense.select("frame", "k", "inter", "pred", "gt"), "union-dense")
+    base = left.groupBy("frame").agg(F.lit(0).cast("long").alias("ci"), F.lit(0).cast("long").alias("cp"))
+    taken = left.select(F.lit(0).cast("long").alias("rank"), F.col("k").cast("long").alias("k"), F.lit(0.0).alias("score")).limit(0)
+    rank, score = 0, -1.0 - margin
+    while True:
         i, p = F.col("inter") + F.col("ci"), F.col("pred") + F.col("cp")
-        tries = dense.where(~F.col("k").isin(ids)).join(base, "frame").groupBy("k").agg(F.avg(ratio(i, p + F.col("gt") - i)).alias("score"))
-        top = tries.orderBy(F.round("score", 12).desc(), "k").first()
-        if top["score"] <= score + margin:
-            break
-        score = top["score"]
-        chosen.append((len(chosen), top["k"], score))
-        base = dense.where(F.col("k").isin([*ids, top["k"]])).groupBy("frame").agg(F.sum("inter").alias("ci"), F.sum("pred").alias("cp"))
-    return spark.createDataFrame(chosen, "rank long, k long, score double")
+        tries = left.join(base, "frame").groupBy("k").agg(F.avg(ratio(i, p + F.col("gt") - i)).alias("score"))
+        best = tries.orderBy(F.round("score", 12).desc(), "k").limit(1).where(F.col("score") > score + margin)
+        more = materialise(taken.union(best.select(F.lit(rank).cast("long"), F.col("k").cast("long"), "score")), "union-taken")
+        top = more.where(F.col("rank") == rank).first()
+        if top is None:
+            return taken
+        taken, rank, score = more, rank + 1, top["score"]
+        won = left.where(F.col("k") == top["k"]).select("frame", F.col("inter").alias("wi"), F.col("pred").alias("wp"))
+        base = materialise(base.join(won, "frame").select("frame", (F.col("ci") + F.col("wi")).alias("ci"), (F.col("cp") + F.col("wp")).alias("cp")), "union-frames")
+        left = left.where(F.col("k") != top["k"])

@@ -153,7 +153,15 @@ def _(spark, d):
     return pr.greedy_union(_totals(spark, d), F.max("all_gt"), 1e-12, from_empty=True).withColumn("score", f6(F.col("score")))
 
 
-@query("greedy_union_by_frames")
+_MEAN = "avg(CASE WHEN p + gt - i = 0 THEN 0 ELSE i::DOUBLE / (p + gt - i) END)"
+BY_FRAMES = (
+    COUNTS.replace("WITH", "WITH RECURSIVE", 1) + ", ks AS (SELECT DISTINCT k FROM counts), u(step, ks, score) AS (SELECT 0, []::BIGINT[], -2.0::DOUBLE UNION ALL SELECT step, ks, score FROM (SELECT step + 1 AS step, list_append(ks, k) AS ks, score, old FROM ("
+    f"SELECT step, ks, k, old, {_MEAN} AS score FROM (SELECT u.step, u.ks, u.score AS old, ks.k, c.frame, sum(c.inter) AS i, sum(c.pred) AS p, any_value(c.gt) AS gt FROM u, ks, counts c WHERE NOT list_contains(u.ks, ks.k) AND (c.k = ks.k OR list_contains(u.ks, c.k)) GROUP BY ALL) GROUP BY step, ks, k, old"
+    ") QUALIFY row_number() OVER (ORDER BY round(score, 12) DESC, k) = 1) WHERE score > old + 1e-12) SELECT (step - 1)::BIGINT AS rank, ks[step] AS k, round(score, 6) AS score FROM u WHERE step > 0"
+)
+
+
+@query("greedy_union_by_frames", BY_FRAMES)
 def _(spark, d):
     dense = ev.dense_counts(ev.frame_counts(pixels(spark, d)))
     return pr.greedy_union_by_frames(dense).withColumn("score", f6(F.col("score")))

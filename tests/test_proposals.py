@@ -110,6 +110,7 @@ def test_greedy_unions(spark):
             got = pr.greedy_union_by_frames(dense)
         assert [r["k"] for r in got.orderBy("rank").collect()] == want
     assert pr.greedy_union(totals.limit(0), pr.F.lit(0)).count() == 0
+    assert pr.greedy_union_by_frames(dense.limit(0)).count() == 0
 
 
 def test_likeness_without_a_signal(spark):
