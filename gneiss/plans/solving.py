@@ -177,6 +177,20 @@ def _(spark, d):
     return rows.select("id", F.size("vec").alias("k"), F.lit(k).alias("wanted"), F.lit(ratio_).alias("ratio"))
 
 
-@query("feature_kmeans")
+# Centres are drawn by races and moved until none changes, as in the operator.
+_GAP = "list_sum(list_transform(range(1, 9), lambda i: ({a}[i] - {b}[i]) * ({a}[i] - {b}[i])))"
+_RACE = "-ln((('0x' || substr(md5('0:' || ({step}) || ':' || id), 1, 13))::BIGINT + 0.5) / 4503599627370496)"
+_NEAREST = f"list_transform(l.cs, lambda c: round({_GAP.format(a='f.v', b='c')}, 12))"
+KMEANS = (
+    f"WITH RECURSIVE {SQL['prim']}, f AS (SELECT id, e[57:64] AS v FROM prim), s(step, ch) AS (SELECT 1, [arg_min(id, {_RACE.format(step=1)})] FROM f UNION ALL SELECT step + 1, list_append(ch, id) FROM (SELECT s.step, s.ch, p.id, min(round({_GAP.format(a='p.v', b='c.v')}, 12)) AS far "
+    f"FROM s, f p, f c WHERE list_contains(s.ch, c.id) AND s.step < 8 GROUP BY ALL) WHERE far > 0 QUALIFY row_number() OVER (ORDER BY {_RACE.format(step='step + 1')} / far, id) = 1), "
+    "drawn AS (SELECT unnest(ch) AS id, generate_subscripts(ch, 1) AS j FROM (SELECT ch FROM s ORDER BY step DESC LIMIT 1)), "
+    f"l(step, cs) AS (SELECT 0, list(v ORDER BY j) FROM drawn JOIN f USING (id) UNION ALL SELECT step, cs FROM (SELECT step + 1 AS step, cs AS old, list_transform(range(1, len(cs) + 1), lambda j: coalesce(list_filter(list(m), lambda x: x.j = j)[1].v, cs[j])) AS cs "
+    f"FROM (SELECT step, cs, {{'j': j, 'v': [{', '.join(f'round(avg(v[{i}]), 9)' for i in range(1, 9))}]}} AS m FROM (SELECT l.step, l.cs, f.v, list_position({_NEAREST}, list_min({_NEAREST})) AS j FROM l, f) GROUP BY step, cs, j) GROUP BY step, cs) WHERE cs <> old AND step <= 300) "
+    f"SELECT id, (list_position({_NEAREST}, list_min({_NEAREST})) - 1)::BIGINT AS cluster FROM (SELECT cs FROM l ORDER BY step DESC LIMIT 1) l, f"
+)
+
+
+@query("feature_kmeans", KMEANS)
 def _(spark, d):
     return sv.clusterer("kmeans")(primitives(spark, d), "feats", 8)

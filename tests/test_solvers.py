@@ -109,6 +109,29 @@ def test_kmeans_and_unknown_clusterers(spark):
         solvers.clusterer("other")
 
 
+def test_kmeans_settles_and_leaves_out_what_is_no_vector(spark):
+    rng = np.random.default_rng(4)
+    x = np.vstack([rng.normal(c, 1.0, (40, 3)) for c in ((0, 0, 0), (6, 0, 0), (0, 6, 0), (3, 3, 6))])
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, [1.0, None, 2.0]), (902, [1.0, float("nan"), 2.0])]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    got = {r["id"]: r["cluster"] for r in solvers.clusterer("kmeans")(df, "v", 4).collect()}
+    assert sorted(got) == list(range(160)) and set(got.values()) == {0, 1, 2, 3}
+    label = np.array([got[i] for i in range(160)])
+    means = np.array([x[label == c].mean(axis=0) for c in range(4)])
+    gaps = np.square(x[:, None] - means).sum(axis=2)
+    assert (gaps.argmin(axis=1) == label).all()  # no row is nearer to the mean of another cluster
+    assert gaps.min(axis=1).sum() < 1.2 * sum(np.square(x[40 * c : 40 * c + 40] - x[40 * c : 40 * c + 40].mean(axis=0)).sum() for c in range(4))
+
+
+def test_kmeans_of_few_different_vectors_and_of_none(spark):
+    df = spark.createDataFrame([(i, [float(i % 2), 1.0]) for i in range(9)], "id long, v array<double>")
+    got = {r["id"]: r["cluster"] for r in solvers.clusterer("kmeans")(df, "v", 5).collect()}
+    assert len({got[0], got[1]}) == 2 and all(got[i] == got[i % 2] for i in range(9))
+    assert solvers.clusterer("kmeans")(df.limit(0), "v", 3).count() == 0
+    with pytest.raises(Exception, match="other lengths"):
+        solvers.clusterer("kmeans")(df.union(spark.createDataFrame([(77, [1.0])], df.schema)), "v", 2).collect()
+
+
 def _reached(edges):
     root = {x: x for e in edges for x in e}
 
