@@ -60,7 +60,7 @@ def mix(
     share: float = 1.5,
     most: float = 2.0,
     quality: Column | None = None,
-    strata: int = 4096,
+    strata: int = 8192,
     carry: bool = False,
 ) -> DataFrame:
     """``(id_col, size, source_size, target, taken)`` for every row; with ``carry``
@@ -73,16 +73,20 @@ def mix(
     replacement.  The document at the end of the budget gives only its first
     words, so the words taken equal the target rounded to a whole number.
 
-    A source is never put in one task: keys fall in ``strata`` ordered strata,
-    whose sizes are summed with map-side combine; strata wholly inside or
-    outside the budget are decided by their sums, and only the one stratum that
-    the budget ends in is sorted.  The table of sources is broadcast up to
+    A source is never put in one task: keys fall in ordered strata by their
+    logarithm, ``strata`` of them for a factor of e, whose sizes are summed with
+    map-side combine; strata wholly inside or outside the budget are decided by
+    their sums, and only the one stratum that the budget ends in is sorted.  A
+    quality only shifts the logarithm of a key, whose density is nowhere above
+    1 / e, so whatever the qualities are no stratum is expected to have more
+    than 1 / (e * strata) of its source's rows.  The table of sources is broadcast up to
     ``BROADCAST_SOURCES`` rows and joined by shuffling above.
 
     Null text has size 0; a null source is a source of its own; a null id has
     the key of the empty string; repeated ids share a key and are then ordered
     by size and text hash, equal rows arbitrarily but with equal sums.  An empty
-    table gives an empty result.  Other columns play no part.
+    table gives an empty result; documents whose quality is null or 0 come last.
+    Other columns play no part.
     """
     text = F.col(text_col)
     weight = letter_share(text) if quality is None else quality
@@ -95,7 +99,7 @@ def mix(
             key.alias("key"),
             F.xxhash64(text).alias("tie"),
             *([F.struct(*(F.col(c) for c in docs.columns)).alias("row")] if carry else []),
-        ).withColumn("stratum", F.least(F.floor((1 - F.exp(-F.col("key"))) * strata), F.lit(strata - 1)).cast("int")),
+        ).withColumn("stratum", F.coalesce(F.floor(F.log("key") * strata).cast("long"), F.lit((1 << 63) - 1))),
         "mix-sized",
     )
     sums = materialise(sized.groupBy("source", "stratum").agg(F.sum("size").alias("sum")), "mix-sums")

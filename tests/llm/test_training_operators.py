@@ -380,6 +380,19 @@ def test_targets_stop_at_the_cap_and_go_to_the_others(spark):
     assert got == pytest.approx(want)
 
 
+def test_mix_does_not_depend_on_strata_and_constant_qualities(spark):
+    """A low quality for all shifts all keys alike; strata are only a way to find the end of the budget."""
+    rows = [(i, "word " * (1 + i % 7), "ab"[i % 3 == 0]) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = sorted(map(tuple, mixing.mix(df).collect()))
+    assert sum(r[1] < r[4] < 2 * r[1] for r in want) <= 2  # each source's budget ends in one document at most
+    for options in ({"strata": 1}, {"strata": 1 << 16}, {"quality": mixing.F.lit(0.01)}, {"quality": mixing.F.lit(50.0)}):
+        assert sorted(map(tuple, mixing.mix(df, **options).collect())) == want
+    worthless = mixing.F.when(mixing.F.col("doc_id") < 300, 1.0)
+    got = {r["doc_id"]: r["taken"] for r in mixing.mix(df, quality=worthless, share=0.5).collect()}
+    assert len(got) == 400 and not any(got[i] for i in range(300, 400))
+
+
 def test_mixed_documents_take_the_words_of_the_mix(spark, awkward):
     unique = awkward.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
     taken = {r["doc_id"]: r["taken"] for r in mixing.mix(unique).collect() if r["taken"]}
