@@ -1,4 +1,4 @@
-"""Token counts: batch encoding that returns lengths only."""
+"""Token counts: batch encoding, each distinct word once, that returns lengths only."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain, filterfalse
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -13,8 +14,12 @@ from pyspark.sql import functions as F
 
 from gneiss.llm.textbytes import bounded_batches, parts_of
 
-#: Before an ASCII blank behind a printable ASCII character.
-BOUNDARY = re.compile(rb"(?<=[\x21-\x7e])(?=[\x20\x09-\x0d])")
+#: Before an ASCII blank behind a printable ASCII character or one of U+00C0 to U+00FF.
+BOUNDARY = re.compile(rb"(?=[\x20\x09-\x0d])(?:(?<=[\x21-\x7e])|(?<=\xc3[\x80-\xbf]))")
+#: What lies between boundaries: blanks and a word, and more of both while no boundary parts them.
+WORD = re.compile(rb"\s*+[^\s]++(?:(?<![\x21-\x7e])(?<!\xc3[\x80-\xbf])\s++[^\s]*+)*+|\s++")
+#: Words whose counts a worker keeps (about 120 MB), and bytes of the longest of them.
+MOST_WORDS, LONGEST_WORD = 1 << 20, 64
 #: In a pre-tokenizer's pattern: a class without white space; then whatever could match white space, or look ahead or behind.
 _BLANKLESS = re.compile(r"\[\^\\s[^\]\\]*(?:\\p\{\w+\}|\\[dw])*\]|\[?\\p\{[LN]\w*\}\]?")
 _BLANKS = re.compile(r"\\[sSWDXRbB]|\\[pP]\{|\[\^|\.|\(\?|[ \t\n]|\\[nrtfvx]")
@@ -48,13 +53,16 @@ class TextCounter:
 
     A tokenizers .json is encoded in batches; where the rules in the file show
     that a piece begins at every boundary (an ASCII blank behind a printable
-    ASCII character), long texts are cut there and their parts counted apart.
-    Else, and for a SentencePiece .model, texts are encoded whole.  Nothing of
-    a text is kept behind its batch.
+    ASCII character or a letter of Latin-1), texts are cut there: a text's count
+    is the sum of its words', and a batch encodes only words that are not known
+    yet.  Counts of at most MOST_WORDS short words are kept; beyond that all are
+    forgotten.  Else, and for a SentencePiece .model, texts are encoded whole,
+    and nothing of a text is kept behind its batch.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.known: dict[bytes, int] = {}
         if path.endswith(".model"):
             from gneiss.llm.pieces import opened
 
@@ -78,10 +86,23 @@ class TextCounter:
         """The count of each text, from parts of about ``part_bytes``."""
         totals = [0] * len(texts)
         for group in balanced(texts, part_bytes, self.cuts):
-            for (row, _), n in zip(group, self.lengths([part for _, part in group]), strict=True):
+            parts = [part for _, part in group]
+            for (row, _), n in zip(group, self._by_words(parts) if self.cuts else self.lengths(parts), strict=True):
                 totals[row] += n
         return totals
 
+    def _by_words(self, parts: list[bytes]) -> list[int]:
+        words = [WORD.findall(part) for part in parts]
+        if len(self.known) + sum(map(len, words)) > MOST_WORDS:
+            self.known.clear()
+        new = list(set(filterfalse(self.known.__contains__, chain.from_iterable(words))))
+        self.known.update(zip(new, self.lengths(new), strict=True))
+        counts = [sum(map(self.known.__getitem__, own)) for own in words]
+        for w in new:
+            if len(w) > LONGEST_WORD:
+                del self.known[w]
+        return counts
+
 
 def balanced(texts: list[bytes], most: int, cuts: bool = True) -> Iterator[list[tuple[int, bytes]]]:
     """Lists of ``(row, part)`` of about ``most`` bytes each.
@@ -130,8 +151,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     opened once a worker, on the executor.  No tokens are added, nothing is
     truncated or padded; special strings inside a text count as the library
     handles them.  Texts travel as Arrow batches and are encoded about
-    ``part_bytes`` at a time, longer ones in parts where that is safe; only
-    lengths come back.  A null or empty text has 0 bytes and 0 tokens; ids may
+    ``part_bytes`` at a time, in words where that is safe, each word that a
+    worker knows only once; only lengths come back.  A null or empty text has 0 bytes and 0 tokens; ids may
     be null or repeat and are passed through; other columns play no part.
     There is no shuffle.
     """

@@ -176,6 +176,27 @@ def test_long_texts_are_parted_in_balance():
     assert [len(p) for g in tokens.balanced([b"y" * 5000], 1000) for _, p in g] == [5000]
 
 
+def test_a_word_is_encoded_once(monkeypatch):
+    library = Tokenizer.from_file(BPE)
+    counter, encoded = tokens.TextCounter(BPE), []
+    whole = counter.lengths
+    counter.lengths = lambda texts: encoded.extend(texts) or whole(texts)
+    texts = ["Le café est là, où  le café était.\n", "the café\t", "y" * 100 + " café est"] * 40
+    want = [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert counter.counts([t.encode() for t in texts], 1 << 16) == want
+    assert len(encoded) == len(set(encoded)) and {" café".encode(), b" est"} <= set(encoded)
+    assert sum(map(len, encoded)) < 200 and max(map(len, counter.known)) <= tokens.LONGEST_WORD
+    monkeypatch.setattr(tokens, "MOST_WORDS", 3)  # what is known is forgotten again and again
+    assert counter.counts([t.encode() for t in texts], 1) == want and len(counter.known) <= 3
+
+
+def test_words_lie_between_boundaries():
+    rng = np.random.default_rng(8)
+    for _ in range(20_000):
+        text = "".join(rng.choice(ODD, rng.integers(0, 14))).encode()
+        assert tokens.WORD.findall(text) == [x for x in tokens.BOUNDARY.split(text) if x]
+
+
 def test_pieces_equal_the_library(awkward, nothing):
     library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     got = pieces.encode_pieces(awkward.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]), PIECES).collect()
