@@ -4,18 +4,25 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gneiss.llm.textbytes import bounded_batches, utf8
+from gneiss.storage import materialise
 
 #: Symbols in a gram: a context of ORDER - 1 bytes and the byte it predicts.
 ORDER = 4
 UNKNOWN = "und"
 #: Above this many languages the trees would not fit the driver; training raises.
 MOST_LANGUAGES = 1_000
-#: Cells of a table of the trees (grams times languages, or times symbols) above which training raises.
+#: Cells of a table of the trees (grams times languages) above which training raises; a table of
+#: grams times symbols beyond it is searched instead of indexed.
 MOST_CELLS = 1 << 26
+#: Counts of a gram in a language that the driver takes at most; beyond that training raises.
+MOST_GRAMS = 1 << 24
+#: Counts that a task holds before it hands them on.
+FLUSH = 1 << 20
 #: Bytes of whole texts whose grams are counted at once, and cells (bytes times languages) scored at once.
 PART = 1 << 18
 #: Code lengths are kept in steps of 1/65536 bit, so their sums are the same in any order.
@@ -23,20 +30,49 @@ STEP = 1 << 16
 
 
 def _grams(batches):
-    """Counts of all grams of 1 to ORDER bytes in each language, once a batch."""
-    for batch in batches:
-        langs = batch.column("lang").to_pylist()
-        for lang in sorted(set(langs)):
-            own = batch.filter(pa.array([x == lang for x in langs]))
-            data, offsets = utf8(own.column("text"))
-            data = fold(data)
-            for at, order in ((at, order) for at in range(0, len(data), PART) for order in range(1, ORDER + 1)):
-                to = min(at + PART + order - 1, len(data))  # every gram begins in one part
-                edges = np.clip(offsets[(offsets > at) & (offsets < to)], at, to) - at
-                keys, counts = np.unique(_keys(data[at:to], np.concatenate([[0], edges, [to - at]]), order), return_counts=True)
+    """Counts of all grams of 1 to ORDER bytes in each language, summed up to FLUSH of the longest at a time."""
+    held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+
+    def summed(lang: str) -> tuple[np.ndarray, np.ndarray]:
+        keys, counts = (np.concatenate(x) for x in zip(*held[lang], strict=True))
+        order = np.argsort(keys, kind="stable")
+        return _run_sums(keys[order], counts[order])
+
+    def flushed():
+        for lang in sorted(held):
+            keys, counts = summed(lang)
+            for n in range(1, ORDER + 1):
+                grams = keys >> 8 * (ORDER - n)
+                whole = (grams & 255) > 0  # others reach over the text's end
+                grams, c = _run_sums(grams[whole], counts[whole])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(keys), pa.string()), pa.array(np.full(len(keys), order, np.int32)), pa.array(keys), pa.array(counts)], ["lang", "n", "gram", "c"]
+                    [pa.array([lang]).take(pa.array(np.zeros(len(grams), np.int32))), pa.array(np.full(len(grams), n, np.int32)), pa.array(grams.astype(np.int64)), pa.array(c)], ["lang", "n", "gram", "c"]
                 )
+        held.clear()
+
+    size = 0
+    for batch in batches:
+        for lang in pc.unique(batch.column("lang")).to_pylist():
+            data, offsets = utf8(batch.column("text").filter(pc.equal(batch.column("lang"), lang)))
+            data = fold(data)
+            for at in range(0, len(data), PART):  # every gram begins in one part
+                to = min(at + PART + ORDER - 1, len(data))
+                keys, counts = np.unique(_padded_keys(data[at:to], offsets[(offsets > at) & (offsets <= to)] - at)[:PART], return_counts=True)
+                held.setdefault(lang, []).append((keys, counts))
+                size += len(keys)
+        if size > FLUSH:
+            held = {lang: [summed(lang)] for lang in held}
+            size = sum(len(keys) for ((keys, _),) in held.values())
+            if size > FLUSH // 2:
+                yield from flushed()
+                size = 0
+    yield from flushed()
+
+
+def _run_sums(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different ones of sorted keys and the sums of their counts."""
+    first = np.flatnonzero(np.diff(keys, prepend=keys[:1] + 1))
+    return keys[first], np.add.reduceat(counts, first) if len(first) else counts[:0]
 
 
 def fold(data: np.ndarray) -> np.ndarray:
@@ -48,18 +84,17 @@ def fold(data: np.ndarray) -> np.ndarray:
     return table[data]
 
 
-def _keys(data: np.ndarray, offsets: np.ndarray, order: int) -> np.ndarray:
-    """Every run of ``order`` bytes inside a row, as an integer."""
-    if len(data) < order:
-        return np.zeros(0, np.int64)
-    key = np.zeros(len(data) - order + 1, np.int64)
-    for k in range(order):
-        key = (key << 8) | data[k : len(data) - order + 1 + k]
-    crosses = np.zeros(len(key) + 1, bool)
-    for k in range(1, order):
-        at = offsets[1:-1] - k
-        crosses[at[(at >= 0) & (at < len(key))]] = True
-    return key[~crosses[:-1]]
+def _padded_keys(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The ORDER bytes from each place on as an integer; zeros, which folded text
+    has none of, stand for what lies behind the row's end."""
+    padded = np.concatenate([data, np.zeros(ORDER - 1, np.uint8)])
+    key = np.zeros(len(data), np.uint32)
+    for k in range(ORDER):
+        key = (key << np.uint32(8)) | padded[k : k + len(data)]
+    for k in range(1, ORDER):
+        at = ends - k
+        key[at[at >= 0]] &= np.uint32((1 << 32) - (1 << 8 * (ORDER - k)))
+    return key
 
 
 class ContextTrees:
@@ -76,9 +111,9 @@ class ContextTrees:
     def __init__(self, langs: list[str], counts: dict[int, tuple[np.ndarray, np.ndarray]]):
         self.langs, self.grams, self.cost, self.escape = langs, {}, {}, {}
         self.limits = np.full(len(langs), np.inf)
-        n_langs, width = len(langs), len(counts[1][0])
-        if max(len(grams) * max(n_langs, width if n < ORDER else 0) for n, (grams, _) in counts.items()) > MOST_CELLS:
-            raise ValueError(f"trees of more than {MOST_CELLS:,} cells; train on fewer texts a language")
+        n_langs = len(langs)
+        if max(len(grams) for grams, _ in counts.values()) * n_langs > MOST_CELLS:
+            raise ValueError(f"trees of more than {MOST_CELLS:,} cells; train on fewer languages")
         lower = np.full((1, n_langs), 8.0)  # order -1: every byte alike
         for n in range(1, ORDER + 1):
             grams, c = counts[n]  # c: (grams, languages)
@@ -100,13 +135,23 @@ class ContextTrees:
         first[self.grams[1]] = np.arange(len(self.grams[1]), dtype=np.int32)
         self.first = first
 
-    def _children(self, n: int) -> np.ndarray:
-        """Index of gram n from index of gram n - 1 and the next byte's own index; -1: unknown."""
+    def _children(self, n: int) -> tuple[np.ndarray, bool]:
+        """Where gram n is by index of gram n - 1 times symbols plus the last byte's own index:
+        a table (-1: unknown), or, where that would be too large, the sorted places themselves."""
         width = len(self.grams[1])
-        table = np.full((len(self.grams[n - 1]) + 1) * width, -1, np.int32)
-        at = np.searchsorted(self.grams[n - 1], self.grams[n] >> 8)
-        table[at * width + np.searchsorted(self.grams[1], self.grams[n] & 255)] = np.arange(len(self.grams[n]), dtype=np.int32)
-        return table
+        places = np.searchsorted(self.grams[n - 1], self.grams[n] >> 8).astype(np.int64) * width + np.searchsorted(self.grams[1], self.grams[n] & 255)
+        if len(self.grams[n - 1]) * width > MOST_CELLS:
+            return places, False
+        table = np.full(len(self.grams[n - 1]) * width, -1, np.int32)
+        table[places] = np.arange(len(places), dtype=np.int32)
+        return table, True
+
+    def _child(self, n: int, place: np.ndarray) -> np.ndarray:
+        children, is_table = self.children[n]
+        if is_table:
+            return children[place]
+        at = np.minimum(np.searchsorted(children, place), len(children) - 1)
+        return np.where(children[at] == place, at, -1)
 
     def lengths(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Code length of each byte under each language; no context reaches over a row's start."""
@@ -123,7 +168,7 @@ class ContextTrees:
             before = previous(node[n - 1])
             found = np.full(len(data), -1, np.int32)
             both = (before >= 0) & ~unknown
-            found[both] = self.children[n][before[both].astype(np.int64) * width + symbol[both]]
+            found[both] = self._child(n, before[both].astype(np.int64) * width + symbol[both])
             node[n] = found
         out = np.zeros((len(data), len(self.langs)), np.float32)
         open_ = np.ones(len(data), bool)
@@ -139,35 +184,27 @@ class ContextTrees:
         return out
 
 
-def sampled(texts: DataFrame, text_col: str, lang_col: str, key_col: str, per_language: int = 2_000) -> tuple[list[str], DataFrame | None]:
-    """The languages and their training sample ``(lang, text)``: of each about the
-    ``per_language`` texts that come first by a hash of their key.
+def training_rows(texts: DataFrame, text_col: str, lang_col: str) -> DataFrame:
+    """``(lang, text)`` of every row with a language and a text."""
+    rows = texts.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    return rows.where("lang IS NOT NULL AND text IS NOT NULL").where(F.col("lang") != UNKNOWN)
 
-    The sample is taken with a threshold on the hash that the languages' counts
-    give, without sorting a language's texts.
-    """
-    rows = texts.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(key_col), F.col(text_col)).alias("h"))
-    rows = rows.where("lang IS NOT NULL AND text IS NOT NULL").where(F.col("lang") != UNKNOWN)
-    share = F.lit(float(per_language)) / F.count("*")
-    bounds = {r["lang"]: min(r["share"], 1.0) for r in rows.groupBy("lang").agg(share.alias("share")).limit(MOST_LANGUAGES + 1).collect()}
-    if len(bounds) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES:,} languages in {lang_col}")
-    if not bounds:
-        return [], None
-    limit = F.create_map(*(F.lit(x) for pair in bounds.items() for x in pair))
-    unit = (F.col("h").cast("double") / 2.0**64) + 0.5
-    return sorted(bounds), rows.where(unit < F.get(F.map_values(F.map_filter(limit, lambda k, _: k == F.col("lang"))), 0)).select("lang", "text")
 
+def train(spark: SparkSession, texts: DataFrame, text_col: str, lang_col: str, id_col: str | None = None) -> ContextTrees | None:
+    """Trees from the whole texts of all rows that have a language, counted in parts of PART bytes.
 
-def train(spark: SparkSession, texts: DataFrame, text_col: str, lang_col: str, key_col: str, per_language: int = 2_000) -> ContextTrees | None:
-    """Trees from a bounded sample of whole texts, counted in parts of PART bytes."""
-    langs, sample = sampled(texts, text_col, lang_col, key_col, per_language)
-    if sample is None:
-        return None
-    counted = sample.mapInArrow(_grams, "lang string, n int, gram long, c long")
-    table = counted.groupBy("lang", "n", "gram").agg(F.sum("c").alias("c")).toArrow().to_pandas()
-    if table.empty:
+    Only sums leave the tasks: one a language and gram of up to ORDER bytes.  Ids play no part.
+    """
+    counted = training_rows(texts, text_col, lang_col).mapInArrow(_grams, "lang string, n int, gram long, c long")
+    counted = materialise(counted.groupBy("lang", "n", "gram").agg(F.sum("c").alias("c")), "language-grams")
+    langs = sorted(r["lang"] for r in counted.where("n = 1").select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
+    if len(langs) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES:,} languages in {lang_col}")
+    if not langs:
         return None
+    if counted.count() > MOST_GRAMS:
+        raise ValueError(f"more than {MOST_GRAMS:,} grams by language in {text_col}")
+    table = counted.toArrow().to_pandas()
     column = table["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy()
     counts = {}
     for n in range(1, ORDER + 1):
@@ -184,15 +221,19 @@ def train(spark: SparkSession, texts: DataFrame, text_col: str, lang_col: str, k
 SPREAD, LEAST_SPREAD = 12, 2.0
 #: ... and this many bits for the whole text, so one strange character rejects no short one.
 ALLOWANCE = 64
+#: Bits a byte are counted in so many steps a bit, which bounds the different ones whatever the rows.
+SPREAD_STEP = 1 << 12
 
 
-def code_length_limits(spark: SparkSession, trees: ContextTrees, sample: DataFrame) -> np.ndarray:
+def code_length_limits(spark: SparkSession, trees: ContextTrees, training: DataFrame) -> np.ndarray:
     """For each language the bits a byte up to which a text is in it, from the
-    spread over the training texts ``(lang, text)`` that its own tree codes best;
-    8, the length of plain bytes, where there is none."""
-    rows = sample.where(F.col("text").rlike("\\p{L}")).select(F.struct("lang").alias("row"), "text", F.lit(True).alias("text_has_letter"))
+    spread over all training texts ``(lang, text)`` that its own tree codes best;
+    8, the length of plain bytes, where there is none.  Percentiles are those of
+    the counts of each step of bits a byte."""
+    rows = training.where(F.col("text").rlike("\\p{L}")).select(F.struct("lang").alias("row"), "text", F.lit(True).alias("text_has_letter"))
     scored = rows.mapInArrow(_identifier(spark.sparkContext.broadcast(trees)), "row struct<lang: string>, letter boolean, pred string, score double, bits_per_byte double, within boolean")
-    spread = scored.where("row.lang = pred").groupBy("pred").agg(F.percentile_approx("bits_per_byte", [0.5, 0.99], 10_000).alias("q")).collect()
+    steps = scored.where("row.lang = pred").groupBy("pred", F.ceil(F.col("bits_per_byte") * SPREAD_STEP).alias("step")).count()
+    spread = steps.groupBy("pred").agg(F.percentile("step", [0.5, 0.99], F.col("count")).alias("q")).select("pred", F.transform("q", lambda x: x / SPREAD_STEP).alias("q")).collect()
     found = {r["pred"]: r["q"][0] + max(SPREAD * (r["q"][1] - r["q"][0]), LEAST_SPREAD) for r in spread}
     return np.array([found.get(x, 8.0) for x in trees.langs])
 
@@ -232,12 +273,12 @@ def _identifier(shared, text_at: int = -1):
     return identify
 
 
-def identify_rows(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", carry: list[str] | None = None, reject: bool = False, **options) -> DataFrame:
+def identify_rows(docs: DataFrame, training: DataFrame, text_col: str = "text", lang_col: str = "lang", carry: list[str] | None = None, reject: bool = False) -> DataFrame:
     """``(row, lang_pred, score, bits_per_byte)`` of every row of ``docs``; ``row`` is a
     struct of the columns to carry, by default all, so clashing names do no harm.
 
     Each language has a byte context tree of up to ORDER - 1 bytes of context,
-    trained on a bounded sample of ``training`` and then frozen; a whole text's
+    trained on the whole texts of all rows of ``training`` and then frozen; a whole text's
     exact code length under each tree is summed, and the shortest names the
     language (ties: the first by code point).  ``score`` is that language's
     share of the probability.  Ids and sources are never looked at.
@@ -246,8 +287,8 @@ def identify_rows(docs: DataFrame, training: DataFrame, id_col: str = "doc_id",
     text when the training rows have no language, and, with ``reject``, a text
     whose code length is above its language's limit: one in a language that was
     not learned, or in none (``code_length_limits``).  Rows that repeat are scored
-    each.  The trees (a few MB, bounded by the sample) are broadcast; there is
-    no shuffle of the texts.
+    each.  The trees (a few MB; training raises above MOST_GRAMS counts or MOST_CELLS
+    cells) are broadcast; there is no shuffle of the texts.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -255,11 +296,11 @@ def identify_rows(docs: DataFrame, training: DataFrame, id_col: str = "doc_id",
     letter = F.coalesce(F.col(text_col).rlike("\\p{L}"), F.lit(False))
     text_at = carry.index(text_col) if text_col in carry else -1
     rows = docs.select(F.struct(*(F.col(c) for c in carry)).alias("row"), *([] if text_at >= 0 else [F.col(text_col).alias("text")]), letter.alias("text_has_letter"))
-    trees = train(spark, training, text_col, lang_col, id_col, **options)
+    trees = train(spark, training, text_col, lang_col)
     if trees is None:
         return rows.select("row", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("bits_per_byte"))
     if reject:
-        trees.limits = code_length_limits(spark, trees, sampled(training, text_col, lang_col, id_col, options.get("per_language", 2_000))[1])
+        trees.limits = code_length_limits(spark, trees, training_rows(training, text_col, lang_col))
     kind = rows.schema["row"].dataType.simpleString()
     out = rows.mapInArrow(_identifier(spark.sparkContext.broadcast(trees), text_at), f"row {kind}, letter boolean, pred string, score double, bits_per_byte double, within boolean")
     named = F.col("letter") & F.col("within")
@@ -276,7 +317,7 @@ def fold_of(id_col: str, folds: int) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(0)) % folds
 
 
-def held_out_languages(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", folds: int = 5, **options) -> DataFrame:
+def held_out_languages(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", folds: int = 5) -> DataFrame:
     """``(id_col, held_out, lang_pred, score)``: fold 0 is held out of the training."""
-    scored = identify_rows(docs, docs.where(fold_of(id_col, folds) != 0), id_col, lang_col=lang_col, carry=[id_col], **options).select("row.*", "lang_pred", "score")
+    scored = identify_rows(docs, docs.where(fold_of(id_col, folds) != 0), lang_col=lang_col, carry=[id_col]).select("row.*", "lang_pred", "score")
     return scored.select(id_col, (fold_of(id_col, folds) == 0).alias("held_out"), "lang_pred", "score")

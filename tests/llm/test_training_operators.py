@@ -586,6 +586,51 @@ def test_whole_texts_train_and_too_many_languages_raise(spark, monkeypatch):
         language.train(spark, df, "text", "lang", "doc_id")
 
 
+def test_every_text_trains_and_sets_the_limits(spark, monkeypatch):
+    words = ["".join(chr(97 + i // 17**k % 17) for k in range(4)) for i in range(0, 83_521, 29)]  # 2,881 texts of a language
+    texts = [("x", f"{w} so") for w in words] + [("y", "zu zz")]
+    df = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(texts)], "doc_id long, text string, lang string").repartition(5)
+    trees = language.train(spark, df, "text", "lang", "doc_id")
+    grams = Counter(t.encode()[i : i + 4] for _, t in texts for i in range(len(t) - 3))
+    assert trees.grams[4].tolist() == sorted(int.from_bytes(g) for g in grams)
+
+    def bits(text):
+        data = language.fold(np.frombuffer(text.encode(), np.uint8))
+        return trees.lengths(data, np.zeros(1, np.int64)).sum(axis=0, dtype=np.float64) / len(data)
+
+    steps = [math.ceil(bits(t)[0] * language.SPREAD_STEP) / language.SPREAD_STEP for lang, t in texts if lang == "x"]
+    middle, high = np.percentile(steps, [50, 99])
+    want = [middle + max(language.SPREAD * (high - middle), language.LEAST_SPREAD), bits("zu zz")[1] + language.LEAST_SPREAD]
+    assert language.code_length_limits(spark, trees, language.training_rows(df, "text", "lang")) == pytest.approx(want, abs=2 / language.SPREAD_STEP)
+
+    table = bits("zu sosa abcd")
+    monkeypatch.setattr(language, "MOST_CELLS", 2 * len(grams))
+    found = language.train(spark, df, "text", "lang")
+    assert not found.children[4][1] and trees.children[4][1]
+    trees = found
+    assert bits("zu sosa abcd").tolist() == table.tolist()
+
+
+def test_counts_handed_on_early_sum_up_alike(monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    rows = [("ab"[i % 2], "".join(rng.choice(list("abcdé 0"), rng.integers(0, 9)))) for i in range(400)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows[i : i + 40], strict=True)], ["lang", "text"]) for i in range(0, 400, 40)]
+    want = Counter()
+    for lang, t in rows:
+        raw = bytes(language.fold(np.frombuffer(t.encode(), np.uint8)))
+        want.update((lang, n, int.from_bytes(raw[i : i + n])) for n in range(1, 5) for i in range(len(raw) - n + 1))
+    for flush, part in ((1 << 20, 1 << 18), (500, 5), (1, 1)):
+        monkeypatch.setattr(language, "FLUSH", flush)
+        monkeypatch.setattr(language, "PART", part)
+        got = Counter()
+        for b in language._grams(batches):
+            for r in b.to_pylist():
+                got[r["lang"], r["n"], r["gram"]] += r["c"]
+        assert got == want
+
+
 def test_languages_are_told_apart(spark, awkward, nothing):
     rows = [(i, "the house is on the hill and the dog sleeps", "en") for i in range(40)] + [(100 + i, "das haus ist auf dem berg und der hund liegt", "de") for i in range(40)]
     rows += [(300, None, "en"), (301, "123 !?", "de"), (302, "der berg und das haus", None), (None, "the dog", "en")]
