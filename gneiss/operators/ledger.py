@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gneiss.storage import materialise
+
 
 def mode_gain(runs: DataFrame, keys: list[str], metric: str = "metric", mode: str = "mode", of: str = "greedy_union", over: str = "best_cluster") -> DataFrame:
     """Best metric of one mode less that of another for the same keys; null where one is missing."""
@@ -62,16 +66,23 @@ def forward_fill(rows: DataFrame, keys: list[str], order: str, value: Column, na
 
 def ancestors(spark, nodes: DataFrame, match: Column, most: int = 12) -> DataFrame:
     """``(id, hit, hops)``: the nearest ancestor within ``most`` hops, itself
-    included, for which ``match`` holds, by a recursive query over (id, parent)."""
-    return spark.sql(
-        f"""WITH RECURSIVE up(start, id, parent, hops, hit) AS (
-            SELECT id, id, parent, 0, hit FROM {{nodes}}
-            UNION ALL
-            SELECT up.start, n.id, n.parent, up.hops + 1, n.hit FROM up JOIN {{nodes}} n ON up.parent = n.id
-            WHERE NOT up.hit AND up.hops < {int(most)} AND up.id <> n.id)
-        SELECT start AS id, id AS hit, hops FROM up WHERE hit""",
-        nodes=nodes.select("id", "parent", match.alias("hit")),
-    )
+    included, for which ``match`` holds, over (id, parent).
+
+    A hop is a join of the rows that have not hit yet with the nodes; each hop's
+    rows are written, so there is no limit on how many a recursion may give.
+    """
+    nodes = materialise(nodes.select("id", "parent", match.alias("hit")), "anc-nodes")
+    above = nodes.select(F.col("id").alias("up"), F.col("parent").alias("next"), F.col("hit").alias("is"))
+    live = nodes.select(F.col("id").alias("start"), "id", "parent", "hit")
+    steps = [live]
+    for _ in range(int(most)):
+        climbed = live.where("NOT hit").join(above, F.col("parent") == F.col("up")).where("id <> up")
+        live = materialise(climbed.select("start", F.col("up").alias("id"), F.col("next").alias("parent"), F.col("is").alias("hit")), "anc-live")
+        if live.isEmpty():
+            break
+        steps.append(live)
+    found = [s.where("hit").select(F.col("start").alias("id"), F.col("id").alias("hit"), F.lit(hops).alias("hops")) for hops, s in enumerate(steps)]
+    return reduce(DataFrame.union, found)
 
 
 def slug(text: Column) -> Column:

@@ -122,3 +122,16 @@ def test_names(spark):
     df = spark.createDataFrame([("  Cut Lemon-1! ", "-0.50", "v2"), ("é", "3.00", "v10"), ("", "100", "v1")], "s string, v string, n string")
     assert [tuple(r) for r in df.select(ledger.slug(F.col("s")), ledger.value_tag(F.col("v"))).collect()] == [("cut_lemon_1", "m0p5"), ("é", "3"), ("", "100")]
     assert [r[0] for r in df.orderBy(ledger.natural_key(F.col("n"))).select("n").collect()] == ["v1", "v2", "v10"]
+
+
+def test_ancestors_have_no_limit_of_rows(spark):
+    rows = [(0, 0), (1, 0), (2, 1), (3, 2), (4, 3), (5, 9), (6, None), (7, 8), (8, 7)]
+    nodes = spark.createDataFrame(rows, "id long, parent long").withColumn("m", F.col("id").isin(1, 3))
+    kept = "spark.sql.cteRecursionRowLimit", spark.conf.get("spark.sql.cteRecursionRowLimit")
+    spark.conf.set(kept[0], "5")
+    try:
+        got = sorted(tuple(r) for r in ledger.ancestors(spark, nodes, F.col("m")).collect())
+        near = sorted(tuple(r) for r in ledger.ancestors(spark, nodes, F.col("m"), 0).collect())
+    finally:
+        spark.conf.set(*kept)
+    assert got == [(1, 1, 0), (2, 1, 1), (3, 3, 0), (4, 3, 1)] and near == [(1, 1, 0), (3, 3, 0)]
