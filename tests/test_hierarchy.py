@@ -127,3 +127,27 @@ def test_few_equal_and_missing_points(spark):
     same = [(i, [0.0, 0.0]) for i in range(10)] + [(20 + i, [5.0, float(i == 9)]) for i in range(10)]
     got = {r["id"]: r["cluster"] for r in hierarchy.density_hierarchy(spark.createDataFrame(same, schema), 5, 3, block_rows=4).collect()}
     assert {got[i] for i in range(10)} == {0} and {got[20 + i] for i in range(10)} == {1}
+
+
+def test_shelves_give_the_same_lists_and_tree(spark, monkeypatch):
+    """Points that go to other shelves, copies of a point, and far clusters, against all pairs."""
+    monkeypatch.setattr(hierarchy, "SHELF", 40)
+    monkeypatch.setattr(hierarchy, "LISTED", 5)
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(0, 1, (70, 4)), rng.normal(30, 0.2, (60, 4)), np.full((20, 4), 7.0), np.round(rng.normal(3, 1, (30, 4)))])
+    df = frame(spark, x)
+    ids = [10 * i + 3 for i in range(len(x))]
+    dealt = hierarchy._dealt(df, 16)
+    assert dealt.select("shelf").distinct().count() > 3
+    core, w = brute_reach(x, 3)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    near = {r["id"]: [(n["gap"], n["to"]) for n in r["near"]] for r in hierarchy.nearest_lists(dealt, 5).collect()}
+    for k, i in enumerate(ids):
+        want = sorted((d[k, j], ids[j]) for j in range(len(x)) if j != k)[:5]
+        assert [n[1] for n in near[i]] == [n[1] for n in want] and [n[0] for n in near[i]] == pytest.approx([n[0] for n in want], rel=1e-12)
+    forest = [tuple(r) for r in hierarchy.spanning_forest(dealt, hierarchy.core_distances(dealt, 3)).collect()]
+    assert {r[:2] for r in forest} == {t[:2] for t in brute_tree(w)} and len(forest) == len(x) - 1
+    labels = spark.createDataFrame([(i, -1 if k < 75 or k % 9 else k) for k, i in enumerate(ids)], "id long, label long")
+    named = [k for k in range(75, len(x)) if k % 9 == 0]
+    got = {r["id"]: r["label"] for r in hierarchy._nearest_named(dealt, labels).collect()}
+    assert got == {i: min(named, key=lambda j: (d[k, j], j)) for k, i in enumerate(ids) if k not in named}
