@@ -230,3 +230,28 @@ def test_edges_by_name(spark):
     for bad in ({"method": "other"}, {"method": "ingested"}, {"method": "ingested", "maps": maps, "threshold": 1.0}):
         with pytest.raises(ValueError):
             raster.edge_maps(df, ["i"], **bad)
+
+
+@pytest.mark.parametrize("part", [16384, 9])
+def test_eigenvectors_compute_their_input_once(spark, monkeypatch, part):
+    """However many products, and in whatever parts."""
+    monkeypatch.setattr(solvers, "PART", part)
+    n, rng = 60, np.random.default_rng(2)
+    a = rng.random((n, n)) * (rng.random((n, n)) < 0.2)
+    a = (a + a.T) / 2 + np.diag(np.full(n, 0.1))
+    a /= np.abs(np.linalg.eigvalsh(a)).max()
+    met = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            met.add(batch.num_rows)
+            yield batch
+
+    i, j = np.nonzero(a)
+    rows = list(zip(i.tolist(), j.tolist(), a[i, j].tolist(), strict=True))
+    df = spark.createDataFrame(rows, "src long, dst long, w double").mapInArrow(counted, "src long, dst long, w double")
+    vectors, values = solvers.top_eigenvectors(df, 3, tolerance=1e-8)
+    x = np.array([r["vec"] for r in vectors.orderBy("id").collect()])
+    assert met.value == len(rows)
+    assert values == pytest.approx(np.linalg.eigvalsh(a)[::-1][:3].tolist(), abs=1e-6)
+    assert np.abs(x.T @ x - np.eye(3)).max() < 1e-8 and np.abs(a @ x - x * values).max() < 1e-2
