@@ -255,3 +255,44 @@ def test_eigenvectors_compute_their_input_once(spark, monkeypatch, part):
     assert met.value == len(rows)
     assert values == pytest.approx(np.linalg.eigvalsh(a)[::-1][:3].tolist(), abs=1e-6)
     assert np.abs(x.T @ x - np.eye(3)).max() < 1e-8 and np.abs(a @ x - x * values).max() < 1e-2
+
+
+@pytest.mark.parametrize("eps, least", [(0.35, 4), (0.8, 6), (0.1, 3)])
+def test_density_clusters_equal_all_pairs(spark, eps, least):
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.normal(c, s, (n, 3)) for c, s, n in ((0, 0.15, 60), (1.2, 0.3, 60), (-2, 0.6, 40))] + [np.full((9, 3), 5.0), np.array([[5.0, 5.0, 5.0 + eps], [8.0, 8.0, 8.0]])])
+    rows = [(2 * i, *map(float, p)) for i, p in enumerate(rng.permutation(x))] + [(1001, None, 0.0, 0.0), (1003, float("nan"), 0.0, 0.0)]
+    p = np.array([r[1:] for r in rows[:-2]])
+    d2 = ((p[:, None] - p[None]) ** 2)
+    d2 = d2[..., 0] + d2[..., 1] + d2[..., 2]
+    near = d2 <= eps * eps
+    core = near.sum(axis=1) >= least
+    label = np.where(core, np.arange(len(p)), -1)
+    while True:
+        low = np.array([min(label[near[i] & core]) if core[i] else -1 for i in range(len(p))])
+        if (low == label).all():
+            break
+        label = low
+    rank = {c: k + 1 for k, c in enumerate(sorted(set(label[core].tolist())))}
+    want = {1001: 0, 1003: 0}
+    for i in range(len(p)):
+        by = [(d2[i, j], j) for j in np.flatnonzero(near[i] & core)]
+        want[2 * i] = rank[int(label[min(by)[1]])] if by else 0
+    df = spark.createDataFrame(rows, "id long, x double, y double, z double")
+    assert {r["id"]: r["cluster"] for r in solvers.density_clusters(df, eps, least).collect()} == want
+    assert len(rank) >= 2
+
+
+def test_density_clusters_write_no_pairs_of_a_crowd(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(rng.normal(0, 0.1, (3000, 3)))], "id long, x double, y double, z double")
+    rows, write = [], solvers.materialise
+
+    def counted(df, label):
+        out = write(df, label)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(solvers, "materialise", counted)
+    assert solvers.density_clusters(df, 0.2, 5).count() == 3000
+    assert max(rows) < 20 * 3000
